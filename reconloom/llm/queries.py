@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconloom.llm import chat_format, embedding_dedup, fingerprints, language_id, mixing, packing, quality, token_counts
+from reconloom.llm import chat_format, embedding_dedup, fingerprints, jaccard_join, language_id, mixing, packing, quality, token_counts
 from reconloom.llm.common import fold
 from reconloom.sources.tables import table
 
@@ -41,6 +41,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_classes(table(spark, sf_dir, "documents"), percent=75, width=5)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs.where(fold() != 2), table(spark, sf_dir, "labels").where(fold() != 2))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_fingerprints": op5_fingerprints,
     "op6_token_counts": op6_token_counts,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_quality": op8_quality,
     "op9_chat_format": op9_chat_format,
 }
