@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconloom.llm import chat_format, embedding_dedup, fingerprints, jaccard_join, language_id, mixing, packing, quality, token_counts
+from reconloom.llm import chat_format, embedding_dedup, fingerprints, jaccard_join, language_id, mixing, packing, quality, substring_dedup, token_counts
 from reconloom.llm.common import fold
 from reconloom.sources.tables import table
 
@@ -63,6 +63,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal(table(spark, sf_dir, "documents"), window=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_mixing": op2_mixing,
@@ -73,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_quality": op8_quality,
     "op9_chat_format": op9_chat_format,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
