@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reconloom.llm import chat_format, embedding_dedup, fingerprints, jaccard_join, language_id, mixing, packing, quality, substring_dedup, token_counts
 from reconloom.llm.common import fold
+from reconloom.llm.oracles import ORACLES
 from reconloom.sources.tables import table
 
 
@@ -79,4 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+
+
+__all__ = ["ORACLES", "QUERIES"]
