@@ -7,7 +7,7 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
+def local_session(cpus: int | str = "*", partitions: int = 8, **more: str) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("reconloom")
@@ -17,5 +17,6 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(map=more)
         .getOrCreate()
     )

@@ -15,12 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediates."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         found = f"file://{tempfile.gettempdir()}/reconloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
