@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from reconloom.llm.common import text_slices, words
 from reconloom.sources.durable import durable, release
@@ -22,8 +23,6 @@ _SYMBOLS = re.compile(r"[!*$%#&|<>{}]")
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, plus ``size`` (words) and ``weight`` (quality: words among words and symbols)."""
     keep = [f for f in docs.schema.fields if f.name != text]
-    from pyspark.sql.types import StructType
-
     schema = StructType([*keep, *StructType.fromDDL("size long, weight double").fields])
 
     def apply(batches):
@@ -107,6 +106,6 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     chosen = decide(docs, **options).where("copies > 0")
     d, s, t = options.get("doc_id", "doc_id"), options.get("source", "source"), options.get("text", "text")
     marked = docs.withColumn("_mix_mark", F.xxhash64(F.col(t), F.col(s)))
-    pairs = chosen.select(F.col("doc_id").alias("_mix_id"), F.col("mark").alias("_mix_m"), "copies")
-    both = marked.join(pairs, F.col(d).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_mark") == F.col("_mix_m")))
-    return both.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    pairs = chosen.select(F.col("doc_id").alias("_mix_id"), F.col("mark").alias("_mix_m"), F.col("copies").alias("_mix_copies"))
+    both = marked.join(pairs, marked[d].eqNullSafe(F.col("_mix_id")) & (F.col("_mix_mark") == F.col("_mix_m")))
+    return both.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

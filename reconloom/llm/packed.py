@@ -12,7 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from reconloom.llm.common import words
 
@@ -104,3 +108,51 @@ def opened(table: pa.Table) -> dict[str, np.ndarray]:
     """The keys of all messages of a bucket, with an owner for each."""
     get = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in table.column(c).to_pylist()]) if table.num_rows else np.zeros(0, t)
     return {"keys": get("keys", np.uint64), "seconds": get("seconds", np.uint64), "owners": np.repeat(get("owners", np.int64), get("runs", np.uint32)), "places": get("places", np.uint32)}
+
+
+def id_filter(ids: DataFrame, column: str, bits: int = 25) -> Broadcast:
+    """A bitmap of 2**bits places with those of all ids set: a bounded broadcast, whatever the number of ids.
+
+    Ids that are not there may pass (the more, the fuller it is), ids that are
+    there always do; so it only saves shuffling rows that an exact join drops.
+    """
+    parts = 32
+    width = (1 << bits) // parts
+
+    def mark(batches):
+        held = np.zeros(1 << bits, dtype=bool)
+        for batch in batches:
+            held[_place(batch.column(0), bits)] = True
+        packed = np.packbits(held).reshape(parts, -1)
+        some = [p for p in range(parts) if packed[p].any()]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "marks": [packed[p].tobytes() for p in some]}, schema=pa.schema([("part", pa.int32()), ("marks", pa.binary())]))
+
+    def join(table: pa.Table) -> pa.Table:
+        total = np.zeros(width // 8, dtype=np.uint8)
+        for x in table.column("marks").to_pylist():
+            total |= np.frombuffer(x, dtype=np.uint8)
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "marks": [total.tobytes()]})
+
+    total = np.zeros((parts, width // 8), dtype=np.uint8)
+    for r in ids.select(F.col(column).cast("long").alias("id")).where("id is not null").mapInArrow(mark, "part int, marks binary").groupBy("part").applyInArrow(join, "part int, marks binary").collect():
+        total[r["part"]] = np.frombuffer(bytes(r["marks"]), dtype=np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(total.reshape(-1))
+
+
+def _place(column: pa.Array, bits: int) -> np.ndarray:
+    return (mixed(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def maybe(rows: DataFrame, column: str, marks: Broadcast, bits: int = 25, inside: bool = True) -> DataFrame:
+    """Rows whose id may be in the filter; with ``inside`` False the others, those with a null id among them."""
+    at = rows.columns.index(column)
+
+    def keep(batches):
+        for batch in batches:
+            ids = batch.column(at)
+            place = _place(pc.fill_null(ids, 0), bits)
+            found = (marks.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+            found &= ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(found if inside else ~found))
+
+    return rows.mapInArrow(keep, rows.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reconloom.llm.common import text_slices, words
-from reconloom.llm.packed import MESSAGE, Sender, digest, mixed, opened, word_ids
+from reconloom.llm.packed import MESSAGE, Sender, digest, id_filter, maybe, mixed, opened, word_ids
 from reconloom.sources.durable import durable, release
 
 #: Rounds: what joins, and the longest phrase in words that takes part. CONTEXT is the sum of these lengths.
@@ -174,7 +174,7 @@ def marks(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str =
                     yield from _certain(out)
         yield from _certain(out)
 
-    texts = rows.withColumnRenamed("doc_id", "rep").join(hits.hint("shuffle_hash"), "rep").select("rep", "hits", "text")
+    texts = maybe(rows, "doc_id", id_filter(hits, "rep")).withColumnRenamed("doc_id", "rep").join(hits.hint("shuffle_hash"), "rep").select("rep", "hits", "text")
     named = durable(texts.mapInArrow(open_windows, MESSAGE + ", later boolean"), "sub-windows")
     later = named.where("not later").drop("later").groupBy("bucket").applyInArrow(_not_first, "doc_id long, starts binary")
     certain = named.where("later").select("owners", "runs", "places").mapInArrow(_split, "doc_id long, starts binary")
@@ -297,7 +297,7 @@ def removal(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.string())]))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cut = rows.join(starts.hint("shuffle_hash"), "doc_id").select("doc_id", "starts", "text").mapInArrow(apply, schema).dropDuplicates(["doc_id", "d1"])
+    cut = maybe(rows, "doc_id", id_filter(starts, "doc_id")).join(starts.hint("shuffle_hash"), "doc_id").select("doc_id", "starts", "text").mapInArrow(apply, schema).dropDuplicates(["doc_id", "d1"])
     both = each.join(cut.withColumnRenamed("d1", "_1").withColumnRenamed("doc_id", "_i"), (F.col("doc_id") == F.col("_i")) & (F.col("d1") == F.col("_1")) & ~F.col("whole"), "left")
     return both.select(
         "doc_id", "n_words", F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -314,7 +314,9 @@ def deduplicated(docs: DataFrame, window: int = 20, text: str = "text", length:
     each, starts = marks(docs, window, "doc_id", text)
     copies = each.where("whole").select("doc_id").distinct().withColumn("_sub_whole", F.lit(True))
     decided = starts.join(copies, "doc_id", "full").select(F.col("doc_id").alias("_sub_id"), F.col("starts").alias("_sub_starts"), F.coalesce("_sub_whole", F.lit(False)).alias("_sub_whole"))
-    both = docs.join(decided.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_sub_id"), "left").drop("_sub_id")
+    decided = durable(decided, "sub-decided")
+    marks = id_filter(decided, "_sub_id")
+    both = maybe(docs, "doc_id", marks).join(decided.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_sub_id"), "left").drop("_sub_id")
     names, schema = docs.columns, StructType(docs.schema.fields)
     at_text = names.index(text)
     at_length = names.index(length) if length in names else None
@@ -337,4 +339,4 @@ def deduplicated(docs: DataFrame, window: int = 20, text: str = "text", length:
                 cols[at_length] = pa.array(size, cols[at_length].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return both.mapInArrow(apply, schema)
+    return maybe(docs, "doc_id", marks, inside=False).unionByName(both.mapInArrow(apply, schema))
