@@ -315,8 +315,8 @@ def deduplicated(docs: DataFrame, window: int = 20, text: str = "text", length:
     copies = each.where("whole").select("doc_id").distinct().withColumn("_sub_whole", F.lit(True))
     decided = starts.join(copies, "doc_id", "full").select(F.col("doc_id").alias("_sub_id"), F.col("starts").alias("_sub_starts"), F.coalesce("_sub_whole", F.lit(False)).alias("_sub_whole"))
     decided = durable(decided, "sub-decided")
-    marks = id_filter(decided, "_sub_id")
-    both = maybe(docs, "doc_id", marks).join(decided.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_sub_id"), "left").drop("_sub_id")
+    touched = id_filter(decided, "_sub_id")
+    both = maybe(docs, "doc_id", touched).join(decided.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_sub_id"), "left").drop("_sub_id")
     names, schema = docs.columns, StructType(docs.schema.fields)
     at_text = names.index(text)
     at_length = names.index(length) if length in names else None
@@ -339,4 +339,4 @@ def deduplicated(docs: DataFrame, window: int = 20, text: str = "text", length:
                 cols[at_length] = pa.array(size, cols[at_length].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return maybe(docs, "doc_id", marks, inside=False).unionByName(both.mapInArrow(apply, schema))
+    return maybe(docs, "doc_id", touched, inside=False).unionByName(both.mapInArrow(apply, schema))
