@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reconloom.sources.shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediates."""
@@ -24,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a reader of it."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -32,3 +33,15 @@ def test_rest_works_without_corpus_subpackage(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_workers_find_the_package(tmp_path):
+    code = (
+        f"import sys; sys.path.insert(0, {str(ROOT)!r})\n"
+        "from reconloom.session import local_session\n"
+        "import __spark_entry__ as e\n"
+        "print(e.queries()['sequence_ratio'](local_session(2, 2), '/root/testdata/sf0.001').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
