@@ -55,7 +55,7 @@ NAMES = Surrogate(
 )
 #: One entity for each brand and type, with an alias and a usage.
 BRANDED = Surrogate(
-    "part", "p_partkey < 400", id="p_partkey || ''", ordinal="p_partkey", usage="p_size",
+    "part", id="p_partkey || ''", ordinal="p_partkey", usage="p_size",
     name="CASE p_partkey % 4 WHEN 0 THEN upper(p_type) || ' ' || p_brand WHEN 1 THEN lower(p_type) || '_' || lower(p_brand) WHEN 2 THEN p_type || '-' || p_brand ELSE p_type || p_brand END",
     alias="CASE WHEN p_partkey % 7 = 0 THEN p_name || p_brand WHEN p_partkey % 7 = 1 THEN p_type || ' ' || p_brand ELSE NULL END",
     rich="p_partkey % 11 = 0", signature="(p_partkey % 3) || ''",

@@ -74,8 +74,8 @@ query("status_transition", f"SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'I
     lambda t: t.events.select("event_id", flow.transition(F.when(F.col("event_id") % 6 == 0, "Imported").otherwise("Pending"), F.expr(_OUT)).alias("status"))
 )
 query("incremental_pending", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda t: flow.pending(t.documents.select(F.col("doc_id").alias("id")), t.labels.select(F.col("doc_id").alias("id"))))
-query("authoritative_miss", f"SELECT user_id, count(*) AS attempts, bool_and(s = 'miss') AND count(*) > 0 AS no_match, bool_or(s IN ('retryable_error','unavailable')) AS retryable FROM (SELECT user_id, {_OUT} AS s FROM events WHERE event_id % 40 = 0) e GROUP BY 1")(
-    lambda t: flow.authoritative(t.events.where("event_id % 40 = 0").select("user_id", F.expr(_OUT).alias("status")), "user_id")
+query("authoritative_miss", f"SELECT lookup_id, count(*) AS attempts, bool_and(s = 'miss') AND count(*) > 0 AS no_match, bool_or(s IN ('retryable_error','unavailable')) AS retryable FROM (SELECT CAST(floor(event_id / 3) AS BIGINT) AS lookup_id, {_OUT} AS s FROM events) e GROUP BY 1")(
+    lambda t: flow.authoritative(t.events.select(F.expr("CAST(floor(event_id / 3) AS BIGINT)").alias("lookup_id"), F.expr(_OUT).alias("status")), "lookup_id")
 )
 _RES = "CASE event_type WHEN 'purchase' THEN 'updated_a' WHEN 'view' THEN 'matched_b' WHEN 'error' THEN 'failed' ELSE 'unchanged_a' END"
 query("run_stats", f"SELECT count(*) AS processed, count(*) FILTER (WHERE r LIKE 'matched%') AS matched, count(*) FILTER (WHERE r LIKE 'updated%') AS updated, count(*) FILTER (WHERE r LIKE 'unchanged%') AS unchanged, count(*) FILTER (WHERE r = 'failed') AS failed FROM (SELECT {_RES} AS r FROM events) e")(
@@ -112,25 +112,25 @@ query("history_anti_join", "SELECT DISTINCT o_custkey, o_orderdate FROM orders W
 query("hierarchy_delta", "SELECT DISTINCT n_nationkey AS child, n_regionkey AS parent FROM nation WHERE n_nationkey <> n_regionkey AND NOT (n_nationkey % 2 = 0)")(
     lambda t: merge.missing_edges(t.nation.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("child"), F.col("n_regionkey").alias("parent")), t.nation.select(F.col("n_nationkey").alias("child"), F.col("n_regionkey").alias("parent")))
 )
-_EV = "(SELECT o_custkey % 300 AS src, o_orderpriority AS e, o_custkey % 5 AS tgt FROM orders WHERE o_orderkey % 9 < 4)"
+_EV = "(SELECT o_custkey % 300 AS src, o_orderpriority AS e, o_custkey % 7 AS tgt FROM orders)"
 query("evidence_intersection", f"SELECT src, tgt FROM (SELECT a.src, a.tgt, count(*) OVER (PARTITION BY a.src) AS n FROM (SELECT src, tgt, count(DISTINCT e) AS k FROM {_EV} x GROUP BY 1, 2) a JOIN (SELECT src, count(DISTINCT e) AS alln FROM {_EV} y GROUP BY 1) b ON a.src = b.src WHERE k = alln) z WHERE n = 1")(
-    lambda t: merge.common_evidence(t.orders.where("o_orderkey % 9 < 4").selectExpr("o_custkey % 300 AS src", "o_orderpriority AS e", "o_custkey % 5 AS tgt"), "src", "e", "tgt")
+    lambda t: merge.common_evidence(t.orders.selectExpr("o_custkey % 300 AS src", "o_orderpriority AS e", "o_custkey % 7 AS tgt"), "src", "e", "tgt")
 )
 query("ordered_ci_distinct", "SELECT conv_id, string_agg(role, ',' ORDER BY k) AS roles FROM (SELECT conv_id, arg_min(role, turn) AS role, min(turn) AS k, lower(role) FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN upper(role) ELSE role END AS role FROM conversations) c GROUP BY conv_id, lower(role)) x GROUP BY 1")(
     lambda t: t.conversations.withColumn("role", F.when(F.col("turn") % 2 == 1, F.upper("role")).otherwise(F.col("role"))).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("m")).select("conv_id", F.array_join(winner.ordered_ci_distinct(F.transform("m", lambda x: x["role"]), F.array(F.lit(" "))), ",").alias("roles"))
 )
-query("merged_values", """SELECT p_type, string_agg(v, ',' ORDER BY k) AS aliases FROM (SELECT p_type, v, min(k) AS k FROM (SELECT p_type, p_brand AS v, p_partkey * 2 AS k FROM part WHERE p_partkey < 200 UNION ALL SELECT p_type, lower(p_type), p_partkey * 2 + 1 FROM part WHERE p_partkey < 200) u GROUP BY 1, 2) x GROUP BY 1""")(
-    lambda t: t.part.where("p_partkey < 200").groupBy("p_type").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_brand"))).alias("m")).select("p_type", F.array_join(winner.ordered_ci_distinct(F.flatten(F.transform("m", lambda x: F.array(x["p_brand"], F.lower("p_type"))))), ",").alias("aliases"))
+query("merged_values", """SELECT p_type, string_agg(v, ',' ORDER BY k) AS aliases FROM (SELECT p_type, v, min(k) AS k FROM (SELECT p_type, p_brand AS v, p_partkey * 2 AS k FROM part UNION ALL SELECT p_type, lower(p_type), p_partkey * 2 + 1 FROM part) u GROUP BY 1, 2) x GROUP BY 1""")(
+    lambda t: t.part.groupBy("p_type").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_brand"))).alias("m")).select("p_type", F.array_join(winner.ordered_ci_distinct(F.flatten(F.transform("m", lambda x: F.array(x["p_brand"], F.lower("p_type"))))), ",").alias("aliases"))
 )
 query("relation_union", "SELECT p_partkey, CASE WHEN p_brand = p_type THEN p_brand ELSE p_brand || ',' || p_type END || CASE WHEN p_name IN (p_brand, p_type) THEN '' ELSE ',' || p_name END AS ids FROM part")(lambda t: t.part.select("p_partkey", F.array_join(F.array_distinct(F.concat(F.array("p_brand", "p_type"), F.array("p_brand", "p_name"))), ",").alias("ids")))
 query("set_ops", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS both, c_custkey NOT IN (SELECT o_custkey FROM orders) AS only_left FROM customer")(
     lambda t: t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("_b", F.lit(True)), "c_custkey", "left").select("c_custkey", F.col("_b").isNotNull().alias("both"), F.col("_b").isNull().alias("only_left"))
 )
 query("top_k_review", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 250")(lambda t: t.events.select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(250))
-_NEAR = Surrogate("events", "event_id < 3000", id="event_id", k="event_type", at="CAST(event_id * 7 % 4001 AS DOUBLE) / 10")
+_NEAR = Surrogate("events", id="event_id", k="event_type", at="CAST(event_id * 7 % 4001 AS DOUBLE) / 10")
 query("near_time_join", f"SELECT a.id AS left_id, min(b.id) AS right_id FROM {_NEAR.sql} a JOIN {_NEAR.sql} b ON a.k = b.k AND abs(a.at - b.at) < 0.25 AND a.id <> b.id GROUP BY 1")(lambda t: names.near_in_time(_NEAR.df(t), _NEAR.df(t), "k", "at", 0.25))
-_REF = Surrogate("documents", "doc_id % 2 = 0", source="doc_id", folder="CASE WHEN doc_id % 3 = 0 THEN md5(substr(text, 1, 20)) END", zip="CASE WHEN doc_id % 5 = 0 THEN md5(substr(text, 1, 30)) END", title="substr(text, 1, 15)")
-_GAL = Surrogate("documents", "doc_id % 2 = 1", id="doc_id", ordinal="doc_id", folder="md5(substr(text, 1, 20))", zip="md5(substr(text, 1, 30))", title="substr(text, 1, 15)")
+_REF = Surrogate("documents", "doc_id % 2 = 0", source="doc_id", folder="CASE WHEN doc_id % 3 = 0 THEN lang || n_chars END", zip="CASE WHEN doc_id % 5 = 0 THEN md5(text) END", title="lang || CAST(floor(n_chars / 4) AS BIGINT)")
+_GAL = Surrogate("documents", "doc_id % 2 = 1", id="doc_id", ordinal="doc_id", folder="lang || n_chars", zip="md5(text)", title="lang || CAST(floor(n_chars / 4) AS BIGINT)")
 
 
 def _stage(key: str) -> str:
@@ -151,11 +151,11 @@ query("attachment_canonicalize", "SELECT o_custkey, string_agg(DISTINCT CASE WHE
 )
 
 
-@query("decision_pipeline", f"""WITH x AS (SELECT user_id AS id, max(value) FILTER (WHERE event_type = 'view') AS score, bool_or(event_id % 97 = 0) AS ex, bool_or(event_id % 89 = 0) AS nh, bool_and(s = 'miss') AS nm FROM (SELECT *, {_OUT} AS s FROM events) e WHERE event_id % 17 < 3 GROUP BY 1)
+@query("decision_pipeline", f"""WITH x AS (SELECT CAST(floor(event_id / 4) AS BIGINT) AS id, max(value) FILTER (WHERE event_type = 'view') AS score, bool_or(event_id % 97 = 0) AS ex, bool_or(event_id % 89 = 0) AS nh, bool_and(s = 'miss') AS nm FROM (SELECT *, {_OUT} AS s FROM events) e GROUP BY 1)
  , r AS (SELECT id, CASE WHEN ex THEN 'exact' WHEN nh THEN 'near_hash' WHEN score / 3 >= 92.95 THEN 'visual' WHEN score / 3 >= 84.95 THEN 'visual_review' ELSE 'none' END AS route, nm FROM x)
  SELECT id, route, CASE WHEN route IN ('exact','near_hash','visual') THEN 'Imported' WHEN route = 'visual_review' THEN 'Review' WHEN nm THEN 'NoMatch' ELSE 'Unresolved' END AS status FROM r""")
 def decide(t):
-    e = t.events.where("event_id % 17 < 3").withColumn("id", F.col("user_id")).withColumn("status", F.expr(_OUT))
+    e = t.events.withColumn("id", F.expr("CAST(floor(event_id / 4) AS BIGINT)")).withColumn("status", F.expr(_OUT))
     return flow.decision(e.where("event_id % 97 = 0"), e.where("event_id % 89 = 0"), e.where("event_type = 'view'").select("id", (F.col("value") / 3).alias("score")), e.select("id", "status"), e)
 
 

@@ -12,7 +12,7 @@ from reconloom.plans.binding import BRANDED, NAMES, Surrogate, q_compact, q_key,
 _OLD = "doc_id % 2 = 0"
 _ID, _HALF = "doc_id || ''", "CAST(floor(doc_id / 2) AS BIGINT)"
 _PATH = f"CASE WHEN {_HALF} % 3 = 0 THEN 'p/' || {_HALF} ELSE 'q/' || doc_id END"
-_MEDIA = {"id": _ID, "path": _PATH, "size": "n_chars", "md5": "md5(text)", "oshash": "md5(substr(text, 1, 24))", "phash": "substr(text, 1, 12)", "weak": f"doc_id % 2 = 0 AND {_HALF} % 5 = 0"}
+_MEDIA = {"id": _ID, "path": _PATH, "size": "n_chars", "md5": "md5(text)", "oshash": "md5(lang || n_chars)", "phash": "lang || CAST(floor(n_chars / 100) AS BIGINT)", "weak": f"doc_id % 2 = 0 AND {_HALF} % 5 = 0"}
 _SIDE = {k: Surrogate("documents", w, **_MEDIA) for k, w in (("old", _OLD), ("cur", "doc_id % 2 = 1"))}
 
 
@@ -63,7 +63,7 @@ def _flow():
 
 # --- names
 _KEYED = "SELECT id, ordinal, name FROM " + NAMES.sql
-_IN = Surrogate("part", "p_partkey < 200", name="CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '--') ELSE 'no such ' || p_name END")
+_IN = Surrogate("part", name="CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '--') ELSE 'no such ' || p_name END")
 
 
 def _entities(t):
@@ -106,14 +106,14 @@ query("resolve_or_create")(lambda t: fuzzy.resolve_or_create(_typos(t), _plain(t
 query("creation_guard")(lambda t: fuzzy.guarded(_typos(t), _plain(t)))
 
 # --- hashes from the signs of the embeddings
-_SIGNS = "(SELECT vec_id AS id, list_sum([CASE WHEN embedding[k] > 0 THEN CAST(1 AS HUGEINT) << CAST(k - 1 AS INTEGER) ELSE 0 END FOR k IN range(1, 65)])::HUGEINT::UBIGINT AS bits FROM embeddings WHERE vec_id < 5000)"
+_SIGNS = "(SELECT vec_id AS id, list_sum([CASE WHEN embedding[k] > 0 THEN CAST(1 AS HUGEINT) << CAST(k - 1 AS INTEGER) ELSE 0 END FOR k IN range(1, 65)])::HUGEINT::UBIGINT AS bits FROM embeddings)"
 
 
 def _hashes(t):
 
     text = F.array_join(F.reverse(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0"))), "")
 
-    return t.embeddings.where("vec_id < 5000").select(F.col("vec_id").alias("id"), F.conv(text, 2, -10).cast("long").alias("bits"))
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.conv(text, 2, -10).cast("long").alias("bits"))
 
 
 _NEAR = f"(SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.bits, b.bits)) AS BIGINT) AS distance FROM {_SIGNS} a JOIN {_SIGNS} b ON a.id <> b.id AND bit_count(xor(a.bits, b.bits)) <= 20)"
@@ -173,7 +173,7 @@ def _plan_sql(kinds: str, extra: str = "") -> str:
 
 _flat = lambda p: p.select("destination_id", F.array_join("source_ids", ",").alias("source_ids"), "kind")
 query("tag_cleanup_safe", _plan_sql("CASE WHEN bool_or(meta) THEN '-metadata-conflict' ELSE '' END"))(lambda t: _flat(cleanup.plan(_members(t), N.plain_name)))
-_EXT_ID = "(SELECT p_partkey || '' AS id, 'HTTPS://A' AS endpoint, (p_partkey % 5) || '' AS external_id FROM part WHERE p_partkey < 400 AND p_partkey % 6 = 0)"
+_EXT_ID = "(SELECT p_partkey || '' AS id, 'HTTPS://A' AS endpoint, (p_partkey % 5) || '' AS external_id FROM part WHERE p_partkey % 6 = 0)"
 query("entity_cleanup_safe", _plan_sql("CASE WHEN count(DISTINCT x.external_id) > 1 THEN '-external-id-conflict' WHEN bool_or(meta) THEN '-metadata-conflict' WHEN bool_or(sp.k IS NOT NULL) THEN '-external-name-conflict' ELSE '' END",
     f""", keys AS (SELECT id, {q_plain('name')} AS k FROM b UNION SELECT id, {q_plain('alias')} FROM b WHERE alias IS NOT NULL), ow AS (SELECT keys.id, keys.k, coalesce(comp.component, '-' || keys.id) AS c FROM keys LEFT JOIN comp ON keys.id = comp.id),
  sp AS (SELECT DISTINCT ow.id, ow.k FROM ow JOIN (SELECT k FROM ow GROUP BY 1 HAVING count(DISTINCT c) > 1) z ON ow.k = z.k)""").replace("FROM sv GROUP BY component", f"FROM (SELECT sv.*, xx.external_id AS xid FROM sv LEFT JOIN {_EXT_ID} xx ON sv.id = xx.id) sv LEFT JOIN (SELECT DISTINCT id AS spid, 1 AS k FROM sp) sp ON sp.spid = sv.id GROUP BY component").replace("x.external_id", "xid").replace("xxid", "xx.external_id"))(
@@ -182,7 +182,7 @@ query("entity_cleanup_safe", _plan_sql("CASE WHEN count(DISTINCT x.external_id)
 
 
 def _external(t):
-    return t.part.where("p_partkey < 400 AND p_partkey % 6 = 0").select(F.col("p_partkey").cast("string").alias("id"), F.lit("HTTPS://A").alias("endpoint"), (F.col("p_partkey") % 5).cast("string").alias("external_id"))
+    return t.part.where("p_partkey % 6 = 0").select(F.col("p_partkey").cast("string").alias("id"), F.lit("HTTPS://A").alias("endpoint"), (F.col("p_partkey") % 5).cast("string").alias("external_id"))
 
 
 query("safe_formatting_merge", f"""WITH b AS (SELECT *, k AS component FROM {_B} q WHERE length(k) >= 4), g AS (SELECT component, count(DISTINCT signature) FILTER (WHERE rich) > 1 AS meta, count(*) AS n FROM b GROUP BY 1)

@@ -87,7 +87,7 @@ query("confidence_band", "SELECT event_id, CASE WHEN s >= 92.95 THEN 'HIGH' WHEN
 query("inconclusive_flag", "SELECT user_id, max(value) >= 85 AND coalesce(max(CASE WHEN event_type = 'view' THEN value END), 0) < 85 AS inconclusive FROM events GROUP BY user_id")(
     lambda t: t.events.groupBy("user_id").agg(F.max("value").alias("best"), F.coalesce(F.max(F.when(F.col("event_type") == "view", F.col("value"))), F.lit(0.0)).alias("own")).select("user_id", ((F.col("best") >= 85) & (F.col("own") < 85)).alias("inconclusive"))
 )
-_DATES = Surrogate("orders", "o_orderkey < 4000", id="o_orderkey", d="CASE o_orderkey % 6 WHEN 0 THEN '' || (946684800 + o_orderkey * 86400) WHEN 1 THEN '' || ((946684800 + o_orderkey * 86400) * CAST(1000 AS BIGINT)) WHEN 2 THEN '2019-03-0' || (1 + o_orderkey % 9) || 'T10:00:00Z' WHEN 3 THEN '2020-11-05 10:11:12 +0200' WHEN 4 THEN 'Tue Mar 05 10:11:12 +0000 2013' ELSE 'unknown' END")
+_DATES = Surrogate("orders", id="o_orderkey", d="CASE o_orderkey % 6 WHEN 0 THEN '' || (946684800 + o_orderkey % 15000 * 86400) WHEN 1 THEN '' || ((946684800 + o_orderkey % 15000 * 86400) * CAST(1000 AS BIGINT)) WHEN 2 THEN '2019-03-0' || (1 + o_orderkey % 9) || 'T10:00:00Z' WHEN 3 THEN '2020-11-05 10:11:12 +0200' WHEN 4 THEN 'Tue Mar 05 10:11:12 +0000 2013' ELSE 'unknown' END")
 query("date_normalize", f"""SELECT id, CASE WHEN regexp_full_match(d, '\\d{{9,13}}') THEN strftime(make_timestamp((CASE WHEN CAST(d AS BIGINT) > 10000000000 THEN CAST(d AS BIGINT) // 1000 ELSE CAST(d AS BIGINT) END) * 1000000), '%Y-%m-%d')
   WHEN regexp_matches(d, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN substr(d, 1, 10) WHEN d LIKE 'Tue Mar%' THEN '2013-03-05' END AS day FROM {_DATES.sql}""")(lambda t: _DATES.df(t).select("id", N.source_date(F.col("d")).alias("day")))
 _TRY = Surrogate("part", id="p_partkey", v="CASE p_partkey % 6 WHEN 0 THEN '12' WHEN 1 THEN '3.9' WHEN 2 THEN 'x' WHEN 3 THEN '' WHEN 4 THEN 'Yes' ELSE '1' END")
