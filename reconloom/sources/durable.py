@@ -29,6 +29,8 @@ def durable(df: DataFrame, label: str = "table") -> DataFrame:
     ship(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    target, files = _location(spark, path)
+    files.deleteOnExit(target)  # what nobody releases goes with the application
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out
@@ -39,6 +41,10 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_durable_path", None)
         if path:
-            spark = df.sparkSession
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            target, files = _location(df.sparkSession, path)
+            files.delete(target, True)
+
+
+def _location(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
