@@ -45,8 +45,8 @@ def plain(v):
         return bool(v)
     if isinstance(v, (int, np.integer)):
         return int(v)
-    if isinstance(v, (float, np.floating)):
-        return float(v)
+    if isinstance(v, (float, np.floating)):  # pandas makes floats of integers beside nulls
+        return int(v) if float(v).is_integer() else float(v)
     return str(v)
 
 
