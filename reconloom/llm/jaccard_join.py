@@ -3,8 +3,8 @@
 A document is the set of its distinct word shingles; equal sets are one class.
 All shingles get one global order, rare first. Two sets with Jaccard similarity
 of at least t share a shingle among the first |A| - ceil(t |A|) + 1 of each, the
-prefix. Classes are partitioned into groups of similar ones by their smallest
-shingle hash. The token-group matrix says which groups hold a token in the
+prefix. Classes are partitioned into groups of similar ones by the most common
+shingle of their prefixes. The token-group matrix says which groups hold a token in the
 prefixes of their members: its row for a group is the union over the group. A
 group none of whose tokens is in a query's prefix cannot reach the overlap that
 t asks for, so only pairs of groups with a common token, and with sizes that
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reconloom.llm.common import text_slices
-from reconloom.llm.packed import MESSAGE, Sender, digest, lowered_words, mixed, opened, word_ids
+from reconloom.llm.packed import MESSAGE, Sender, digest, id_filter, lowered_words, maybe, mixed, opened, word_ids
 from reconloom.operators.components import connected_components
 from reconloom.sources.durable import durable, release
 
@@ -30,7 +30,7 @@ from reconloom.sources.durable import durable, release
 COUNTERS = 1 << 22
 _PARTS = 64
 #: Most classes of a group.
-GROUP = 256
+GROUP = 512
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,13 +85,13 @@ def similar_classes(docs: DataFrame, percent: int = 75, width: int = 5, doc_id:
         if size:
             counts += np.bincount((np.concatenate(held) >> np.uint64(42)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
         parts = counts.reshape(_PARTS, -1)
-        yield pa.RecordBatch.from_pydict({"doc_id": [None] * _PARTS, "n": [0] * _PARTS, "d1": [None] * _PARTS, "d2": [None] * _PARTS, "least": [None] * _PARTS, "part": list(range(_PARTS)), "counts": [p.tobytes() for p in parts]}, schema=_SURVEY)
+        yield pa.RecordBatch.from_pydict({"doc_id": [None] * _PARTS, "n": [0] * _PARTS, "d1": [None] * _PARTS, "d2": [None] * _PARTS, "part": list(range(_PARTS)), "counts": [p.tobytes() for p in parts]}, schema=_SURVEY)
 
-    surveyed = durable(rows.mapInArrow(survey, "doc_id long, n long, d1 long, d2 long, least long, part int, counts binary"), "jac-survey")
-    each = surveyed.where("part is null").select("doc_id", "n", "d1", "d2", "least")
+    surveyed = durable(rows.mapInArrow(survey, "doc_id long, n long, d1 long, d2 long, part int, counts binary"), "jac-survey")
+    each = surveyed.where("part is null").select("doc_id", "n", "d1", "d2")
     rank = docs.sparkSession.sparkContext.broadcast(_order(surveyed))
     total = each.agg(F.sum("n")).first()[0] or 0
-    classes = durable(each.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("least").alias("least")), "jac-classes")
+    classes = durable(each.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")), "jac-classes")
     buckets = int(max(16, -(-total * (100 - percent) // 100 // 1_000_000)))
 
     def send(batches):
@@ -102,40 +102,42 @@ def similar_classes(docs: DataFrame, percent: int = 75, width: int = 5, doc_id:
                 name = digest(s)[0] if len(s) else None
                 if len(s) and name not in seen:
                     seen.add(name)
-                    out.add(name, prefix(s, rank.value, percent))
+                    rare = prefix(s, rank.value, percent)
+                    out.add(name, rare, len(s) - np.arange(len(rare)))
                 if out.full():
                     yield from out.messages()
         yield from out.messages()
 
     sent = rows.where("doc_id is not null and text is not null").select("text").mapInArrow(send, MESSAGE)
-    hits = durable(sent.groupBy("bucket").applyInArrow(_repeated, "token long, d1 long"), "jac-hits")
-    taking = hits.select("d1").distinct().join(classes.select("d1", "rep", "n", "least", "copies"), "d1")
-    crowd = classes.join(hits.select("d1").distinct(), "d1", "left_semi").groupBy("least").agg(F.count("*").alias("_of"))
-    members = durable(taking.join(crowd, "least").select("d1", "rep", "n", "copies", F.xxhash64("least", F.pmod(F.xxhash64("rep"), F.ceil(F.col("_of") / GROUP))).alias("group")), "jac-members")
-    # the matrix: tokens by group, with the sizes of the members that have the token
-    matrix = hits.join(members.select("d1", "group", "n"), "d1").groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("held"))
+    hits = durable(sent.groupBy("bucket").applyInArrow(_repeated, "token long, d1 long, reach long, owners long"), "jac-hits")
+    # near copies agree on the token of their prefixes that most classes have: that is their group
+    leading = durable(hits.groupBy("d1").agg(F.max_by("token", F.struct("owners", "token")).alias("lead")), "jac-lead")
+    crowd = leading.groupBy("lead").agg(F.count("*").alias("_of"))
+    taking = leading.join(classes.select("d1", "rep", "n", "copies"), "d1")
+    members = durable(taking.join(crowd, "lead").select("d1", "rep", "n", "copies", F.xxhash64("lead", F.pmod(F.xxhash64("rep"), F.ceil(F.col("_of") / GROUP))).alias("group")), "jac-members")
+    # the matrix: tokens by group, with the sizes of the members that have the token and what their order leaves from it on
+    matrix = hits.join(members.select("d1", "group", "n"), "d1").groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("reach"), F.count("*").alias("held"))
     parts = max(16, buckets)
     pairs = durable(matrix.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_pairs(percent), "g long, h long").distinct(), "jac-pairs")
     both = pairs.select("g", "h", F.explode(F.when(F.col("g") == F.col("h"), F.array("g")).otherwise(F.array("g", "h"))).alias("group"))
-    opened_ = both.join(members.select("group", "rep", "copies"), "group").select("g", "h", "group", "rep", "copies")
-    texts = rows.withColumnRenamed("doc_id", "rep").join(opened_.hint("shuffle_hash"), "rep")
+    opened_ = durable(both.join(members.select("group", "rep", "copies"), "group").select("g", "h", "group", "rep", "copies"), "jac-open")
+    texts = maybe(rows, "doc_id", id_filter(opened_, "rep")).withColumnRenamed("doc_id", "rep").join(opened_.hint("shuffle_hash"), "rep")
     tasks = texts.repartition(max(16, 2 * buckets), "g", "h").sortWithinPartitions("g", "h", "rep")
     links = durable(tasks.select("g", "h", "group", "rep", "copies", "text").mapInArrow(_verify(percent, width), "rep long, links long, root long"), "jac-links")
     components = connected_components(links.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     around = links.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.select("d1", "d2", "rep", "copies").join(around, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
     result = each.join(known.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "rep", "copies", "links", "component"), (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")) & F.col("doc_id").isNotNull(), "left")
-    release(hits, members, pairs)
+    release(hits, leading, members, pairs, opened_)
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"))
 
 
-_SURVEY = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("least", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+_SURVEY = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
 def _survey_rows(ids: pa.Array, sets: list[np.ndarray], names: list) -> pa.RecordBatch:
-    least = [int(s[0].view(np.int64)) if len(s) else None for s in sets]
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array(least, pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
+        [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
         schema=_SURVEY,
     )
 
@@ -171,28 +173,30 @@ def _repeated(table: pa.Table) -> pa.Table:
     """Tokens with two owners at least, once for each owner."""
     got = opened(table)
     order = np.lexsort((got["owners"], got["keys"]))
-    k, o = got["keys"][order], got["owners"][order]
+    k, o, left = got["keys"][order], got["owners"][order], got["places"][order]
     new = np.ones(len(k), dtype=bool)
     new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-    k, o = k[new], o[new]
-    same = k[1:] == k[:-1]
-    keep = np.zeros(len(k), dtype=bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    return pa.table({"token": k[keep].view(np.int64), "d1": o[keep]})
+    k, o, left = k[new], o[new], left[new]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.r_[first, len(k)])
+    owners = np.repeat(times, times)
+    keep = owners > 1
+    return pa.table({"token": k[keep].view(np.int64), "d1": o[keep], "reach": left[keep].astype(np.int64), "owners": owners[keep]})
 
 
 def _pairs(percent: int):
     def pairs(batches):
         found: set[tuple[int, int]] = set()
 
-        def token(groups, low, high, held):
+        def token(groups, low, high, reach, held):
+            """Pairs that may still reach the overlap if this is the first token they share: percent / (100 + percent) of both sizes."""
             order = np.argsort(groups)
-            g, lo, hi, n = groups[order], low[order], high[order], held[order]
+            g, lo, hi, most, n = groups[order], low[order], high[order], reach[order], held[order]
             for i in range(len(g)):
-                if n[i] > 1:
+                if n[i] > 1 and (100 + percent) * most[i] >= 2 * percent * lo[i]:
                     found.add((int(g[i]), int(g[i])))
-                ok = np.flatnonzero((100 * hi[i + 1 :] >= percent * lo[i]) & (100 * hi[i] >= percent * lo[i + 1 :])) + i + 1
+                enough = (100 + percent) * np.minimum(most[i], most[i + 1 :]) >= percent * (lo[i] + lo[i + 1 :])
+                ok = np.flatnonzero(enough & (100 * hi[i + 1 :] >= percent * lo[i]) & (100 * hi[i] >= percent * lo[i + 1 :])) + i + 1
                 found.update((int(g[i]), x) for x in g[ok].tolist())
                 if len(found) > 200_000:
                     yield flush()
@@ -204,7 +208,7 @@ def _pairs(percent: int):
 
         last: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(5)]
+            cols = [batch.column(k).to_numpy() for k in range(6)]
             if last is not None:
                 cols = [np.concatenate(x) for x in zip(last, cols, strict=True)]
             cut = np.append(np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]), len(cols[0]))
@@ -306,4 +310,7 @@ def _verify(percent: int, width: int):
 def keep_one(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     """``docs`` with one document of each component: the one whose id names it. Rows with a null id stay."""
     found = similar_classes(docs, percent, width).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = durable(found, "jac-copies")
+    marks = id_filter(found, "doc_id")
+    checked = maybe(docs, "doc_id", marks).join(found, "doc_id", "left_anti").select(*docs.columns)
+    return maybe(docs, "doc_id", marks, inside=False).unionByName(checked)
