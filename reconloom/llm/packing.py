@@ -12,27 +12,43 @@ to which sequences and places; a distributed rank within each length does the re
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from array import array
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reconloom.llm.common import text_slices, words
+from reconloom.llm.ranks import MARK, piece_encoder
 from reconloom.sources.durable import durable
 
 #: Most entries of a worker's memo of word tokens.
-MEMO = 500_000
+MEMO = 300_000
+#: Fixed value: the split pattern of the tokenizer file.
+_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Characters on whose case, class and composition all libraries agree.
+_COVERED = regex.compile("[\x21-\x7e\u00a1-\u024f\u2010-\u2027\u20a0-\u20bf]*")
 #: Parts that the pieces of one length are ranked in.
 RANK_PARTS = 256
 
 
 class WordTokens:
-    """Ids of a tokenizer that drops white space, so that each word's tokens stand alone; remembered by word."""
+    """Ids of a tokenizer that drops white space, so that each word's tokens stand alone; remembered by word.
+
+    New words go through the same merges by a faster route: a rank encoder to
+    which the end-of-word mark is one more byte, 0xff, that UTF-8 never has. Every
+    byte with the mark ranks before all merges, so the mark joins its byte first,
+    as in the tokenizer file. Words with characters whose Unicode data may differ
+    between libraries, or with a special token, are encoded by the library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -40,19 +56,44 @@ class WordTokens:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.merge = piece_encoder(spec["model"]) if spec["model"].get("end_of_word_suffix") else None
+        self.parts: dict[bytes, bytes] = {}
         self.known: dict[bytes, bytes] = {}
 
+    def encode(self, word: bytes) -> bytes:
+        if self.merge is not None:
+            if word.isalpha():  # ASCII letters
+                return self.part(word.lower())
+            last = word[-1:]
+            if word[:-1].isalpha() and last.isascii() and not last.isalnum() and last > b" " and last != b"\x7f":
+                return self.part(word[:-1].lower()) + self.part(last)
+        text = word.decode("utf-8", "surrogatepass")
+        if self.merge is None or not _COVERED.fullmatch(text) or any(x in text for x in self.special):
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        lowered = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+        return b"".join([self.part(p.encode("utf-8")) for p in _PRETOKEN.findall(lowered)])
+
+    def part(self, piece: bytes) -> bytes:
+        got = self.parts.get(piece)
+        if got is None:
+            got = array("I", self.merge(piece + MARK)).tobytes()
+            if len(self.parts) >= MEMO:
+                self.parts.clear()
+            self.parts[piece] = got
+        return got
+
     def ids(self, own: list[bytes]) -> bytes:
         """Little-endian unsigned 32-bit ids of the words."""
         known = self.known
-        missing = list({w for w in own if w not in known})
+        missing = {w for w in own if w not in known}
         if len(known) + len(missing) > MEMO:
             known.clear()
-            missing = list(set(own))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            missing = set(own)
+        for w in missing:
+            known[w] = self.encode(w)
         return b"".join([known[w] for w in own])
 
 
@@ -142,8 +183,11 @@ def configuration(sizes: np.ndarray, left: np.ndarray, limit: int) -> np.ndarray
     return take
 
 
-def plan(histogram: np.ndarray, limit: int, groups: int = 48, large: float = 1 / 8) -> Plan:
-    """Plan sequences for ``histogram[l]`` pieces of each length l (1 to ``limit``)."""
+def plan(histogram: np.ndarray, limit: int, groups: int = 96, large: float = 1 / 8, accept: float = 0.99) -> Plan:
+    """Plan sequences for ``histogram[l]`` pieces of each length l (1 to ``limit``).
+
+    A group that no configuration with a rounded fill of ``accept`` takes joins the small pieces in the best fit.
+    """
     out = Plan(limit)
     hist = np.asarray(histogram, dtype=np.int64)
     used = np.zeros(limit + 1, dtype=np.int64)  # ranks given out by length
@@ -159,6 +203,8 @@ def plan(histogram: np.ndarray, limit: int, groups: int = 48, large: float = 1 /
 
     border = max(1, int(limit * large))
     lengths = [l for l in range(limit, border, -1) if hist[l]]  # noqa: E741
+    rest = hist.copy()  # for best fit
+    rest[border + 1 :] = 0
     total = int(sum(hist[l] for l in lengths))
     if total:
         each = -(-total // min(groups, total))
@@ -177,6 +223,12 @@ def plan(histogram: np.ndarray, limit: int, groups: int = 48, large: float = 1 /
         left = np.array([sum(c for _, c in r) for r in runs], dtype=np.int64)
         while left.any():
             take = configuration(sizes, left, limit)
+            if (take * sizes).sum() < accept * limit:  # rounding would waste more than best fit does
+                first = int(np.flatnonzero(left)[0])
+                for length, count in runs[first]:
+                    rest[length] += count
+                left[first] = 0
+                continue
             times = int((left[take > 0] // take[take > 0]).min())
             slots = np.repeat(np.arange(len(sizes)), take)
             left -= take * times
@@ -202,8 +254,8 @@ def plan(histogram: np.ndarray, limit: int, groups: int = 48, large: float = 1 /
                 leave(limit - offset, out.bins, n)
                 out.bins += n
                 times -= n
-    for l in range(border, 0, -1):  # noqa: E741
-        n = int(hist[l])
+    for l in range(limit, 0, -1):  # noqa: E741
+        n = int(rest[l])
         while n:
             k = bisect_left(rooms, l)
             if k == len(rooms):
@@ -226,7 +278,7 @@ def plan(histogram: np.ndarray, limit: int, groups: int = 48, large: float = 1 /
     return out
 
 
-def pack(cut: DataFrame, limit: int = 4096, groups: int = 48) -> DataFrame:
+def pack(cut: DataFrame, limit: int = 4096, groups: int = 96) -> DataFrame:
     """All columns of ``cut`` (which has ``length``, 1 to ``limit``) plus ``sequence_id`` and ``offset``.
 
     Pieces of one length are ranked by hash parts whose counts are added up
