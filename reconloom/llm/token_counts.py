@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from reconloom.llm.common import carry, text_slices, with_fields
+from reconloom.llm.ranks import piece_encoder
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -63,8 +64,9 @@ class Counter:
         self.tok.no_padding()
         self.whole = whole
         with open(path, encoding="utf-8") as f:
-            added = json.load(f)["added_tokens"]
-        self.special = [x["content"] for x in added]
+            spec = json.load(f)
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.merge = piece_encoder(spec["model"])
         self.chunks = _Chunks(self)
         self.merged = 0
 
@@ -80,7 +82,7 @@ class Counter:
                 rest.append(piece)
         if rest:
             self.merged += len(rest)
-            n += sum(len(e.ids) for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)) if len(rest) > 1 else self.library(rest[0])
+            n += sum([len(self.merge(p.encode("utf-8"))) for p in rest])
         return n
 
     def count(self, text: str | None) -> int:
