@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import codepoints, text_slices, with_fields
+from reconloom.llm.common import carry, codepoints, text_slices, with_fields
 
 #: Predicted for a null text and for a text without letters.
 UNDETERMINED = "und"
 _SPACE = 32
+#: Characters of a slice.
+_CHARS = 1 << 18
 _table: np.ndarray | None = None
 
 
@@ -56,6 +58,31 @@ class LanguageModel:
     bits: int
 
 
+@dataclass
+class Usual:
+    """What the mean log-likelihood a gram of texts in the learned languages is, and how far it spreads."""
+
+    centre: float
+    gram_spread: float
+    text_spread: float
+
+    def below(self, mean: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """How many spreads ``mean`` lies below the centre; a mean over few grams spreads wider.
+
+        Grams overlap, so about one in four counts as independent: one odd word doesn't make a short text strange."""
+        return (self.centre - mean) / np.sqrt(self.text_spread**2 + 4 * self.gram_spread**2 / np.maximum(grams, 1))
+
+
+#: Texts with fewer grams do not set the usual, and the least spread of texts as a share of that of grams.
+USUAL_GRAMS, LEAST_SPREAD = 200, 0.1
+
+
+def _sampled(docs: DataFrame, text: str, lang: str, max_rows: int) -> DataFrame:
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    total = rows.count()
+    return rows if total <= max_rows else rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_rows / total)))
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15, max_rows: int = 20_000, alpha: float = 0.5) -> LanguageModel:
     """Fit on rows with a language and a text.
 
@@ -63,15 +90,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15,
     are taken by a hash of text and language, the same rows in every run. Counts
     are summed by Spark; the driver receives at most 2**bits rows a language.
     """
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    total = rows.count()
-    if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_rows / total)))
+    rows = _sampled(docs, text, lang, max_rows)
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, chars=_CHARS):
             langs = batch.column(1).to_pylist()
             for name in set(langs):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == name]
@@ -96,21 +120,60 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15,
     return LanguageModel(names, np.log(prior / prior.sum()) if names else prior, np.ascontiguousarray(log_prob.T, dtype=np.float32), bits)
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "") -> DataFrame:
-    """All columns of ``docs`` plus ``<prefix>lang_pred`` and ``<prefix>score``.
+def usual(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang", max_rows: int = 20_000) -> Usual | None:
+    """The usual likelihood, from rows with a language that ``model`` was not fitted on; None without such rows.
+
+    Each gram counts as in the language that likes it best, so texts of mixed languages are usual. Medians are
+    taken, so that some texts in no learned language do not shift it. ``max_rows`` bounds the rows as in ``fit``;
+    the driver receives three numbers a row.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches):
+        m = shared.value
+        best = m.log_prob.max(axis=0)
+        for _, texts in text_slices(batches, chars=_CHARS):
+            h, owner, lettered = _grams(texts, m.bits)
+            grams, mean = _best_mean(best, h, owner, len(texts))
+            square = np.bincount(owner, weights=(best * best)[h], minlength=len(texts)) / np.maximum(grams, 1)
+            spread = np.sqrt(np.maximum(square - mean**2, 0))
+            yield pa.RecordBatch.from_pydict({"grams": grams[lettered], "mean": mean[lettered], "spread": spread[lettered]})
+
+    if not model.languages:
+        return None
+    got = _sampled(docs, text, lang, max_rows).where(F.col("lang").isin(model.languages)).mapInArrow(measure, "grams long, mean double, spread double").toPandas()
+    if (got["grams"] >= USUAL_GRAMS).any():
+        got = got[got["grams"] >= USUAL_GRAMS]
+    if not len(got):
+        return None
+    centre, gram_spread = float(got["mean"].median()), float(got["spread"].median())
+    return Usual(centre, gram_spread, max(1.4826 * float((got["mean"] - centre).abs().median()), LEAST_SPREAD * gram_spread))
+
+
+def _best_mean(best: np.ndarray, h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of grams of each text, and their mean log-likelihood in the language that likes each best."""
+    grams = np.bincount(owner, minlength=n)
+    return grams, np.bincount(owner, weights=best[h], minlength=n) / np.maximum(grams, 1)
+
+
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "", against: Usual | None = None) -> DataFrame:
+    """All columns of ``docs`` plus ``<prefix>lang_pred`` and ``<prefix>score``, and ``<prefix>strange`` if ``against`` is given.
 
     A column of ``docs`` with such a name is replaced. ``score`` is the posterior
     of the predicted language under a per-gram temperature: 0 for ``und``. Equal
     posteriors go to the first language by code point. Whole texts are scored,
-    in slices that bound a task's memory.
+    in slices that bound a task's memory. ``strange`` is how many spreads the text's
+    mean log-likelihood a gram lies below the usual; it does not compare the learned
+    languages, as ``score`` does, so it is high for foreign texts and noise.
     """
-    pred, score = f"{prefix}lang_pred", f"{prefix}score"
-    base = docs.drop(pred, score)
+    pred, score, strange = f"{prefix}lang_pred", f"{prefix}score", f"{prefix}strange"
+    base = docs.drop(pred, score) if against is None else docs.drop(pred, score, strange)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches):
         m = shared.value
-        for batch, texts in text_slices(batches, text):
+        top = m.log_prob.max(axis=0) if against is not None else None
+        for batch, texts in text_slices(batches, text, _CHARS):
             n = len(texts)
             sums = np.zeros((n, len(m.languages)))
             h, owner, lettered = _grams([t or "" for t in texts], m.bits)
@@ -129,6 +192,10 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", prefix: s
                 best, value, lettered = np.zeros(n, dtype=int), np.zeros(n), np.zeros(n, dtype=bool)
             value = np.where(lettered, value, 0.0)
             names = [m.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(value, pa.float64())], names=[*batch.schema.names, pred, score])
+            more = {pred: pa.array(names, pa.string()), score: pa.array(value, pa.float64())}
+            if against is not None:
+                count, mean = _best_mean(top, h, owner, n)
+                more[strange] = pa.array(np.where(lettered, against.below(mean, count), 0.0), pa.float64())
+            yield carry(batch, **more)
 
-    return base.mapInArrow(apply, with_fields(base, f"`{pred}` string, `{score}` double"))
+    return base.mapInArrow(apply, with_fields(base, f"`{pred}` string, `{score}` double" + (f", `{strange}` double" if against is not None else "")))

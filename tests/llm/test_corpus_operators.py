@@ -409,3 +409,22 @@ def test_pipeline_stages(spark, data, docs):
             assert Counter((r["doc_id"], hashlib.sha256(" ".join(words(r["text"])).encode()).hexdigest()) for r in kept.collect()) == want
     packed_rows = corpus_pipeline.STAGES[4][1](spark, kept, data)
     assert packed_rows.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+
+
+def test_language_stage_rejects_foreign_texts_and_noise(spark, data, docs):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    some = lambda letters, a, b, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(a, b))) for _ in range(n))
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem."
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью."
+    bad = [polish, russian, "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心。", some(string.ascii_lowercase, 2, 9, 40), some(string.ascii_letters + string.digits + "+/", 76, 76, 8)] * 2
+    clean = {r["lang"]: r["text"] for r in docs.where("n_chars between 400 and 4000").orderBy(F.desc("doc_id")).collect()}
+    assert len(clean) == 4
+    good = [x[:200] + " " + y[:200] for x in clean.values() for y in clean.values()] + [x[: x.index(" ", n)] for x in clean.values() for n in (10, 30, 60)]
+    more = [(1_000_000 + k, t, None if k % 2 else "en", "a", len(t)) for k, t in enumerate(bad + good)]
+    mixed = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, mixed, data).select("doc_id").collect()}
+    assert not kept & {1_000_000 + k for k in range(len(bad))}
+    assert kept >= {1_000_000 + k for k in range(len(bad), len(more))}
+    assert kept >= {r["doc_id"] for r in docs.where("text rlike '[a-z]'").collect()}
