@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import text_slices
+from reconloom.llm.common import fresh, text_slices
 from reconloom.llm.packed import MESSAGE, Sender, digest, id_filter, lowered_words, maybe, mixed, opened, word_ids
 from reconloom.operators.components import connected_components
 from reconloom.sources.durable import durable, release
@@ -308,9 +308,16 @@ def _verify(percent: int, width: int):
 
 
 def keep_one(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id names it. Rows with a null id stay."""
+    """``docs`` with one document of each component: the one whose id names it. Rows with a null id stay.
+
+    Of rows with the same id and text one stays, that whose further columns come first as JSON. Rows with the same
+    id and different texts are one document, and all of them stay if it does."""
     found = similar_classes(docs, percent, width).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
     found = durable(found, "jac-copies")
-    marks = id_filter(found, "doc_id")
-    checked = maybe(docs, "doc_id", marks).join(found, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    marks = id_filter(found.unionByName(repeated), "doc_id")
+    rest, one = [c for c in docs.columns if c != "text"], fresh(docs, "one")
+    checked = maybe(docs, "doc_id", marks).join(found, "doc_id", "left_anti")
+    checked = checked.groupBy("doc_id", "text").agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias(one))
+    checked = checked.select(*[F.col("text") if c == "text" else F.col(f"{one}.{c}").alias(c) for c in docs.columns])
     return maybe(docs, "doc_id", marks, inside=False).unionByName(checked)

@@ -428,3 +428,11 @@ def test_language_stage_rejects_foreign_texts_and_noise(spark, data, docs):
     assert not kept & {1_000_000 + k for k in range(len(bad))}
     assert kept >= {1_000_000 + k for k in range(len(bad), len(more))}
     assert kept >= {r["doc_id"] for r in docs.where("text rlike '[a-z]'").collect()}
+
+
+def test_near_copies_leave_one_of_repeated_rows(spark):
+    text, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, text, "a")] * 3 + [(1, text, "b"), (1, other, "a"), (2, text, "a"), (2, text, "a"), (3, None, None), (3, None, None), (4, "", "a"), (4, "", "a"), (None, text, "a"), (None, text, "a"), (5, "alone", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = Counter(tuple(r) for r in jaccard_join.keep_one(df).collect())
+    assert got == Counter([(1, text, "a"), (1, other, "a"), (3, None, None), (4, "", "a"), (None, text, "a"), (None, text, "a"), (5, "alone", "a")])
