@@ -131,7 +131,8 @@ def hook_image_ids(payloads: DataFrame, body: str = "body", id: str = "id") -> D
 def parents_first(entities: DataFrame, most: int = 64) -> DataFrame:
     """``id, level``: 0 for entities without a known parent, then one more than the parent; entities on a cycle have none.
 
-    ``entities``: ``id, parent``. Levels resolve in order, so a child finds its parent resolved."""
+    ``entities``: ``id, parent``. Levels resolve in order, so a child finds its parent resolved. A hierarchy deeper than
+    ``most`` levels is an error."""
     from reconloom.sources.durable import durable
 
     ids = entities.select(F.col("id").alias("parent"))
@@ -143,4 +144,6 @@ def parents_first(entities: DataFrame, most: int = 64) -> DataFrame:
         if front.isEmpty():
             return out
         out = out.unionByName(front)
+    if not edges.join(front.select(F.col("id").alias("parent")), "parent", "left_semi").isEmpty():
+        raise RuntimeError(f"a hierarchy is deeper than {most} levels")
     return out

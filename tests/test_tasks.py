@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from reconloom.plans import tasks
@@ -34,3 +35,10 @@ def test_small_tasks(spark):
     assert {tuple(r) for r in tasks.parents_first(tree).collect()} == {(1, 0), (2, 1), (3, 2), (4, 0)}
     waits = spark.createDataFrame([("3.5",), ("Thu, 01 Jan 1970 00:01:00 GMT",), ("soon",), (None,)], "h string")
     assert [r[0] for r in waits.select(tasks.retry_after(F.col("h"), F.to_timestamp(F.lit("1970-01-01 00:00:20")))).collect()] == [3.5, 40.0, 0.0, 0.0]
+
+
+def test_too_deep_hierarchies_are_an_error(spark):
+    chain = spark.createDataFrame([(k, k - 1) for k in range(1, 6)] + [(7, 8), (8, 7)], "id long, parent long")
+    assert {tuple(r) for r in tasks.parents_first(chain, most=4).collect()} == {(k, k - 1) for k in range(1, 6)}
+    with pytest.raises(RuntimeError):
+        tasks.parents_first(chain, most=3)
