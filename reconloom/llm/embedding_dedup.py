@@ -75,7 +75,7 @@ def fit(sample: np.ndarray, total: int, threshold: float, recall: float = 0.99,
     """Codebooks and number of visits from a bounded sample of unit vectors.
 
     Half of all meetings happen in the visited direction only, so the recall of
-    one direction is what is fitted."""
+    one direction is what is fitted. If 256 visits do not reach it, that is an error."""
     rng = np.random.default_rng(seed)
     k = words or int(min(4096, max(2, 2 ** np.ceil(np.log2(max(total, 2)) / 4 + 1))))
     k = min(k, len(sample))
@@ -89,7 +89,10 @@ def fit(sample: np.ndarray, total: int, threshold: float, recall: float = 0.99,
     cells = len(index.first) * index.words
     order = index.nearest_cells(at, min(cells, 256))
     place = (order == index.nearest_cells(near, 1)).argmax(axis=1) + np.where((order == index.nearest_cells(near, 1)).any(axis=1), 0, cells)
-    index.visits = int(min(cells, 256, np.quantile(place, recall) + 1))
+    needed = np.quantile(place, recall) + 1
+    if cells > 256 and needed > 256:
+        raise ValueError(f"256 visits do not reach a recall of {recall} at a threshold of {threshold}")
+    index.visits = int(min(cells, needed))
     return index
 
 

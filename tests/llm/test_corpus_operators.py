@@ -436,3 +436,11 @@ def test_near_copies_leave_one_of_repeated_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     got = Counter(tuple(r) for r in jaccard_join.keep_one(df).collect())
     assert got == Counter([(1, text, "a"), (1, other, "a"), (3, None, None), (4, "", "a"), (None, text, "a"), (None, text, "a"), (5, "alone", "a")])
+
+
+def test_embedding_recall_out_of_reach_is_an_error():
+    x = np.random.default_rng(3).normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert 1 < embedding_dedup.fit(x, len(x), 0.95, words=64).visits <= 256
+    with pytest.raises(ValueError):
+        embedding_dedup.fit(x, len(x), 0.3, words=64)
