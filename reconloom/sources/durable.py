@@ -1,24 +1,59 @@
 """Written intermediates that any executor can read back after another is lost.
 
 Lineage is cut by writing a Parquet table below the folder that the cluster
-names in ``spark.checkpoint.dir``; a machine-local folder is used only where
-that setting is empty (tests on one machine).
+names in ``spark.checkpoint.dir``. A machine-local folder is used only where
+that setting is empty and the master is local (tests on one machine).
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from reconloom.sources.shipping import ship
 
+_scopes: list[Scratch] = []
+
+
+class Scratch:
+    """The tables written inside a ``scratch`` block."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, label: str = "result") -> DataFrame:
+        """Write ``df`` now, as the table that outlives the block."""
+        out = durable(df, label)
+        self.made = [x for x in self.made if x is not out]
+        if len(_scopes) > 1:
+            _scopes[-2].made.append(out)
+        return out
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Tables that ``durable`` writes inside the block are deleted at its end, those that ``keep`` returns excepted.
+
+    Blocks nest: what an inner one keeps is deleted with the outer one."""
+    scope = Scratch()
+    _scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _scopes.remove(scope)
+        release(*scope.made)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediates."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/reconloom-checkpoints"
     return found.rstrip("/")
 
@@ -33,6 +68,8 @@ def durable(df: DataFrame, label: str = "table") -> DataFrame:
     files.deleteOnExit(target)  # what nobody releases goes with the application
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
+    if _scopes:
+        _scopes[-1].made.append(out)
     return out
 
 
