@@ -22,7 +22,7 @@ from reconloom.llm.common import words
 
 MESSAGE = "bucket int, keys binary, seconds binary, owners binary, runs binary, places binary"
 #: Keys that a task holds before it sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def word_ids(own: list[bytes]) -> np.ndarray:
@@ -53,18 +53,22 @@ def lowered_words(text: str | None) -> list[bytes]:
 
 
 class Sender:
-    """Collects keys by owner and cuts them into messages of ``buckets`` buckets by their top bits."""
+    """Collects keys by owner and cuts them into messages of ``buckets`` buckets, from ``base`` on, by their top bits."""
 
-    def __init__(self, buckets: int):
+    def __init__(self, buckets: int, base: int = 0):
         self.buckets = buckets
+        self.base = base
         self.keys: list[np.ndarray] = []
         self.seconds: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
         self.owners: list[int] = []
+        self.spread: list[np.uint64] = []
         self.held = 0
 
-    def add(self, owner: int, keys: np.ndarray, places: np.ndarray | None = None, seconds: np.ndarray | None = None) -> None:
+    def add(self, owner: int, keys: np.ndarray, places: np.ndarray | None = None, seconds: np.ndarray | None = None, spread: np.uint64 = np.uint64(0)) -> None:
+        """``spread``: what, besides the key, decides on the bucket; 0 sends equal keys to one bucket."""
         if len(keys):
+            self.spread.append(spread)
             self.keys.append(keys)
             self.places.append(np.zeros(0, np.uint32) if places is None else places.astype(np.uint32))
             self.seconds.append(np.zeros(0, np.uint64) if seconds is None else seconds)
@@ -81,7 +85,8 @@ class Sender:
         places, seconds = np.concatenate(self.places), np.concatenate(self.seconds)
         own = np.repeat(np.arange(len(self.owners)), [len(k) for k in self.keys])
         owners = np.array(self.owners, dtype=np.int64)
-        bucket = bucket_of(keys, self.buckets)
+        spread = np.array(self.spread, dtype=np.uint64)
+        bucket = bucket_of(mixed(keys ^ spread[own]) if spread.any() else keys, self.buckets)
         order = np.argsort(bucket, kind="stable")  # within a bucket still by owner
         ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         out: dict[str, list] = {c: [] for c in ("bucket", "keys", "seconds", "owners", "runs", "places")}
@@ -90,13 +95,13 @@ class Sender:
             if not len(at):
                 continue
             who, runs = np.unique(own[at], return_counts=True)
-            out["bucket"].append(b)
+            out["bucket"].append(self.base + b)
             out["keys"].append(keys[at].tobytes())
             out["seconds"].append(seconds[at].tobytes() if len(seconds) else b"")
             out["owners"].append(owners[who].tobytes())
             out["runs"].append(runs.astype(np.uint32).tobytes())
             out["places"].append(places[at].tobytes() if len(places) else b"")
-        self.__init__(self.buckets)
+        self.__init__(self.buckets, self.base)
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("keys", "seconds", "owners", "runs", "places")]]))
 
 
@@ -143,16 +148,20 @@ def _place(column: pa.Array, bits: int) -> np.ndarray:
     return (mixed(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def maybe(rows: DataFrame, column: str, marks: Broadcast, bits: int = 25, inside: bool = True) -> DataFrame:
-    """Rows whose id may be in the filter; with ``inside`` False the others, those with a null id among them."""
+def inside(marks: Broadcast, ids: pa.Array, bits: int = 25) -> np.ndarray:
+    """Which ids may be in the filter; null ids are not."""
+    place = _place(pc.fill_null(ids, 0), bits)
+    found = (marks.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+    return found & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
+def maybe(rows: DataFrame, column: str, marks: Broadcast, bits: int = 25, within: bool = True) -> DataFrame:
+    """Rows whose id may be in the filter; with ``within`` False the others, those with a null id among them."""
     at = rows.columns.index(column)
 
     def keep(batches):
         for batch in batches:
-            ids = batch.column(at)
-            place = _place(pc.fill_null(ids, 0), bits)
-            found = (marks.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
-            found &= ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(found if inside else ~found))
+            found = inside(marks, batch.column(at), bits)
+            yield batch.filter(pa.array(found if within else ~found))
 
     return rows.mapInArrow(keep, rows.schema)

@@ -339,4 +339,4 @@ def deduplicated(docs: DataFrame, window: int = 20, text: str = "text", length:
                 cols[at_length] = pa.array(size, cols[at_length].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return maybe(docs, "doc_id", touched, inside=False).unionByName(both.mapInArrow(apply, schema))
+    return maybe(docs, "doc_id", touched, within=False).unionByName(both.mapInArrow(apply, schema))
