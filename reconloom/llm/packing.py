@@ -4,10 +4,13 @@ Piece lengths are integers up to the sequence length, so their histogram has a
 fixed size however many documents there are. The plan is made on it: lengths
 above a threshold are cut, longest first, into groups of equal count and rounded
 up to the longest of their group; the few sizes that remain are combined into
-configurations; the slots of each configuration take the actual pieces of their
-group; what the actual lengths leave over, and further sequences, take the small
-pieces by best fit, longest first. The plan says for each length which ranks go
-to which sequences and places; a distributed rank within each length does the rest.
+configurations by a linear program with generated columns; the slots of each
+configuration take the actual pieces of their group; what the actual lengths
+leave over, and further sequences, take the pieces that no whole configuration
+holds and the small ones by best fit, longest first. This is done for several
+thresholds and numbers of groups, and the plan with the fewest sequences is taken.
+The plan says for each length which ranks go to which sequences and places; a
+distributed rank within each length does the rest.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reconloom.llm.common import text_slices, words
+from reconloom.llm.common import fresh, text_slices, words
 from reconloom.llm.ranks import MARK, piece_encoder
 from reconloom.sources.durable import durable
 
@@ -37,7 +40,7 @@ _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p
 #: Characters on whose case, class and composition all libraries agree.
 _COVERED = regex.compile("[\x21-\x7e\u00a1-\u024f\u2010-\u2027\u20a0-\u20bf]*")
 #: Parts that the pieces of one length are ranked in.
-RANK_PARTS = 256
+RANK_PARTS = 1024
 
 
 class WordTokens:
@@ -135,6 +138,7 @@ class Plan:
 
     limit: int
     bins: int = 0
+    grouped: int = 0  # pieces that a configuration placed
     length: list[int] = field(default_factory=list)
     rank: list[int] = field(default_factory=list)
     count: list[int] = field(default_factory=list)
@@ -152,44 +156,84 @@ class Plan:
         return {k: v[order] for k, v in got.items()}
 
 
-def configuration(sizes: np.ndarray, left: np.ndarray, limit: int) -> np.ndarray:
-    """Counts by group: with the largest size that is left, the fullest sequence that the rounded sizes allow."""
+def fullest(worth: np.ndarray, sizes: np.ndarray, limit: int) -> tuple[float, np.ndarray]:
+    """The counts by size that fit ``limit`` and are worth most, sizes repeated at will."""
+    best = np.zeros(limit + 1)
+    used = np.full(limit + 1, -1, dtype=np.int64)
+    for g in np.flatnonzero(worth > 1e-12):
+        s = int(sizes[g])
+        for lo in range(s, limit + 1, s):  # one more of g at a time, a block of s sums at once
+            hi = min(lo + s, limit + 1)
+            more = best[lo - s : hi - s] + worth[g]
+            at = np.flatnonzero(more > best[lo:hi] + 1e-12) + lo
+            best[at], used[at] = more[at - lo], g
     take = np.zeros(len(sizes), dtype=np.int64)
-    first = int(np.flatnonzero(left)[0])
-    take[first] = 1
-    room = limit - int(sizes[first])
-    # reach[x]: the last group used on a way to fill x, -1 if there is none; groups from small index up
-    way = np.full((room + 1,), -2, dtype=np.int64)
-    back = np.zeros((room + 1,), dtype=np.int64)
-    way[0] = -1
-    for g in np.flatnonzero(left):
-        s, most = int(sizes[g]), int(left[g]) - (1 if g == first else 0)
-        used = np.zeros(room + 1, dtype=np.int64)
-        if s > room or most <= 0:
-            continue
-        for lo in range(s, room + 1, s):  # one more of g at a time, a block of s sums at once
-            hi = min(lo + s, room + 1)
-            fits = (way[lo:hi] == -2) & (way[lo - s : hi - s] != -2) & (used[lo - s : hi - s] < most)
-            at = np.flatnonzero(fits) + lo
-            way[at] = g
-            back[at] = at - s
-            used[at] = used[at - s] + 1
-        if way[room] != -2:
+    x = int(best.argmax())
+    value = float(best[x])
+    while used[x] >= 0:
+        take[used[x]] += 1
+        x -= int(sizes[used[x]])
+    return value, take
+
+
+def configurations(sizes: np.ndarray, counts: np.ndarray, limit: int, rounds: int = 2000) -> list[tuple[np.ndarray, int]]:
+    """Configurations (counts by size) and how often each is used: whole parts of the linear program's solution.
+
+    Least number of sequences that hold ``counts`` pieces of ``sizes``, fractions
+    allowed, by the simplex method: a basis of as many configurations as there are
+    sizes, and each round the configuration that the dual prices make worth most.
+    Any round's basis can be used, so stopping early costs sequences only. What
+    the whole parts leave out is for the best fit.
+    """
+    basis = np.diag(limit // sizes).astype(np.float64)  # a column is a configuration
+    x = counts / np.diag(basis)
+    for _ in range(rounds):
+        prices = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        value, take = fullest(prices, sizes, limit)
+        if value <= 1 + 1e-7:
+            break
+        step = np.linalg.solve(basis, take.astype(np.float64))
+        up = step > 1e-9
+        if not up.any():
             break
-    x = int(np.flatnonzero(way != -2)[-1])
-    while way[x] != -1:
-        take[way[x]] += 1
-        x = int(back[x])
-    return take
+        ratio = np.where(up, x / np.where(up, step, 1), np.inf)
+        out = int(ratio.argmin())
+        x = np.maximum(x - ratio[out] * step, 0)
+        x[out] = ratio[out]
+        basis[:, out] = take
+    left, found = counts.copy(), []
+    for j in np.argsort(-x):
+        take = np.round(basis[:, j]).astype(np.int64)
+        times = int(min(np.floor(x[j] + 1e-6), (left[take > 0] // take[take > 0]).min()))
+        if times > 0:
+            found.append((take, times))
+            left -= take * times
+    return found
+
 
+#: What is tried in turn: number of groups, and the share of the limit above which a piece counts as large. Best fit alone is last.
+TRIES = ((48, 1 / 8), (48, 1 / 5), (48, 1 / 4), (48, 1 / 3), (128, 1 / 3), (0, 1.0))
 
-def plan(histogram: np.ndarray, limit: int, groups: int = 96, large: float = 1 / 8, accept: float = 0.99) -> Plan:
+
+def plan(histogram: np.ndarray, limit: int, tries: tuple = TRIES) -> Plan:
     """Plan sequences for ``histogram[l]`` pieces of each length l (1 to ``limit``).
 
-    A group that no configuration with a rounded fill of ``accept`` takes joins the small pieces in the best fit.
-    """
-    out = Plan(limit)
+    ``tries`` are gone through until a plan needs no more sequences than the tokens fill; the fewest sequences win,
+    of equal ones the first, which has the most pieces in configurations."""
     hist = np.asarray(histogram, dtype=np.int64)
+    least = -(-int((hist * np.arange(limit + 1)).sum()) // limit)
+    best = None
+    for groups, large in tries:
+        made = _plan(hist, limit, groups, large)
+        if best is None or made.bins < best.bins:
+            best = made
+        if best.bins <= least:
+            break
+    return best
+
+
+def _plan(hist: np.ndarray, limit: int, groups: int, large: float) -> Plan:
+    out = Plan(limit)
     used = np.zeros(limit + 1, dtype=np.int64)  # ranks given out by length
     open_: dict[int, list[tuple[int, int]]] = {}  # residual: sequences (first, count)
     rooms: list[int] = []
@@ -204,9 +248,8 @@ def plan(histogram: np.ndarray, limit: int, groups: int = 96, large: float = 1 /
     border = max(1, int(limit * large))
     lengths = [l for l in range(limit, border, -1) if hist[l]]  # noqa: E741
     rest = hist.copy()  # for best fit
-    rest[border + 1 :] = 0
     total = int(sum(hist[l] for l in lengths))
-    if total:
+    if total and groups:
         each = -(-total // min(groups, total))
         runs: list[list[list[int]]] = []  # by group: [length, count]
         room = 0
@@ -219,19 +262,14 @@ def plan(histogram: np.ndarray, limit: int, groups: int = 96, large: float = 1 /
                 k = min(n, room)
                 runs[-1].append([l, k])
                 n, room = n - k, room - k
-        sizes = np.array([r[0][0] for r in runs], dtype=np.int64)
-        left = np.array([sum(c for _, c in r) for r in runs], dtype=np.int64)
-        while left.any():
-            take = configuration(sizes, left, limit)
-            if (take * sizes).sum() < accept * limit:  # rounding would waste more than best fit does
-                first = int(np.flatnonzero(left)[0])
-                for length, count in runs[first]:
-                    rest[length] += count
-                left[first] = 0
-                continue
-            times = int((left[take > 0] // take[take > 0]).min())
+        # groups that a common length fills are one size
+        sizes = np.array(sorted({r[0][0] for r in runs}, reverse=True), dtype=np.int64)
+        merged = {int(s): [x for r in runs if r[0][0] == s for x in r] for s in sizes}
+        runs = [merged[int(s)] for s in sizes]
+        counts = np.array([sum(c for _, c in r) for r in runs], dtype=np.int64)
+        for take, times in configurations(sizes, counts, limit):
             slots = np.repeat(np.arange(len(sizes)), take)
-            left -= take * times
+            out.grouped += times * len(slots)
             while times:
                 # the longest stretch over which no slot changes its actual length
                 need: dict[int, int] = {}
@@ -240,14 +278,14 @@ def plan(histogram: np.ndarray, limit: int, groups: int = 96, large: float = 1 /
                 n = min(times, *[max(1, runs[g][0][1] // k) for g, k in need.items()])
                 offset = 0
                 for g in slots:
-                    got = n
                     run = runs[g][0]
                     if run[1] < n:  # only when n is 1 and the run has just ended
                         runs[g].pop(0)
                         run = runs[g][0]
-                    out.put(run[0], used[run[0]], got, out.bins, 1, offset)
-                    used[run[0]] += got
-                    run[1] -= got
+                    out.put(run[0], used[run[0]], n, out.bins, 1, offset)
+                    used[run[0]] += n
+                    rest[run[0]] -= n
+                    run[1] -= n
                     offset += run[0]
                     if not run[1]:
                         runs[g].pop(0)
@@ -278,7 +316,7 @@ def plan(histogram: np.ndarray, limit: int, groups: int = 96, large: float = 1 /
     return out
 
 
-def pack(cut: DataFrame, limit: int = 4096, groups: int = 96) -> DataFrame:
+def pack(cut: DataFrame, limit: int = 4096) -> DataFrame:
     """All columns of ``cut`` (which has ``length``, 1 to ``limit``) plus ``sequence_id`` and ``offset``.
 
     Pieces of one length are ranked by hash parts whose counts are added up
@@ -287,21 +325,22 @@ def pack(cut: DataFrame, limit: int = 4096, groups: int = 96) -> DataFrame:
     table gives an empty one.
     """
     names = [c for c in cut.columns if c not in ("sequence_id", "offset")]
-    rows = cut.select(*names).withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(RANK_PARTS)).cast("int"))
-    counts = durable(rows.groupBy("length", "_part").agg(F.count("*").alias("_n")), "pack-counts")
+    part, place, size, before = (fresh(cut, c) for c in ("part", "place", "size", "before"))
+    rows = cut.select(*names).withColumn(part, F.pmod(F.xxhash64(*names), F.lit(RANK_PARTS)).cast("int"))
+    counts = durable(rows.groupBy("length", part).agg(F.count("*").alias(size)), "pack-counts")
     histogram = np.zeros(limit + 1, dtype=np.int64)
-    for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect():
+    for r in counts.groupBy("length").agg(F.sum(size).alias("n")).collect():
         histogram[r["length"]] = r["n"]
-    segments = cut.sparkSession.sparkContext.broadcast(plan(histogram, limit, groups).arrays())
-    before = counts.select("length", "_part", (F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).alias("_before"))
-    ranked = rows.join(before, ["length", "_part"]).withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("length", "_part").orderBy(*names)) - 1)
+    segments = cut.sparkSession.sparkContext.broadcast(plan(histogram, limit).arrays())
+    earlier = counts.select("length", part, (F.sum(size).over(Window.partitionBy("length").orderBy(part)) - F.col(size)).alias(before))
+    ranked = rows.join(earlier, ["length", part]).withColumn(place, F.col(before) + F.row_number().over(Window.partitionBy("length", part).orderBy(*names)) - 1)
     schema = StructType([*[cut.schema[c] for c in names], *StructType.fromDDL("sequence_id long, offset long").fields])
 
     def apply(batches):
         s = segments.value
         keys = (s["length"] << 44) + s["rank"]
         for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
+            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", place))
             at = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
             step = rank - s["rank"][at]
             seq, off = s["bin"][at] + step // s["per"][at], s["offset"][at] + step % s["per"][at] * length
