@@ -1,14 +1,15 @@
 """Normalisers of names, paths, addresses, dates and fingerprints as column functions.
 
 The six name normalisers look alike and are not: each resolver names the one it
-uses. ``lower`` stands for case folding (they differ for the sharp s and the
-final sigma); ``folded`` is the exact, slower alternative.
+uses. Case folding and NFKC are those of Unicode: ASCII takes the short way over
+``lower``, other text goes to the library of Unicode functions that Spark ships.
+Spark counts a call of it as non-deterministic, so normalise in a projection, not
+in a join condition or inside an aggregate.
 """
 
 from __future__ import annotations
 
 import posixpath
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,36 +28,59 @@ PREFIX_PATTERN = r"^\s*(?:" + "|".join(KNOWN_PREFIXES) + r")\s*:\s*"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def squeeze(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    return strip(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
+
+
+def _unicode(function: str, c: Column) -> Column:
+    """A static function (string, flag) of the library of Unicode functions."""
+    return F.reflect(F.lit(f"com.ibm.icu.{function.rpartition('.')[0]}"), F.lit(function.rpartition(".")[2]), c, F.lit(True))
+
+
+def _beyond_ascii(c: Column, full: Column) -> Column:
+    return F.when(c.rlike(r"^[\x00-\x7f]*$"), F.lower(c)).when(c.isNotNull(), full)
+
+
+def casefolded(c: Column) -> Column:
+    """Full case folding."""
+    return _beyond_ascii(c, _unicode("lang.UCharacter.foldCase", F.coalesce(c, F.lit(""))))
+
+
+def folded(c: Column) -> Column:
+    """NFKC, then full case folding."""
+    return _beyond_ascii(c, _unicode("lang.UCharacter.foldCase", _unicode("text.Normalizer.compose", F.coalesce(c, F.lit("")))))
 
 
 def key_ci(c: Column) -> Column:
     """Case-insensitive key."""
-    return strip(F.lower(c))
+    return strip(casefolded(c))
 
 
 def tag_key(c: Column) -> Column:
     """Tag key: known prefix dropped, runs of separators collapsed, other punctuation kept."""
-    return strip(F.regexp_replace(F.regexp_replace(key_ci(c), PREFIX_PATTERN, ""), r"[_\-\s]+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(strip(folded(c)), PREFIX_PATTERN, ""), r"(?U)[_\-\s]+", " "))
+
+
+def _spaced(c: Column, kept: str = "") -> Column:
+    return squeeze(F.regexp_replace(F.regexp_replace(c, r"[_\-]", " "), rf"(?U)[^\p{{L}}\p{{N}}_\s{kept}]+", " "))
 
 
 def entity_name(c: Column) -> Column:
     """Entity name: punctuation becomes space except parentheses."""
-    return squeeze(F.regexp_replace(F.regexp_replace(key_ci(c), r"[_\-]", " "), r"[^\p{L}\p{N}_\s()]+", " "))
+    return _spaced(strip(folded(c)), "()")
 
 
 def tag_cleanup_name(c: Column) -> Column:
     """Tag name for cleanup: known prefix dropped, all punctuation becomes space."""
-    return plain_name(F.regexp_replace(key_ci(c), PREFIX_PATTERN, ""))
+    return _spaced(F.regexp_replace(strip(folded(c)), PREFIX_PATTERN, ""))
 
 
 def plain_name(c: Column) -> Column:
     """Name for cleanup and migration: all punctuation becomes space, no prefix rule."""
-    return squeeze(F.regexp_replace(F.regexp_replace(key_ci(c), r"[_\-]", " "), r"[^\p{L}\p{N}_\s]+", " "))
+    return _spaced(strip(folded(c)))
 
 
 def compact(normalised: Column) -> Column:
@@ -64,12 +88,6 @@ def compact(normalised: Column) -> Column:
     return F.regexp_replace(normalised, r"[^\p{L}\p{N}]", "")
 
 
-@pandas_udf(StringType())
-def folded(s: pd.Series) -> pd.Series:
-    """NFKC and full case folding."""
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold().strip())
-
-
 def fingerprint_type(c: Column) -> Column:
     plain = F.regexp_replace(key_ci(c), r"[^a-z0-9]+", "")
     names = F.create_map(*[F.lit(x) for pair in FINGERPRINT_TYPES.items() for x in pair])
@@ -195,11 +213,13 @@ def effective_rate(*rates: Column) -> Column:
     return F.least(*[F.when(r > 0, r) for r in rates]) if len(rates) > 1 else F.when(rates[0] > 0, rates[0])
 
 
-def outcome_class(status: Column, text: Column | None = None) -> Column:
+# Answer codes after which a request may be tried again.
+RETRYABLE = (408, 425, 429, 500, 502, 503, 504, 520, 521, 522, 523, 524)
+
+
+def outcome_class(status: Column) -> Column:
     """What a provider's answer code means: match, miss, retryable_error or unavailable."""
-    return (
-        F.when(status.between(200, 299), "match").when(status == 404, "miss").when(status.isin(408, 425, 429, 500, 502, 503, 504, 520, 521, 522, 523, 524), "retryable_error").otherwise("unavailable")
-    )
+    return F.when(status.between(200, 299), "match").when(status == 404, "miss").when(status.isin(*RETRYABLE), "retryable_error").otherwise("unavailable")
 
 
 def token_subset(a: Column, b: Column) -> Column:

@@ -2,7 +2,9 @@
 
 Names block on first character and length; the length window becomes an equi
 join by exploding the incoming side. The ratio of two strings is 2 M / (a + b)
-with M at most the shorter length, which drops most candidates before Python.
+with M at most the number of characters they share, which drops most candidates
+before Python. What cannot reach the threshold can still be a runner-up that
+makes a match ambiguous, so candidates are kept down to threshold - margin.
 """
 
 from __future__ import annotations
@@ -28,13 +30,22 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def candidates(left: DataFrame, right: DataFrame, window: int, threshold: float, min_length: int = 5) -> DataFrame:
-    """All columns of ``left`` and ``right`` (which have ``left_norm`` and ``right_norm``) for pairs that can reach the threshold."""
-    n = F.length("left_norm")
-    a = left.where(n >= min_length).withColumn("_first", F.substring("left_norm", 1, 1)).withColumn("_length", F.explode(F.sequence(F.greatest(n - window, F.lit(min_length)), n + window)))
-    b = right.where(F.length("right_norm") >= min_length).withColumn("_first", F.substring("right_norm", 1, 1)).withColumn("_length", F.length("right_norm"))
-    bound = 2.0 * F.least(F.length("left_norm"), F.length("right_norm")) / (F.length("left_norm") + F.length("right_norm"))
-    return a.join(b, ["_first", "_length"]).where(bound >= threshold).drop("_first", "_length")
+def _numbered(c: str) -> Column:
+    """The characters of a string, each with the number of times it has come up: two strings share as many as these sets do."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+
+
+def candidates(left: DataFrame, right: DataFrame, window: int, threshold: float, min_length: int = 5, margin: float = 0.0) -> DataFrame:
+    """All columns of ``left`` and ``right`` (which have ``left_norm`` and ``right_norm``) for pairs that can reach ``threshold - margin``.
+
+    Incoming names shorter than ``min_length`` have no candidates; lengths differ by ``window`` at most."""
+    n, least = F.length("left_norm"), threshold - margin - 1e-9
+    a = left.where(n >= min_length).withColumns({"_first": F.substring("left_norm", 1, 1), "_chars": _numbered("left_norm")}).withColumn("_length", F.explode(F.sequence(F.greatest(n - window, F.lit(1)), n + window)))
+    b = right.where(F.length("right_norm") >= 1).withColumns({"_first": F.substring("right_norm", 1, 1), "_length": F.length("right_norm"), "_others": _numbered("right_norm")})
+    both = F.length("left_norm") + F.length("right_norm")
+    near = a.join(b, ["_first", "_length"]).where(2.0 * F.least(F.length("left_norm"), F.length("right_norm")) / both >= least)
+    return near.where(2.0 * F.size(F.array_intersect("_chars", "_others")) / both >= least).drop("_first", "_length", "_chars", "_others")
 
 
 @dataclass(frozen=True)
@@ -50,6 +61,7 @@ class Resolver:
     fuzzy_norm: Callable[[Column], Column] | None = None
     per_key: bool = False
     veto_subsets: bool = False
+    close_is_ambiguous: bool = False
 
 
 def _compact_plain(c: Column) -> Column:
@@ -58,9 +70,9 @@ def _compact_plain(c: Column) -> Column:
 
 IMPORT_STUDIO = Resolver(N.entity_name, 0.96, 0.03, 3)
 IMPORT_PERFORMER = Resolver(N.entity_name, 0.98, 0.03, 3)
-MIGRATE_TAG = Resolver(N.plain_name, 0.96, 0.02, 4, compact_length=4, fuzzy_norm=_compact_plain, veto_subsets=True)
-MIGRATE_PERFORMER = Resolver(N.plain_name, 0.98, 0.03, 4, compact_length=4, fuzzy_norm=_compact_plain)
-MIGRATE_STUDIO = Resolver(N.plain_name, 0.96, 0.03, 4, compact_length=4, fuzzy_norm=_compact_plain)
+MIGRATE_TAG = Resolver(N.plain_name, 0.96, 0.02, 4, compact_length=4, fuzzy_norm=_compact_plain, veto_subsets=True, close_is_ambiguous=True)
+MIGRATE_PERFORMER = Resolver(N.plain_name, 0.98, 0.03, 4, compact_length=4, fuzzy_norm=_compact_plain, close_is_ambiguous=True)
+MIGRATE_STUDIO = Resolver(N.plain_name, 0.96, 0.03, 4, compact_length=4, fuzzy_norm=_compact_plain, close_is_ambiguous=True)
 IMPORT_TAG = Resolver(N.tag_key, 0.96, 0.02, 2, per_key=True)
 
 
@@ -68,7 +80,9 @@ def resolve(incoming: DataFrame, entities: DataFrame, how: Resolver) -> DataFram
     """``name, decision, id, score`` for each different incoming name.
 
     Decisions: exact, compact, fuzzy, ambiguous, none. Equality with more than one
-    entity is ambiguous and final; fuzzy is tried only without any equal name.
+    entity is ambiguous and final; fuzzy is tried only without any equal name. Two
+    similar entities less than the margin apart give ambiguous or none, as ``how``
+    says, whether or not the second reaches the threshold itself.
     """
     names = incoming.select("name").distinct()
     source = spellings(entities)
@@ -88,14 +102,15 @@ def resolve(incoming: DataFrame, entities: DataFrame, how: Resolver) -> DataFram
     norm = how.fuzzy_norm or how.norm
     left = rest.select("name", norm(F.col("name")).alias("left_norm"))
     keys = unambiguous_index(entities, how.norm).select(F.col("key").alias("right_norm"), "id") if how.per_key else source.select(norm(F.col("spelling")).alias("right_norm"), "id").distinct()
-    pairs = candidates(left, keys, how.window, how.threshold, how.min_length)
+    pairs = candidates(left, keys, how.window, how.threshold, how.min_length, how.margin)
     scored = pairs.withColumn("score", sequence_ratio("left_norm", "right_norm"))
     won = winner_with_margin(scored, "name", "id", "score", how.threshold, how.margin, "right_norm" if how.per_key else None)
+    close = scored.where(F.col("score") >= how.threshold).select("name").distinct().join(won, "name", "left_anti").select("name", F.lit("ambiguous").alias("decision"), F.lit(None).cast(entities.schema["id"].dataType).alias("id"), F.lit(None).cast("double").alias("score"))
     if how.veto_subsets:
         named = entities.select("id", F.col("name").alias("_other"))
         won = won.join(named, "id").where(~N.token_subset(N.plain_name(F.col("name")), N.plain_name(F.col("_other"))))
     fuzzy = won.select("name", F.lit("fuzzy").alias("decision"), "id", "score")
-    found = done.unionByName(fuzzy)
+    found = done.unionByName(fuzzy).unionByName(close) if how.close_is_ambiguous else done.unionByName(fuzzy)
     return names.join(found, "name", "left").select("name", F.coalesce("decision", F.lit("none")).alias("decision"), "id", "score")
 
 

@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reconloom.functions.normalize import hamming
 
-#: Up to this radius bands select; beyond it they are too short to.
-BANDED = 7
+#: Up to this radius each band is at least 8 bits; up to WIDEST at least 10, with one bit of it off.
+BANDED, WIDEST = 7, 11
 
 
 def within_radius(left: DataFrame, right: DataFrame, radius: int, id: str = "id", bits: str = "bits") -> DataFrame:
-    """``left_id, right_id, distance`` for all pairs at most ``radius`` apart; null hashes pair with nothing.
+    """``left_id, right_id, distance`` for all pairs at most ``radius`` apart, in order of distance and id if sorted by
+    ``in_order``; null hashes pair with nothing.
 
     Radius + 1 disjoint bands: two hashes that differ in ``radius`` bits agree on
-    one of them at least, so an equi join on (band, value) finds every pair. A
-    wider radius compares all pairs of the two inputs.
+    one of them at least, so an equi join on (band, value) finds every pair. Above
+    BANDED half as many bands do, as one of them is off by one bit at most: the
+    left side looks at each of its values with one bit flipped too. Beyond WIDEST
+    bands no longer select and the radius is refused.
     """
+    if not 0 <= radius <= WIDEST:
+        raise ValueError(f"radius {radius} is not between 0 and {WIDEST}")
     a = left.where(F.col(bits).isNotNull()).select(F.col(id).alias("left_id"), F.col(bits).alias("_a"))
     b = right.where(F.col(bits).isNotNull()).select(F.col(id).alias("right_id"), F.col(bits).alias("_b"))
-    if radius > BANDED:
-        pairs = a.join(b, hamming(F.col("_a"), F.col("_b")) <= radius)
-        return pairs.select("left_id", "right_id", hamming(F.col("_a"), F.col("_b")).alias("distance"))
-    parts = radius + 1
+    probe = radius > BANDED
+    parts = radius // 2 + 1 if probe else radius + 1
     edges = [64 * k // parts for k in range(parts + 1)]
 
-    def banded(df: DataFrame, c: str) -> DataFrame:
-        values = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.shiftleft(c, 64 - edges[k + 1]), 64 - edges[k + 1] + edges[k]).alias("value")) for k in range(parts)]
-        return df.withColumn("_band", F.explode(F.array(*values)))
+    def banded(c: str, k: int, mask: int = 0) -> Column:
+        value = F.shiftrightunsigned(F.shiftleft(c, 64 - edges[k + 1]), 64 - edges[k + 1] + edges[k])
+        return F.struct(F.lit(k).alias("band"), (value.bitwiseXOR(F.lit(mask)) if mask else value).alias("value"))
 
-    pairs = banded(a, "_a").join(banded(b, "_b"), "_band").withColumn("distance", hamming(F.col("_a"), F.col("_b"))).where(F.col("distance") <= radius)
-    return pairs.select("left_id", "right_id", "distance").distinct()
+    seek = [banded("_a", k, m) for k in range(parts) for m in [0, *([1 << j for j in range(edges[k + 1] - edges[k])] if probe else [])]]
+    hold = [banded("_b", k) for k in range(parts)]
+    pairs = a.withColumn("_band", F.explode(F.array(*seek))).join(b.withColumn("_band", F.explode(F.array(*hold))), "_band")
+    return pairs.withColumn("distance", hamming(F.col("_a"), F.col("_b"))).where(F.col("distance") <= radius).select("left_id", "right_id", "distance").distinct()
+
+
+def in_order(pairs: DataFrame) -> DataFrame:
+    """Nearest first, equal distances by id as text."""
+    return pairs.orderBy("left_id", "distance", F.col("right_id").cast("string"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reconloom.functions.normalize import compact, key_ci
 from reconloom.operators.winner import first_of, unique_hits
+from reconloom.sources.durable import durable
 
 
 def spellings(entities: DataFrame, id: str = "id", name: str = "name", aliases: str = "aliases") -> DataFrame:
@@ -99,5 +100,10 @@ def near_in_time(left: DataFrame, right: DataFrame, key: str, at: str, within: f
     return hits.groupBy("left_id").agg(F.min("right_id").alias("right_id"))
 
 
-def rank_windows(df: DataFrame, *order: Column) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """``df`` plus its row number in the order of all rows: ranges are sorted each for itself, after the rows of the ranges before."""
+    dealt = durable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, place.cast("long")).drop("_part", "_before")

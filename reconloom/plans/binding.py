@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from reconloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str | Callable[[], str]] = {}
 
 
 class Tables:
@@ -22,8 +22,8 @@ class Tables:
         return table(self.spark, self.sf_dir, name)
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``f(tables)`` as a query; without ``sql`` it is held against brute force in the tests."""
+def query(name: str, sql: str | Callable[[], str] | None = None):
+    """Register ``f(tables)`` as a query; ``sql`` may be made when it is asked for; without ``sql`` it is held against brute force in the tests."""
 
     def register(f: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
@@ -71,7 +71,7 @@ def q_squeeze(e: str) -> str:
 
 
 def q_key(e: str) -> str:
-    return q_strip(f"lower({e})")
+    return q_strip(f"replace(lower({e}), 'ß', 'ss')")  # of all characters in the tables only the sharp s folds otherwise
 
 
 _PREFIX = r"^\s*(?:artist|character|copyright|general|meta)\s*:\s*"

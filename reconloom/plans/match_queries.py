@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reconloom.functions import normalize as N
 from reconloom.operators import cleanup, fuzzy, hamming, media, names, winner
+from reconloom.plans import expected as E
 from reconloom.plans.binding import BRANDED, NAMES, Surrogate, q_compact, q_key, q_plain, q_tag_key, query
 
 # --- media cascade: even documents are the old export, odd ones the current library
@@ -81,29 +82,49 @@ query("normalized_unique_match", _UNIQ.format(inn=_IN.sql, ent=_ENT, ki=q_tag_ke
 query("compact_unique_match", _UNIQ.format(inn=_IN.sql, ent=_ENT, ki=q_compact(q_plain("i.name")), ke=q_compact(q_plain("e.name")), n=4))(lambda t: names.equality_match(_IN.df(t).distinct(), _entities(t), lambda c: N.compact(N.plain_name(c)), 4))
 query("unambiguous_index", f"SELECT {q_tag_key('name')} AS key, min(id) AS id FROM {_ENT} e WHERE {q_tag_key('name')} <> '' GROUP BY 1 HAVING count(DISTINCT id) = 1")(lambda t: names.unambiguous_index(_entities(t), N.tag_key))
 query("fuzzy_candidates", f"""SELECT l, r FROM (SELECT DISTINCT {q_plain('name')} AS l FROM {_IN.sql} a) a JOIN (SELECT DISTINCT {q_plain('name')} AS r FROM {_ENT} e) b
- ON substr(l, 1, 1) = substr(r, 1, 1) AND length(r) BETWEEN greatest(length(l) - 3, 5) AND length(l) + 3 AND length(l) >= 5 AND 2.0 * least(length(l), length(r)) / (length(l) + length(r)) >= 0.9""")(
+ ON substr(l, 1, 1) = substr(r, 1, 1) AND length(r) BETWEEN length(l) - 3 AND length(l) + 3 AND length(l) >= 5
+ AND 2.0 * list_sum([least(length(l) - length(replace(l, c, '')), length(r) - length(replace(r, c, ''))) FOR c IN string_split('abcdefghijklmnopqrstuvwxyz0123456789 ', '')]) / (length(l) + length(r)) >= 0.9 - 1e-9""")(
     lambda t: fuzzy.candidates(_IN.df(t).select(N.plain_name(F.col("name")).alias("left_norm")).distinct(), _entities(t).select(N.plain_name(F.col("name")).alias("right_norm")).distinct(), 3, 0.9).select(F.col("left_norm").alias("l"), F.col("right_norm").alias("r"))
 )
 
 
 def _typos(t):
-    """Names with a letter doubled or dropped, to be found again."""
-    return t.part.select(F.expr("CASE p_partkey % 3 WHEN 0 THEN p_name || substr(p_name, length(p_name), 1) WHEN 1 THEN upper(p_name) ELSE 'unheard of ' || p_name END").alias("name")).distinct()
+    """Names with a letter doubled or added, to be found again."""
+    return t.part.select(F.expr(E.TYPO).alias("name")).distinct()
 
 
 def _plain(t):
-    base = t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ordinal"))
-    return base.select(F.col("ordinal").cast("string").alias("id"), "ordinal", "name", F.array(F.regexp_replace("name", " ", "")).alias("aliases"))
+    """Each name short and long, those with an r long twice; the alias is the name in one word."""
+    forms = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(more).alias("more")) for k, more in enumerate(E.FORMS)])
+    each = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("first")).select("p_name", "first", F.explode(forms).alias("f")).where("f.k < 2 or p_name like '%r%'")
+    named = each.select((F.col("first") * 4 + F.col("f.k")).alias("ordinal"), F.concat("p_name", "f.more").alias("name"))
+    return named.select(F.col("ordinal").cast("string").alias("id"), "ordinal", "name", F.array(F.regexp_replace("name", " ", "")).alias("aliases"))
 
 
-query("fuzzy_match")(lambda t: fuzzy.winner_with_margin(fuzzy.candidates(_typos(t).select("name", N.plain_name(F.col("name")).alias("left_norm")), _plain(t).select("id", N.plain_name(F.col("name")).alias("right_norm")), 3, 0.9).withColumn("score", fuzzy.sequence_ratio("left_norm", "right_norm")), "name", "id", "score", 0.9, 0.03))
-query("fuzzy_review_pairs")(lambda t: fuzzy.review_pairs(_plain(t), N.tag_cleanup_name, 2, 0.8))
-query("entity_match")(lambda t: fuzzy.resolve(_typos(t), _plain(t), fuzzy.IMPORT_STUDIO))
-query("entity_decision")(lambda t: fuzzy.resolve(_typos(t), _plain(t), fuzzy.MIGRATE_STUDIO))
-query("tag_reuse")(lambda t: fuzzy.resolve(_typos(t), _plain(t), fuzzy.IMPORT_TAG))
-query("resolve_tag_decision")(lambda t: fuzzy.resolve(_typos(t), _plain(t), fuzzy.MIGRATE_TAG))
-query("resolve_or_create")(lambda t: fuzzy.resolve_or_create(_typos(t), _plain(t), fuzzy.MIGRATE_TAG))
-query("creation_guard")(lambda t: fuzzy.guarded(_typos(t), _plain(t)))
+@query("fuzzy_match", E.fuzzy_match)
+def fuzzy_match(t):
+    left, right = _typos(t).select("name", N.plain_name(F.col("name")).alias("left_norm")), _plain(t).select("id", N.plain_name(F.col("name")).alias("right_norm"))
+    scored = fuzzy.candidates(left, right, 3, 0.9, 1, 0.03).withColumn("score", fuzzy.sequence_ratio("left_norm", "right_norm"))
+    return winner.winner_with_margin(scored, "name", "id", "score", 0.9, 0.03)
+
+
+query("fuzzy_review_pairs", E.review_pairs)(lambda t: fuzzy.review_pairs(_plain(t), N.tag_cleanup_name, 2, 0.8))
+query("entity_match", E.resolver("entity", "entity", 0.96, 0.03, 3, False, False, False, "none"))(lambda t: fuzzy.resolve(_typos(t), _plain(t), fuzzy.IMPORT_STUDIO))
+query("entity_decision", E.resolver("plain", "compact", 0.96, 0.03, 4, True, False, False, "ambiguous"))(lambda t: fuzzy.resolve(_typos(t), _plain(t), fuzzy.MIGRATE_STUDIO))
+query("tag_reuse", E.resolver("tag", "tag", 0.96, 0.02, 2, False, True, False, "none"))(lambda t: fuzzy.resolve(_typos(t), _plain(t), fuzzy.IMPORT_TAG))
+_TAG = ("plain", "compact", 0.96, 0.02, 4, True, False, True, "ambiguous")
+query("resolve_tag_decision", E.resolver(*_TAG))(lambda t: fuzzy.resolve(_typos(t), _plain(t), fuzzy.MIGRATE_TAG))
+query("resolve_or_create", E.creation(*_TAG))(lambda t: fuzzy.resolve_or_create(_typos(t), _plain(t), fuzzy.MIGRATE_TAG))
+query("creation_guard", E.guard)(lambda t: fuzzy.guarded(_typos(t), _plain(t)))
+_ODD_NAMES, _ODD_ROWS = E.folding()
+
+
+@query("norm_unicode", _ODD_ROWS)
+def norm_unicode(t):
+    c = F.col("name")
+    rows = t.spark.createDataFrame(_ODD_NAMES, "id int, name string")
+    return rows.select("id", N.key_ci(c).alias("key"), N.tag_key(c).alias("tag"), N.entity_name(c).alias("entity"), N.tag_cleanup_name(c).alias("cleanup"), N.compact(N.plain_name(c)).alias("compact"))
+
 
 # --- hashes from the signs of the embeddings
 _SIGNS = "(SELECT vec_id AS id, list_sum([CASE WHEN embedding[k] > 0 THEN CAST(1 AS HUGEINT) << CAST(k - 1 AS INTEGER) ELSE 0 END FOR k IN range(1, 65)])::HUGEINT::UBIGINT AS bits FROM embeddings)"
@@ -116,11 +137,30 @@ def _hashes(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), F.conv(text, 2, -10).cast("long").alias("bits"))
 
 
-_NEAR = f"(SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.bits, b.bits)) AS BIGINT) AS distance FROM {_SIGNS} a JOIN {_SIGNS} b ON a.id <> b.id AND bit_count(xor(a.bits, b.bits)) <= 20)"
-_pairs = lambda t: hamming.within_radius(_hashes(t), _hashes(t), 20).where("left_id <> right_id")
-query("hamming_range_join", f"SELECT left_id, right_id, distance FROM {_NEAR} z WHERE left_id < right_id")(lambda t: _pairs(t).where("left_id < right_id").select("left_id", "right_id", F.col("distance").cast("long").alias("distance")))
-query("hamming_unique_nearest", f"""SELECT left_id, right_id, distance FROM (SELECT *, min(distance) OVER (PARTITION BY left_id) AS b, count(*) OVER (PARTITION BY left_id, distance) AS tied,
- lead(distance) OVER (PARTITION BY left_id ORDER BY distance) AS nxt FROM {_NEAR} z) y WHERE distance = b AND tied = 1 AND (nxt IS NULL OR nxt - b >= 1)""")(lambda t: winner.unique_nearest(_pairs(t), "left_id", "right_id", "distance", 1).select("left_id", "right_id", F.col("distance").cast("long").alias("distance")))
+#: Each hash, and as a further one the same with 0 to 8 bits turned over.
+_BOTH = f"(SELECT id, bits FROM {_SIGNS} s UNION ALL SELECT id + 1000000, xor(bits, ((1::UBIGINT << CAST(id % 9 AS INTEGER)) - 1) << CAST(id % 50 AS INTEGER)) FROM {_SIGNS} s)"
+
+
+def _turned(t):
+    own = _hashes(t)
+    turned = F.expr("bits ^ shiftleft(shiftleft(1L, CAST(id % 9 AS INT)) - 1L, CAST(id % 50 AS INT))")
+    return own.unionByName(own.select((F.col("id") + 1000000).alias("id"), turned.alias("bits")))
+
+
+def _near(radius: int) -> str:
+    return f"(SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.bits, b.bits)) AS BIGINT) AS distance FROM {_BOTH} a JOIN {_BOTH} b ON a.id <> b.id AND bit_count(xor(a.bits, b.bits)) <= {radius})"
+
+
+def _pairs(t, radius: int):
+    found = hamming.within_radius(_turned(t), _turned(t), radius).where("left_id <> right_id")
+    return found.withColumn("distance", F.col("distance").cast("long"))
+
+
+for _radius in (3, 5, 9):
+    query("hamming_range_join" + ("" if _radius == 5 else f"_{_radius}"), f"SELECT left_id, right_id, distance FROM {_near(_radius)} z WHERE left_id < right_id")(lambda t, r=_radius: _pairs(t, r).where("left_id < right_id"))
+for _margin in (1, 2):
+    query("hamming_unique_nearest" + ("" if _margin == 1 else "_margin"), f"""SELECT left_id, right_id, distance FROM (SELECT *, min(distance) OVER (PARTITION BY left_id) AS b, count(*) OVER (PARTITION BY left_id, distance) AS tied,
+ lead(distance) OVER (PARTITION BY left_id ORDER BY distance) AS nxt FROM {_near(3)} z) y WHERE distance = b AND tied = 1 AND (nxt IS NULL OR nxt - b >= {_margin})""")(lambda t, m=_margin: winner.unique_nearest(_pairs(t, 3), "left_id", "right_id", "distance", m))
 
 # --- ranking
 _VIS = Surrogate("events", id="user_id", ordinal="event_id", score="value", resolves="event_type <> 'error'", cand="event_type")
@@ -192,7 +232,7 @@ query("safe_formatting_merge", f"""WITH b AS (SELECT *, k AS component FROM {_B}
 query("signature_conflict", f"{_CC}{_PLAN} SELECT component, count(DISTINCT signature) AS different FROM m WHERE rich GROUP BY 1 HAVING count(DISTINCT signature) > 1")(lambda t: winner.conflicts(_members(t).where("rich"), ["component"], "signature"))
 query("endpoint_conflict", f"{_CC}{_PLAN} SELECT component FROM m JOIN {_EXT_ID} x ON m.id = x.id GROUP BY component, lower(endpoint) HAVING count(DISTINCT external_id) > 1")(lambda t: cleanup.endpoint_conflicts(_members(t), _external(t)))
 query("plan_order", f"{_CC}{_PLAN}, p AS (SELECT max(name) FILTER (WHERE survivor) AS dest, string_agg(name, '|' ORDER BY rank) FILTER (WHERE NOT survivor) AS sources FROM sv GROUP BY component HAVING count(*) > 1) SELECT dest, sources, row_number() OVER (ORDER BY lower(dest), sources) AS rank FROM p")(
-    lambda t: names.rank_windows(cleanup.plan(_members(t), N.plain_name).select(F.col("destination_name").alias("dest"), F.array_join("source_names", "|").alias("sources")), F.lower("dest"), F.col("sources")).withColumn("rank", F.col("rank").cast("long"))
+    lambda t: names.ranked(cleanup.plan(_members(t), N.plain_name).select(F.col("destination_name").alias("dest"), F.array_join("source_names", "|").alias("sources")), F.lower("dest"), F.col("sources"))
 )
 _AK = f"(SELECT id, {q_key('name')} AS k, true AS prim, name AS s FROM b UNION ALL SELECT id, {q_key('alias')}, false, alias FROM b WHERE alias IS NOT NULL)"
 query("alias_preflight", f"""{_CC}, ks AS (SELECT a.*, c.component AS g FROM {_AK} a LEFT JOIN comp c ON a.id = c.id)

@@ -5,4 +5,10 @@ from __future__ import annotations
 from reconloom.plans import flow_queries, match_queries, scalar_queries  # noqa: F401
 from reconloom.plans.binding import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+
+def oracles() -> dict[str, str]:
+    """The SQL by query."""
+    return {name: sql if isinstance(sql, str) else sql() for name, sql in ORACLES.items()}
+
+
+__all__ = ["QUERIES", "oracles"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reconloom.functions import normalize as N
 from reconloom.plans.binding import NAMES, Surrogate, q_compact, q_entity, q_key, q_plain, q_strip, q_tag_cleanup, q_tag_key, query
+from reconloom.plans.expected import reversed_ratio
 
 query("scan_all", "SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS customers, min(o_orderkey) AS first_key FROM orders")(lambda t: t.orders.agg(F.count("*").alias("n_rows"), F.count_distinct("o_custkey").alias("customers"), F.min("o_orderkey").alias("first_key")))
 query("scan_filtered_limit", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100")(lambda t: t.orders.where("o_orderstatus = 'F'").orderBy("o_orderkey").limit(100).select("o_orderkey", "o_custkey"))
@@ -52,7 +53,8 @@ query("fingerprint_project", f"SELECT id, lower(CASE WHEN a <> '' THEN a ELSE b
     lambda t: _FPS.df(t).select("id", F.lower(F.try_element_at(F.filter(F.array(F.struct(F.lit("md5").alias("t"), F.col("a").alias("v")), F.struct(F.lit("phash").alias("t"), F.col("b").alias("v")), F.struct(F.lit("md5").alias("t"), F.col("b").alias("v"))), lambda x: (x["t"] == "md5") & (F.trim(x["v"]) != "")), F.lit(1))["v"]).alias("md5"))
 )
 _PATHS = Surrogate("pages", id="page_id", path="CASE page_id % 4 WHEN 0 THEN '/a/./b//' || page_id || '/../x.jpg' WHEN 1 THEN '//host/' || page_id WHEN 2 THEN 'rel/../' || page_id ELSE '/lib/book.cbz/p' || page_id || '.JPG' END")
-query("norm_path")(lambda t: _PATHS.df(t).select("id", N.posix_path("path").alias("path")))
+_MADE = "CASE page_id % 4 WHEN 0 THEN '/a/b/x.jpg' WHEN 1 THEN '//host/' || page_id WHEN 2 THEN page_id || '' ELSE '/lib/book.cbz/p' || page_id || '.JPG' END"
+query("norm_path", f"SELECT page_id AS id, {_MADE} AS path FROM pages")(lambda t: _PATHS.df(t).select("id", N.posix_path("path").alias("path")))
 _EXT = Surrogate("pages", id="page_id", path="CASE page_id % 3 WHEN 0 THEN '/lib/book.cbz/p' || page_id || '.JPG' WHEN 1 THEN url ELSE 'c:/x.zip#in/' || page_id || '.png?v=1' END")
 query("url_extensions", f"""SELECT id, coalesce(string_agg(DISTINCT e, ',' ORDER BY e), '') AS extensions FROM (
   SELECT id, unnest(list_concat([regexp_extract(regexp_replace(trim(p), '\\?.*$', ''), '(\\.[a-z0-9]{{1,10}})$', 1) FOR p IN regexp_split_to_array(lower(path), '[#!|/]')],
@@ -135,12 +137,11 @@ def _distinct(c):
     return ordered_ci_distinct(c)
 
 
-@query("sequence_ratio")
+@query("sequence_ratio", reversed_ratio)
 def ratio(t):
     from reconloom.operators.fuzzy import sequence_ratio
 
-    names = NAMES.df(t).select("id", N.plain_name(F.col("name")).alias("a"))
-    return names.select("id", F.round(sequence_ratio("a", F.reverse("a")), 9).alias("ratio"))
+    return t.part.select(F.col("p_partkey").alias("id"), F.round(sequence_ratio("p_name", F.reverse("p_name")), 9).alias("ratio"))
 
 
 query("limit_eligible", f"SELECT id, {q_strip('name')} AS name FROM {_N} WHERE ordinal % 3 = 0 ORDER BY ordinal LIMIT 40")(lambda t: _eligible(NAMES.df(t)))

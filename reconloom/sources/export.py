@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reconloom.functions.normalize import fingerprint_type, posix_path
+from reconloom.operators.names import ranked
 from reconloom.operators.winner import first_of
 
 
@@ -25,10 +26,7 @@ def json_folder(spark: SparkSession, path: str, schema: StructType | str) -> Dat
         return empty
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path).select("value", F.col("_metadata.file_path").alias("source_path"))
     parsed = files.where(F.trim(F.regexp_replace("value", r"^\s+", "")).startswith("{") & F.is_valid_utf8("value")).withColumn("_v", F.try_parse_json("value")).where("_v is not null").withColumn("_r", F.from_json("value", struct))
-    ranked = parsed.where("_r is not null")
-    from pyspark.sql import Window
-
-    return ranked.withColumn("ordinal", F.row_number().over(Window.orderBy("source_path")).cast("long")).select("_r.*", "source_path", "ordinal")
+    return ranked(parsed.where("_r is not null").select("_r", "source_path"), F.col("source_path"), name="ordinal").select("_r.*", "source_path", "ordinal")
 
 
 def first_non_empty(*frames: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import difflib
 import json
 import posixpath
 import random
+import unicodedata
 import zipfile
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from reconloom.functions import normalize as N
 from reconloom.operators import cleanup, fuzzy, hamming, media, merge, winner
 from reconloom.operators.components import connected_components
-from reconloom.plans import flow
+from reconloom.plans import expected, flow
 from reconloom.sources import export
 from reconloom.streaming.stateful import Breaker, adaptive_backoff, circuit_breaker
 
@@ -124,6 +125,62 @@ def test_blocked_fuzzy_equals_unblocked(spark):
     assert got == {(x, y) for x in left for y in right if x[0] == y[0] and abs(len(x) - len(y)) <= 3 and difflib.SequenceMatcher(None, x, y).ratio() >= 0.8}
 
 
+def _unblocked(names, entities, threshold, margin, window):
+    """The rule over all pairs: the best entity, or None where it is below the threshold or too close to the second."""
+    out = {}
+    for x in names:
+        scored = sorted(((difflib.SequenceMatcher(None, x, y).ratio(), i) for i, y in entities if y[0] == x[0] and abs(len(x) - len(y)) <= window), reverse=True)
+        best = scored and scored[0][0] >= threshold
+        out[x] = scored[0][1] if best and (len(scored) == 1 or scored[0][0] - scored[1][0] >= margin) else "close" if best else None
+    return out
+
+
+def test_runner_up_below_the_threshold_counts(spark):
+    name = "abcdefghijklmnopqrstuvwxy"
+    entities = [("1", name[:-1] + "z"), ("2", name + "qqq"), ("3", "a" + "b" * 24), ("4", "lonely and far away"), ("5", "twin studio number one"), ("6", "twin studio number two")]
+    rng = random.Random(3)
+    letters = "abcdefghij"
+    entities += [(str(100 + k), "k" + "".join(rng.choices(letters, k=14))) for k in range(30)]
+    names = [name, "lonely and far awayy", "twin studio number onee"]
+    names += [y[:6] + rng.choice(letters) + y[6 + k % 2 :] for k, (_, y) in enumerate(entities[6:])]
+    df = _named(spark, [(i, int(i), y, []) for i, y in entities])
+    incoming = spark.createDataFrame([(x,) for x in names], "name string")
+    for how, threshold, margin, window in ((fuzzy.IMPORT_STUDIO, 0.96, 0.03, 3), (fuzzy.Resolver(N.entity_name, 0.85, 0.05, 3, close_is_ambiguous=True), 0.85, 0.05, 3)):
+        want = _unblocked(names, entities, threshold, margin, window)
+        got = {r["name"]: (r["decision"], r["id"]) for r in fuzzy.resolve(incoming, df, how).collect()}
+        for x in names:
+            if want[x] in (None, "close"):
+                assert got[x] == ("ambiguous" if want[x] == "close" and how.close_is_ambiguous else "none", None)
+            else:
+                assert got[x] == ("exact" if x in dict(map(reversed, entities)) else "fuzzy", want[x])
+        assert want[name] in (None, "close") or threshold < 0.9
+
+
+def test_wide_radius_is_refused_and_all_bands_find(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(30)]
+    rows = [(k, b) for k, b in enumerate(base)]
+    for k, b in enumerate(base):
+        x = b
+        for p in rng.sample(range(63), k % 12):
+            x ^= 1 << p
+        rows.append((100 + k, x))
+    df = spark.createDataFrame([*rows, (999, None)], "id long, bits long")
+    for radius in (0, 3, 5, 7, 8, 11):
+        got = {(r[0], r[1]): r[2] for r in hamming.within_radius(df, df, radius).collect()}
+        assert got == {(i, j): (a ^ b).bit_count() for i, a in rows for j, b in rows if (a ^ b).bit_count() <= radius}
+    assert [r["distance"] for r in hamming.in_order(hamming.within_radius(df.where("id = 5"), df, 11)).collect()][:2] == [0, 5]
+    with pytest.raises(ValueError):
+        hamming.within_radius(df, df, 12)
+
+
+def test_written_folding_rows_are_those_of_unicode():
+    names, sql = expected.folding()
+    for i, v in names:
+        assert f"({i}, '{v.casefold().strip()}', " in sql
+        assert unicodedata.normalize("NFKC", v).casefold().strip().replace("artist:", "").strip().split()[0].split("_")[0].split("-")[0] in sql
+
+
 def test_resolver_decisions(spark):
     entities = _named(spark, [("1", 1, "Silver Ring Extraordinaire", []), ("2", 2, "gold_gear", ["golden"]), ("3", 3, "Golden!", []), ("4", 4, "blue bolt", [])])
     names = spark.createDataFrame([("silver ring extraordinairee",), ("GOLD-GEAR",), ("golden",), ("bluebolt",), ("nothing like it",), (None,)], "name string")

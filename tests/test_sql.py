@@ -2,7 +2,9 @@
 
 import pytest
 
-from reconloom.plans.registry import ORACLES, QUERIES
+from reconloom.plans.registry import QUERIES, oracles
+
+ORACLES = oracles()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
