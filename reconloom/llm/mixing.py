@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reconloom.llm.common import text_slices, words
+from reconloom.llm.common import fresh, text_slices, words
 from reconloom.sources.durable import durable, release
 
 #: Ranges that a source's keys are cut into; each is sorted by itself.
@@ -105,7 +105,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     chosen = decide(docs, **options).where("copies > 0")
     d, s, t = options.get("doc_id", "doc_id"), options.get("source", "source"), options.get("text", "text")
-    marked = docs.withColumn("_mix_mark", F.xxhash64(F.col(t), F.col(s)))
-    pairs = chosen.select(F.col("doc_id").alias("_mix_id"), F.col("mark").alias("_mix_m"), F.col("copies").alias("_mix_copies"))
-    both = marked.join(pairs, marked[d].eqNullSafe(F.col("_mix_id")) & (F.col("_mix_mark") == F.col("_mix_m")))
-    return both.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mark, own, other, copies, n = (fresh(docs, c) for c in ("mix_mark", "mix_id", "mix_other", "mix_copies", "mix_n"))
+    marked = docs.withColumn(mark, F.xxhash64(F.col(t), F.col(s)))
+    pairs = chosen.select(F.col("doc_id").alias(own), F.col("mark").alias(other), F.col("copies").alias(copies))
+    both = marked.join(pairs, F.col(d).eqNullSafe(F.col(own)) & (F.col(mark) == F.col(other)))
+    return both.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
