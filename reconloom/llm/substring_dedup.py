@@ -1,19 +1,25 @@
 """Substring dedup by recompression.
 
-Rounds name runs of one symbol and then pairs of symbols. A name is a hash of
-what it stands for, so all documents get the same names without a dictionary
-that would have to be agreed on, and the rounds of a document need no shuffle.
-Whether two neighbours join depends on these two symbols alone (a run of equal
-ones; or a left one before a right one, sides being a bit of the name), and only
-symbols up to a length limit join. So a phrase border survives all rounds or not
-by the CONTEXT words on either side of it: equal passages have equal borders
-inside. That makes the borders, named by the hash of those words, anchors: each
-window takes the smallest anchor name among the borders that lie at least CONTEXT
-words inside it, and equal windows take the same one. (A window inside one long
-run has no such border and takes its own middle.)
-
-Anchors that occur once need no more work. Windows of repeated anchors are named
-by 128 bits each, and all but the first occurrence of a window are marked.
+Rounds name runs of one symbol and then pairs of symbols, a left one before a
+right one, sides being a bit of the name. A name is a hash of what it stands for,
+so every task gives a run or a pair the name that all others give it, and equal
+stretches are made of equal symbols but for a few at either end, where a
+neighbour outside may have joined. What these few are depends on the stretch
+alone: its first and last run, then a right symbol in front and a left symbol at
+the back. Taken off round by round (popped), they and the symbols that remain
+spell the stretch: two spans are equal if and only if they pop equal symbols. So
+a span's name is made of the symbols it pops, the last of which are the highest
+that lie wholly inside it.
+
+The first Spark round sends, for a few places of each document, the name of the
+stretch of 2 * CONTEXT words around them: shared names reveal repeats. The places
+are phrase borders of the first rounds, restricted to short phrases so that a
+border depends on CONTEXT words on either side; each window takes the one with
+the smallest name among those at least CONTEXT words inside it, and equal windows
+take the same one. (A window inside one long run has no such border and takes its
+own middle.) The second Spark round sends the names of the windows around the
+revealed places, with a hash of their plain words to verify them, and marks all
+but the first occurrence of each.
 """
 
 from __future__ import annotations
@@ -26,19 +32,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reconloom.llm.common import text_slices, words
+from reconloom.llm.common import fresh, text_slices, words
 from reconloom.llm.packed import MESSAGE, Sender, digest, id_filter, maybe, mixed, opened, word_ids
-from reconloom.sources.durable import durable, release
+from reconloom.sources.durable import durable, scratch
 
-#: Rounds: what joins, and the longest phrase in words that takes part. CONTEXT is the sum of these lengths.
+#: Rounds that place the borders: what joins, and the longest phrase in words that takes part. CONTEXT is the sum of these lengths.
 ROUNDS = (("run", 1), ("pair", 1), ("pair", 2), ("pair", 2))
 CONTEXT = sum(length for _, length in ROUNDS)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xD1B54A32D192ED03)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Spans that are named at once: bounds the scratch space of a very long text.
+_SPANS = 1 << 18
+
+
+def _is_left(sym: np.ndarray, turn: int) -> np.ndarray:
+    """The side of each symbol in a round of pairs."""
+    return (mixed(sym + np.uint64(turn)) >> np.uint64(33) & np.uint64(1)) == 0
+
+
+def _run_name(sym: np.ndarray, count: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.where(count > 1, mixed(sym ^ count.astype(np.uint64) * _BASE), sym)
+
+
+def _pair_name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(a * _BASE ^ b)
 
 
 def borders(ids: np.ndarray) -> np.ndarray:
-    """Places where a phrase begins after all rounds, as a mask over the words."""
+    """Places where a phrase begins after all ROUNDS, as a mask over the words."""
     sym, at, length = ids, np.arange(len(ids)), np.ones(len(ids), dtype=np.int64)
     for r, (kind, most) in enumerate(ROUNDS):
         if len(sym) < 2:
@@ -47,63 +71,178 @@ def borders(ids: np.ndarray) -> np.ndarray:
         if kind == "run":
             join = (sym[1:] == sym[:-1]) & small[1:] & small[:-1]
         else:
-            side = (mixed(sym + np.uint64(r)) >> np.uint64(33) & np.uint64(1)).astype(bool)
-            join = ~side[:-1] & side[1:] & small[1:] & small[:-1]
-        start = np.r_[True, ~join]
-        first = np.flatnonzero(start)
+            left = _is_left(sym, r)
+            join = left[:-1] & ~left[1:] & small[1:] & small[:-1]
+        first = np.flatnonzero(np.r_[True, ~join])
         count = np.diff(np.r_[first, len(sym)])
         whole = np.add.reduceat(length, first)
-        name = sym[first]
-        if kind == "run":
-            named = np.where(count > 1, mixed(name ^ count.astype(np.uint64) * _BASE), name)
-        else:
-            last = sym[first + count - 1]
-            with np.errstate(over="ignore"):
-                named = np.where(count > 1, mixed(name * _BASE ^ last), name)
+        named = _run_name(sym[first], count) if kind == "run" else np.where(count > 1, _pair_name(sym[first], sym[first + count - 1]), sym[first])
         sym, at, length = named, at[first], whole
     out = np.zeros(len(ids), dtype=bool)
     out[at] = True
     return out
 
 
-def span_hashes(ids: np.ndarray, width: int, second: bool = False) -> np.ndarray:
-    """Names of all spans of ``width`` words."""
-    n = len(ids) - width + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    base = _SECOND if second else _BASE
-    x = mixed(ids + _SECOND) if second else ids
+class Grammar:
+    """All rounds over one sequence of words: runs, then pairs, until one symbol is left or ``rounds`` are done.
+
+    ``levels`` hold, for each round, the symbols, where each begins among the symbols of the round before, and the number
+    of the symbol that each symbol of the round before has become a part of."""
+
+    def __init__(self, ids: np.ndarray, rounds: int):
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        sym = ids
+        for turn in range(rounds):
+            if not len(sym):
+                break
+            first = np.flatnonzero(np.r_[True, sym[1:] != sym[:-1]])
+            count = np.diff(np.r_[first, len(sym)])
+            into = np.repeat(np.arange(len(first)), count)
+            runs = _run_name(sym[first], count)
+            left = _is_left(runs, turn + len(ROUNDS))
+            join = left[:-1] & ~left[1:]
+            start = np.flatnonzero(np.r_[True, ~join])
+            more = np.diff(np.r_[start, len(runs)]) > 1
+            pairs = np.where(more, _pair_name(runs[start], runs[np.minimum(start + 1, len(runs) - 1)]), runs[start])
+            pair_of = np.repeat(np.arange(len(start)), np.where(more, 2, 1))
+            self.levels.append((sym, first, into, runs, left, pair_of))
+            sym = pairs
+        self.top = sym
+
+    def names(self, start: np.ndarray, width: int) -> np.ndarray:
+        """A name for each of the spans of ``width`` words from ``start`` on: equal if and only if the words are."""
+        if len(start) > _SPANS:
+            return np.concatenate([self.names(start[k : k + _SPANS], width) for k in range(0, len(start), _SPANS)])
+        lo, hi = start.astype(np.int64), start.astype(np.int64) + width  # the symbols of the round that are left of each span
+        front, back = np.zeros(len(start), dtype=np.uint64), np.zeros(len(start), dtype=np.uint64)
+        live = np.arange(len(start))
+
+        def pop(end: np.ndarray, at: np.ndarray, sym: np.ndarray, tag: int) -> None:
+            with np.errstate(over="ignore"):
+                end[at] = mixed(end[at] * _SECOND + sym + np.uint64(tag))
+
+        for turn, (sym, first, into, runs, left, pair_of) in enumerate(self.levels):
+            if not len(live):
+                break
+            a, b = lo[live], hi[live]
+            # the first run, and the last if it is another one, may go on outside
+            ra, rb = into[a], into[b - 1]
+            ends = np.r_[first, len(sym)]
+            one = ra == rb
+            pop(front, live, _run_name(sym[a], np.where(one, b - a, ends[ra + 1] - a)), 4 * turn + 1)
+            two = live[~one]
+            pop(back, two, _run_name(sym[b[~one] - 1], (b - first[rb])[~one]), 4 * turn + 2)
+            live, x, y = two, ra[~one] + 1, rb[~one]  # runs x to y - 1 are whole
+            some = x < y
+            live, x, y = live[some], x[some], y[some]
+            # a right symbol in front and a left one at the back may have joined outside
+            off = ~left[x]
+            pop(front, live[off], runs[x[off]], 4 * turn + 3)
+            x = x + off
+            some = x < y
+            live, x, y = live[some], x[some], y[some]
+            off = left[y - 1]
+            pop(back, live[off], runs[y[off] - 1], 4 * turn + 4)
+            y = y - off
+            some = x < y
+            live, x, y = live[some], x[some], y[some]
+            lo[live], hi[live] = pair_of[x], pair_of[y - 1] + 1
+        # what is left after the last round: high symbols that all are whole
+        while len(live):
+            pop(front, live, self.top[lo[live]], 0)
+            lo[live] += 1
+            live = live[lo[live] < hi[live]]
+        return _pair_name(front, back)
+
+
+def word_hashes(ids: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the plain words of spans, by which equal names are verified."""
+    x = mixed(ids + _SECOND)
     with np.errstate(over="ignore"):
-        h = np.zeros(n, dtype=np.uint64)
+        h = np.zeros(len(start), dtype=np.uint64)
         for j in range(width):
-            h = h * base + x[j : j + n]
+            h = h * _SECOND + x[start + j]
     return mixed(h)
 
 
-def anchors(ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window its anchor's place; and the name of the anchor at each place (by place minus CONTEXT)."""
+#: Rounds of the grammar: enough to use up a span of 20 words or so; longer ones end in high symbols.
+LEVELS = 6
+
+
+#: Words of a text that are looked at together.
+CHUNK = 1 << 18
+
+
+def anchors(ids: np.ndarray, window: int, grammar: Grammar) -> np.ndarray:
+    """For each window the place of its anchor."""
     n = len(ids) - window + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    names = span_hashes(ids, 2 * CONTEXT)  # names[i - CONTEXT] is of the words around place i
-    none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    low = np.uint64((1 << 26) - 1)
-    inside = borders(ids)[CONTEXT : CONTEXT + len(names)]
-    if len(names) > int(low):
-        raise ValueError("a document of more than 67 million words")
-    key = np.where(inside, (names & ~low) | np.arange(len(names), dtype=np.uint64), none)
-    # smallest over the window - 2 * CONTEXT + 1 places of each window, by doubling
-    reach, span = window - 2 * CONTEXT + 1, 1
-    best = key
+        return np.zeros(0, dtype=np.int64)
+    reach = window - 2 * CONTEXT + 1
+    inside = np.flatnonzero(borders(ids)[CONTEXT : len(ids) - CONTEXT + 1])
+    # borders in order of the name of the words around them; of equal ones the first
+    rank = np.empty(len(inside), dtype=np.int64)
+    rank[np.lexsort((inside, grammar.names(inside, 2 * CONTEXT)))] = np.arange(len(inside))
+    best = np.full(len(ids) - 2 * CONTEXT + 1, len(inside), dtype=np.int64)
+    best[inside] = rank
+    by_rank = np.zeros(len(inside) + 1, dtype=np.int64)
+    by_rank[rank] = inside
+    # smallest over the ``reach`` places of each window, by doubling
+    span = 1
     while span * 2 <= reach:
         best = np.minimum(best[:-span], best[span:])
         span *= 2
     if span < reach:
         best = np.minimum(best[: len(best) - (reach - span)], best[reach - span :])
-    place = (best & low).astype(np.int64)
-    forced = best == none
+    place = by_rank[best]
+    forced = best == len(inside)
     place[forced] = np.flatnonzero(forced) + (reach - 1) // 2
-    return place + CONTEXT, names
+    return place + CONTEXT
+
+
+class Slice:
+    """The word sequences of some documents, one behind the other, gone through in chunks: whatever a window gives
+    depends on its words alone, so it doesn't matter what stands around them, and a long text needs no more memory."""
+
+    def __init__(self, sequences: list[np.ndarray], window: int):
+        self.ids = np.concatenate(sequences)
+        self.begin = np.cumsum([0, *map(len, sequences)])
+        self.window = window
+        doc = np.repeat(np.arange(len(sequences), dtype=np.int32), np.diff(self.begin))
+        self.whole = doc[: max(0, len(doc) - window + 1)] == doc[window - 1 :]  # windows within one document
+
+    def chunks(self):
+        """``low, ids, grammar, starts, places``: the windows that begin in each chunk, and the place of each one's anchor."""
+        for low in range(0, len(self.whole), CHUNK):
+            ids = self.ids[low : low + CHUNK + self.window - 1]
+            grammar = Grammar(ids, LEVELS)
+            start = np.flatnonzero(self.whole[low : low + CHUNK])
+            yield low, ids, grammar, start, anchors(ids, self.window, grammar)[start]
+
+    def revealing(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each document the places of its anchors and their names."""
+        at, names = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+        for low, _, grammar, _, place in self.chunks():
+            used = np.unique(place)
+            at.append(low + used)
+            names.append(grammar.names(used - CONTEXT, 2 * CONTEXT))
+        at, first = np.unique(np.concatenate(at), return_index=True)
+        names = np.concatenate(names)[first]
+        cut = np.searchsorted(at, self.begin)
+        return [(at[i:j] - b, names[i:j]) for i, j, b in zip(cut[:-1], cut[1:], self.begin[:-1], strict=True)]
+
+    def named(self, known: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each document the starts of the windows with an anchor at one of its ``known`` places, their names and the hashes of their words."""
+        mark = np.zeros(len(self.ids) + 1, dtype=bool)
+        for b, k in zip(self.begin[:-1].tolist(), known, strict=True):
+            mark[b + k.astype(np.int64)] = True
+        out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64))]
+        for low, ids, grammar, start, place in self.chunks():
+            start = start[mark[low + place]]
+            out.append((low + start, grammar.names(start, self.window), word_hashes(ids, start, self.window)))
+        at, names, plain = (np.concatenate(x) for x in zip(*out, strict=True))
+        cut = np.searchsorted(at, self.begin)
+        return [(at[i:j] - b, names[i:j], plain[i:j]) for i, j, b in zip(cut[:-1], cut[1:], self.begin[:-1], strict=True)]
 
 
 def marks(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -138,40 +277,44 @@ def marks(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str =
     def send(batches):
         out, seen = Sender(buckets), set()
         for _, texts in text_slices(batches):
+            own, names = [], []
             for t in texts:
                 ids = word_ids(words(t))
                 name = digest(ids)[0]
                 if len(ids) >= window and name not in seen:
                     seen.add(name)
-                    place, names = anchors(ids, window)
-                    used = np.unique(place)
-                    out.add(name, names[used - CONTEXT], used)
-                if out.full():
-                    yield from out.messages()
-        yield from out.messages()
+                    own.append(ids)
+                    names.append(name)
+            if own:
+                for name, (place, key) in zip(names, Slice(own, window).revealing(), strict=True):
+                    out.add(name, key, place)
+                    if out.full():
+                        yield from _revealed(out)
+        yield from _revealed(out)
 
     sent = rows.where("doc_id is not null and text is not null").select("text").mapInArrow(send, MESSAGE)
-    found = sent.groupBy("bucket").applyInArrow(_repeated, "d1 long, places binary")
+    found = sent.groupBy("bucket").applyInArrow(_repeated(buckets), "d1 long, places binary")
     hits = durable(found.join(first.select("d1", "rep"), "d1").groupBy("rep").agg(F.collect_list(F.struct("d1", "places")).alias("hits")), "sub-hits")
 
     def open_windows(batches):
         out = Sender(buckets)
         for batch, texts in text_slices(batches, "text"):
+            own, reps, known = [], [], []
             for rep, hit, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
                 ids = word_ids(words(t))
                 if len(ids) < window:
                     continue
                 name = digest(ids)[0]
-                own = [np.frombuffer(x["places"], dtype=np.uint32) for x in hit if x["d1"] == name]
-                if not own:
-                    continue
-                place, _ = anchors(ids, window)
-                known = np.zeros(len(ids) + 1, dtype=bool)
-                known[np.concatenate(own)] = True
-                start = np.flatnonzero(known[place])
-                out.add(rep, span_hashes(ids, window)[start], start, span_hashes(ids, window, True)[start])
-                if out.full():
-                    yield from _certain(out)
+                places = [np.frombuffer(x["places"], dtype=np.uint32) for x in hit if x["d1"] == name]
+                if places:
+                    own.append(ids)
+                    reps.append(rep)
+                    known.append(np.concatenate(places))
+            if own:
+                for rep, (start, key, plain) in zip(reps, Slice(own, window).named(known), strict=True):
+                    out.add(rep, key, start, plain)
+                    if out.full():
+                        yield from _certain(out)
         yield from _certain(out)
 
     texts = maybe(rows, "doc_id", id_filter(hits, "rep")).withColumnRenamed("doc_id", "rep").join(hits.hint("shuffle_hash"), "rep").select("rep", "hits", "text")
@@ -181,23 +324,48 @@ def marks(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str =
     starts = durable(later.unionByName(certain).groupBy("doc_id").agg(F.collect_list("starts").alias("starts")), "sub-starts")
     known = first.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "rep")
     each = surveyed.join(known, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left").select("doc_id", "n_words", "d1", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)).alias("whole"), "kept")
-    release(hits, named)
     return each, starts
 
 
-def _repeated(table: pa.Table) -> pa.Table:
+def _revealed(out: Sender):
+    """One occurrence of each name among these; and, dealt by owner, all occurrences of those that come up twice here
+    already. So a name that a third of all documents have sends one entry a message to the bucket of its name."""
+    if not out.held:
+        return
+    keys, places = np.concatenate(out.keys), np.concatenate(out.places)
+    owners = np.repeat(np.array(out.owners, dtype=np.int64), [len(k) for k in out.keys])
+    order = np.argsort(keys, kind="stable")
+    first = np.r_[True, keys[order][1:] != keys[order][:-1]]
+    times = np.diff(np.r_[np.flatnonzero(first), len(order)])
+    for known, at in ((False, order[first]), (True, order[np.repeat(times > 1, times)])):
+        part = Sender(out.buckets, out.buckets if known else 0)
+        at = at[np.argsort(owners[at], kind="stable")]
+        who, begin = np.unique(owners[at], return_index=True)
+        for w, i, j in zip(who.tolist(), begin, np.append(begin[1:], len(at)), strict=True):
+            part.add(w, keys[at[i:j]], places[at[i:j]], spread=np.uint64(w & (1 << 64) - 1) if known else np.uint64(0))
+        yield from part.messages()
+    out.__init__(out.buckets)
+
+
+def _repeated(buckets: int):
     """Places of anchors that occur twice at least, by owner."""
-    got = opened(table)
-    order = np.lexsort((got["places"], got["owners"], got["keys"]))
-    k, o, p = got["keys"][order], got["owners"][order], got["places"][order]
-    new = np.ones(len(k), dtype=bool)  # copies of a document that several tasks have sent
-    new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1]) | (p[1:] != p[:-1])
-    k, o, p = k[new], o[new], p[new]
-    same = k[1:] == k[:-1]
-    keep = np.zeros(len(k), dtype=bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    return _by_owner(o[keep], p[keep], "d1", "places")
+
+    def repeated(table: pa.Table) -> pa.Table:
+        got = opened(table)
+        if table.num_rows and table.column("bucket")[0].as_py() >= buckets:
+            return _by_owner(got["owners"], got["places"], "d1", "places")
+        order = np.lexsort((got["places"], got["owners"], got["keys"]))
+        k, o, p = got["keys"][order], got["owners"][order], got["places"][order]
+        new = np.ones(len(k), dtype=bool)  # copies of a document that several tasks have sent
+        new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1]) | (p[1:] != p[:-1])
+        k, o, p = k[new], o[new], p[new]
+        same = k[1:] == k[:-1]
+        keep = np.zeros(len(k), dtype=bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        return _by_owner(o[keep], p[keep], "d1", "places")
+
+    return repeated
 
 
 def _by_owner(owners: np.ndarray, places: np.ndarray, a: str, b: str) -> pa.Table:
@@ -278,8 +446,14 @@ def removal(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str
     with a smaller id, or before in the same text. Windows are judged on the
     input. Null and empty texts have no words; rows with a null id are left as
     they are and serve as nobody's earlier copy; rows with equal ids don't count
-    as earlier than each other where they are equal.
+    as earlier than each other where they are equal. An empty table gives an empty
+    one; further columns, whatever their names, are not read.
     """
+    with scratch() as made:
+        return made.keep(_removal(docs, window, doc_id, text), "sub-result")
+
+
+def _removal(docs: DataFrame, window: int, doc_id: str, text: str) -> DataFrame:
     each, starts = marks(docs, window, doc_id, text)
     empty = hashlib.sha256(b"").hexdigest()
     schema = "doc_id long, d1 long, n_removed long, sha string"
@@ -311,12 +485,14 @@ def deduplicated(docs: DataFrame, window: int = 20, text: str = "text", length:
     Texts that lose nothing stay as they are; a text that loses all becomes
     empty. ``length``, if ``docs`` has it, is set to the new number of code points.
     """
-    each, starts = marks(docs, window, "doc_id", text)
-    copies = each.where("whole").select("doc_id").distinct().withColumn("_sub_whole", F.lit(True))
-    decided = starts.join(copies, "doc_id", "full").select(F.col("doc_id").alias("_sub_id"), F.col("starts").alias("_sub_starts"), F.coalesce("_sub_whole", F.lit(False)).alias("_sub_whole"))
-    decided = durable(decided, "sub-decided")
-    touched = id_filter(decided, "_sub_id")
-    both = maybe(docs, "doc_id", touched).join(decided.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_sub_id"), "left").drop("_sub_id")
+    own, at, whole_copy = (fresh(docs, c) for c in ("sub_id", "sub_starts", "sub_whole"))
+    with scratch() as made:
+        each, starts = marks(docs, window, "doc_id", text)
+        copies = each.where("whole").select("doc_id").distinct().withColumn("whole", F.lit(True))
+        decided = starts.join(copies, "doc_id", "full").select(F.col("doc_id").alias(own), F.col("starts").alias(at), F.coalesce("whole", F.lit(False)).alias(whole_copy))
+        decided = made.keep(decided, "sub-decided")
+    touched = id_filter(decided, own)
+    both = maybe(docs, "doc_id", touched).join(decided.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(own), "left").drop(own)
     names, schema = docs.columns, StructType(docs.schema.fields)
     at_text = names.index(text)
     at_length = names.index(length) if length in names else None

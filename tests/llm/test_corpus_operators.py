@@ -444,6 +444,32 @@ def test_substrings_equal_brute_force(spark, none):
     assert substring_dedup.removal(none).count() == 0 and substring_dedup.deduplicated(none).count() == 0
 
 
+def test_spans_have_equal_names_if_and_only_if_they_are_equal(monkeypatch):
+    rng = np.random.default_rng(11)
+    for _ in range(120):
+        docs = [packed.mixed(rng.integers(0, rng.integers(1, 5), size=rng.integers(1, 90)).astype(np.uint64)) for _ in range(3)]
+        by_words, by_name = {}, {}
+        for ids in docs:
+            for width in (12, 20):
+                start = np.arange(max(0, len(ids) - width + 1))
+                for i, n in zip(start.tolist(), substring_dedup.Grammar(ids, substring_dedup.LEVELS).names(start, width).tolist(), strict=True):
+                    by_words.setdefault(ids[i : i + width].tobytes(), set()).add(n)
+                    by_name.setdefault(n, set()).add(ids[i : i + width].tobytes())
+        assert all(len(v) == 1 for v in by_words.values()) and all(len(v) == 1 for v in by_name.values())
+
+
+def test_anchors_do_not_depend_on_chunks(monkeypatch):
+    rng = np.random.default_rng(12)
+    docs = [packed.mixed(rng.integers(0, 7, size=n).astype(np.uint64)) for n in (20, 150, 700, 31)]
+    alone = [substring_dedup.Slice([d], 20).revealing()[0] for d in docs]
+    monkeypatch.setattr(substring_dedup, "CHUNK", 33)
+    for (p, n), (q, m) in zip(substring_dedup.Slice(docs, 20).revealing(), alone, strict=True):
+        assert (p == q).all() and (n == m).all()
+    known = [p for p, _ in alone]
+    for d, (start, name, _) in zip(docs, substring_dedup.Slice(docs, 20).named(known), strict=True):
+        assert (start == np.arange(len(d) - 19)).all() and len(set(name.tolist())) == len({d[i : i + 20].tobytes() for i in start})
+
+
 def test_borders_depend_on_context_only():
     rng = np.random.default_rng(3)
     for _ in range(60):
