@@ -338,6 +338,8 @@ def _revealed(out: Sender):
     first = np.r_[True, keys[order][1:] != keys[order][:-1]]
     times = np.diff(np.r_[np.flatnonzero(first), len(order)])
     for known, at in ((False, order[first]), (True, order[np.repeat(times > 1, times)])):
+        if not len(at):
+            continue
         part = Sender(out.buckets, out.buckets if known else 0)
         at = at[np.argsort(owners[at], kind="stable")]
         who, begin = np.unique(owners[at], return_index=True)
@@ -399,6 +401,8 @@ def _certain(out: Sender):
     lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
     same = (o == o[lead]) & (p == p[lead])
     for later, at in ((False, order[first]), (True, order[~first & ~again & ~same])):
+        if not len(at):
+            continue
         part = Sender(out.buckets)
         at = np.sort(at)
         who, begin = np.unique(owners[at], return_index=True)

@@ -470,6 +470,12 @@ def test_anchors_do_not_depend_on_chunks(monkeypatch):
         assert (start == np.arange(len(d) - 19)).all() and len(set(name.tolist())) == len({d[i : i + 20].tobytes() for i in start})
 
 
+def test_texts_without_repeats_lose_nothing(spark):
+    rows = [(k, " ".join(f"u{k}x{j}" for j in range(60))) for k in range(6)]
+    got = substring_dedup.removal(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in got) == _brute(rows)
+
+
 def test_borders_depend_on_context_only():
     rng = np.random.default_rng(3)
     for _ in range(60):
