@@ -82,14 +82,40 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return w, float(b)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.1) -> float:
+    """Share of positives among unlabelled rows, from the scores of both by a scorer that has seen neither.
+
+    Above any score the unlabelled rows hold at least prior * (share of the positives there), so the smallest ratio of
+    the two shares bounds the prior, and meets it where only positives score as high. Scores that fewer than ``least``
+    of the positives reach are left out, and both shares are widened by their spread."""
+    cut = np.unique(np.quantile(positive, np.linspace(0, 1 - least, 101)))
+    p = np.array([(positive >= c).mean() for c in cut])
+    u = np.array([(unlabelled >= c).mean() for c in cut])
+    wide = np.sqrt(np.maximum(u * (1 - u), 1 / len(unlabelled)) / len(unlabelled)) + np.sqrt(np.maximum(p * (1 - p), 1 / len(positive)) / len(positive))
+    best = int(((u + wide) / p).argmin())
+    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, guess: float) -> float:
+    """Class prior of the unlabelled rows: a scorer of one half of both estimates it on the other half, and the other way round."""
+    if min(len(positive), len(unlabelled)) < 40:
+        return guess
+    found = []
+    for k in (0, 1):
+        w, b = nn_pu(positive[k::2], unlabelled[k::2], guess, steps=200)
+        found.append(class_prior(positive[1 - k :: 2] @ w + b, unlabelled[1 - k :: 2] @ w + b))
+    return float(np.mean(found))
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 12_000) -> QualityModel | None:
     """Fit on the given rows; ``docs`` and ``labels`` must already be the learning fold.
 
-    ``max_rows`` is the documented bound of each of the two samples (labelled
-    rows; unlabelled text, drawn from all documents): above it rows are taken by
-    a hash of the id. The class prior is the share of positives among labelled
-    rows with add-one smoothing; the labelled rows also set the probability
-    scale. Labels with a null id or value are left out; a repeated id counts
+    ``max_rows`` is about the size, to a few percent, of each of the two samples
+    (labelled rows; unlabelled text, drawn from all documents): above it rows are
+    taken by a hash of the id. The class prior of the unlabelled text is estimated
+    from it and the positives alone (``estimated_prior``; with fewer than 40 rows
+    of either it is the share of positives among labelled rows). The labelled rows
+    set the probability scale, nothing else. Labels with a null id or value are left out; a repeated id counts
     once, by its smallest label. Without a positive label there is no model.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_y"))
@@ -110,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     mean, scale = x[y == -1].mean(axis=0), x[y == -1].std(axis=0)
     scale[scale < 1e-6] = 1.0
     z = np.clip((x - mean) / scale, -8, 8)
-    prior = ((y == 1).sum() + 1) / ((y >= 0).sum() + 2)
+    prior = estimated_prior(z[y == 1], z[y == -1], ((y == 1).sum() + 1) / ((y >= 0).sum() + 2))
     w, b = nn_pu(z[y == 1], z[y == -1], prior)
     slope, offset = _calibrate(z[y >= 0] @ w + b, y[y >= 0])
     return QualityModel(mean, scale, w, b, slope, offset, prior)
