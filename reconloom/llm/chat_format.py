@@ -35,6 +35,7 @@ def leaf_paths(nodes: DataFrame, max_doublings: int = 40) -> DataFrame:
     ids = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     jump = durable(nodes.select("tree", "node", F.col("parent").alias("above")).join(ids, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("above") == F.col("_n"))).select("tree", "node", "above"), "chat-jump")
     used = jump.select(F.col("tree").alias("_t"), F.col("above").alias("_n")).distinct()
+    # what is reached so far, in one table for each round, so that no round writes the others again
     reach = durable(nodes.join(used, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "chat-reach")
     for k in range(max_doublings):
         if jump.isEmpty():
@@ -44,9 +45,10 @@ def leaf_paths(nodes: DataFrame, max_doublings: int = 40) -> DataFrame:
         on = F.col("tree").eqNullSafe(F.col("_t"))
         more = reach.join(step, on & (F.col("node") == F.col("_n"))).select("tree", "leaf", F.col("_to").alias("node"), (F.col("up") + F.lit(1 << k)).alias("up"))
         longer = jump.join(step, on & (F.col("above") == F.col("_n"))).select("tree", "node", F.col("_to").alias("above"))
-        reach_, jump_ = durable(reach.unionByName(more), "chat-reach"), durable(longer, "chat-jump")
-        release(reach, jump)
-        reach, jump = reach_, jump_
+        reach = reach.unionByName(durable(more, "chat-reach"))
+        longer = durable(longer, "chat-jump")
+        release(jump)
+        jump = longer
     raise ValueError("a reply tree has a cycle above a leaf")
 
 
