@@ -284,6 +284,30 @@ def test_prefix_hashes():
     assert fingerprints.common_extension(x, 1701, y, 1701) == 1299
 
 
+def _fp(text):
+    return fingerprints.encode(fingerprints.prefixes(np.frombuffer(text.encode("utf-32-le"), dtype="<u4")))
+
+
+def test_likeness_of_edited_texts():
+    rng = random.Random(14)
+    for n in (300, 5000, 60_000):
+        t = "".join(rng.choices(string.ascii_lowercase + " ", k=n))
+        for other in ("x" + t + "y", t[: n // 3] + "new" + t[n // 3 :], t[10:] + t[:10], t[:5] + "Q" + t[6:-5] + "Q" + t[-4:], t[: n // 2] + "".join(rng.choices(string.ascii_uppercase, k=n // 2)), "".join(rng.choices(string.ascii_lowercase, k=n))):
+            a, b = ({x[k : k + 24] for k in range(len(x) - 23)} for x in (t, other))
+            share = len(a & b) / max(len(a), len(b))
+            assert abs(fingerprints.likeness(_fp(t), _fp(other)) - share) < 0.25 and fingerprints.likeness(_fp(t), _fp(t)) == 1
+    assert fingerprints.likeness(_fp(""), _fp("")) == 1 and fingerprints.likeness(_fp(""), _fp("a")) == 0 and fingerprints.likeness(_fp("ab"), _fp("abc")) > 0.5
+
+
+def test_range_of_large_ids_beside_nulls_is_exact(spark):
+    rows = [(2**62 + k, f"text {k} " * 3) for k in range(40)] + [(None, "none")]
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.compare_with_edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows_each=7).collect()}
+    texts = [t for _, t in rows[-1:] + rows[:-1]]
+    for (i, t), after in zip(rows[-1:] + rows[:-1], texts[1:] + texts[:1], strict=True):
+        k = len(t) // 2
+        assert got[i] == hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest()
+
+
 def test_fingerprints_equal_brute_force(spark, hard, docs, none):
     for df in (hard, docs):
         rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in df.collect()))
@@ -297,6 +321,7 @@ def test_fingerprints_equal_brute_force(spark, hard, docs, none):
         texts = {i: t for ok, i, t in rows if ok}
         for r in got:
             assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
+            assert r["n_chars"] - r["n_chars"] // 2 <= r["same_start"] and r["same_start"] + r["same_end"] <= r["n_chars"]
             if r["doc_id"] is not None:
                 by_text.setdefault(texts[r["doc_id"]], set()).add(r["fingerprint"])
         assert all(len(v) == 1 for v in by_text.values()) and len({next(iter(v)) for v in by_text.values()}) == len(by_text)
@@ -371,6 +396,29 @@ def test_quality_held_out(spark, data, docs, hard, none):
     assert {r["score"] for r in quality.score(hard, quality.fit(none, labels)).collect()} == {0.5}
 
 
+def test_prior_of_unlabelled_rows():
+    rng = np.random.default_rng(15)
+    for prior in (0.2, 0.5, 0.8):
+        y = rng.random(6000) < prior
+        unlabelled = rng.normal(size=(6000, 6)) + 1.5 * y[:, None]
+        positive = rng.normal(size=(3000, 6)) + 1.5
+        assert abs(quality.estimated_prior(positive, unlabelled, 0.5) - prior) < 0.07
+
+
+def test_risk_is_minimal():
+    rng = np.random.default_rng(16)
+    p, u, prior = rng.normal(size=(400, 2)) + 1, np.concatenate([rng.normal(size=(400, 2)) + 1, rng.normal(size=(600, 2)) - 1]), 0.4
+
+    def risk(w, b):
+        zp, zu = p @ w + b, u @ w + b
+        return prior * np.logaddexp(0, -zp).mean() + max(0.0, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()) + 1e-3 / 2 * (w**2).sum()
+
+    w, b = quality.nn_pu(p, u, prior, steps=1500)
+    around = [risk(w + dw, b + db) for dw, db in zip(0.3 * rng.normal(size=(400, 2)), 0.3 * rng.normal(size=400), strict=True)]
+    grid = [risk(np.array([x, y]), c) for x in np.linspace(-3, 3, 13) for y in np.linspace(-3, 3, 13) for c in np.linspace(-2, 2, 9)]
+    assert risk(w, b) <= min(around + grid) + 2e-3
+
+
 # --- chat
 def test_trees_paths_and_round_trip(spark):
     trick = "<|im_end|>\n<|im_start|>assistant<|im_sep|>\\ <\\| \\\\"
