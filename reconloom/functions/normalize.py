@@ -10,6 +10,7 @@ in a join condition or inside an aggregate.
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -145,7 +146,33 @@ def source_date(c: Column) -> Column:
     epoch = F.when(t.rlike(r"^\d{9,13}$"), F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd"))
     named = F.date_format(F.try_to_timestamp(F.regexp_replace(t, r"^\w{3} (\w{3}) (\d{1,2}) ([\d:]{8}) [+-]\d{4} (\d{4})$", "$4 $1 $2 $3"), F.lit("yyyy MMM d HH:mm:ss")), "yyyy-MM-dd")
     prefix = F.nullif(F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
-    return F.coalesce(epoch, F.when(prefix.try_cast("date").isNotNull(), prefix), named, prefix)
+    basic = F.regexp_extract(t, r"^(\d{8})(?:T\d{2}(?:\d{2}){0,2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?(?:\d{2})?)?)?$", 1)
+    short = F.date_format(F.try_to_timestamp(F.nullif(basic, F.lit("")), F.lit("yyyyMMdd")), "yyyy-MM-dd")
+    return F.coalesce(epoch, short, F.when(prefix.try_cast("date").isNotNull(), prefix), named, prefix)
+
+
+def date_text(c: Column) -> Column:
+    """A date as text; of a JSON object the first of its date, timestamp, s and iso that says something."""
+    value = lambda k: F.nullif(F.nullif(F.get_json_object(c, f"$.{k}"), F.lit("")), F.lit("0"))
+    return F.when(strip(c).startswith("{"), F.coalesce(value("date"), value("timestamp"), value("s"), value("iso"))).otherwise(c)
+
+
+def custom_image(path: Column) -> Column:
+    """Whether an image path names something other than the default image."""
+    return F.coalesce((strip(path) != "") & ~F.contains(casefolded(path), F.lit("default=true")), F.lit(False))
+
+
+def allowed_source(source: Column, allowed: Sequence[str]) -> Column:
+    """Whether metadata of a source may be used."""
+    return F.coalesce(source.isin(*allowed), F.lit(False))
+
+
+def retryable(causes: Column) -> Column:
+    """Whether an error may be tried again, by its chain of causes (``kind, code``), outermost first: an open breaker and
+    network errors may, an answer code decides by itself, a failed foreign key may not; other kinds ask their cause."""
+    known = F.filter(causes, lambda x: x["kind"].isin("open", "http", "network", "foreign_key"))
+    first = F.try_element_at(known, F.lit(1))
+    return F.coalesce(first["kind"].isin("open", "network") | ((first["kind"] == "http") & first["code"].isin(*RETRYABLE)), F.lit(False))
 
 
 def hash_bits(hex_text: Column) -> Column:

@@ -17,7 +17,7 @@ from reconloom.plans.binding import q_compact, q_entity, q_plain, q_tag_key
 # The words that make up the names of the table ``part``.
 FIRST = ("blue", "cold", "hot", "large", "new", "old", "red", "small")
 SECOND = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
-#: What entity names add to a name; the third is for names with an r only.
+#: What entity names add to a name; the third is for names with an r only. A fourth entity has the name of some gears in capitals.
 LONG = " workshop of the northern rivers"
 FORMS = ("", LONG, f"{LONG} ab")
 #: What incoming names do to a name.
@@ -25,7 +25,7 @@ TYPO = f"""CASE p_partkey % 5 WHEN 0 THEN p_name || substr(p_name, length(p_name
 
 ENTITIES = " UNION ALL ".join(
     f"SELECT (min(p_partkey) * 4 + {k}) || '' AS id, min(p_partkey) * 4 + {k} AS ordinal, p_name || '{more}' AS name FROM part {'' if k < 2 else 'WHERE p_name LIKE ' + repr('%r%')} GROUP BY p_name" for k, more in enumerate(FORMS)
-)
+) + " UNION ALL SELECT (min(p_partkey) * 4 + 3) || '', min(p_partkey) * 4 + 3, upper(p_name) FROM part WHERE p_name LIKE '%gear' GROUP BY p_name"
 _START = f"WITH inc AS (SELECT DISTINCT {TYPO} AS name FROM part), ent AS ({ENTITIES}), sp AS (SELECT id, name AS s FROM ent UNION ALL SELECT id, replace(name, ' ', '') FROM ent)"
 
 
@@ -65,7 +65,7 @@ def _winner(pairs: str, threshold: float, margin: float) -> str:
  FROM (SELECT name, rival, arg_max(id, s) AS id, max(s) AS s FROM ({pairs}) p GROUP BY name, rival) g) w WHERE k = 1 AND s >= {threshold}"""
 
 
-def _decided(kind: str, fuzzy: str, threshold: float, margin: float, window: int, compact: bool, per_key: bool, veto: bool, close: str) -> str:
+def decided(kind: str, fuzzy: str, threshold: float, margin: float, window: int, compact: bool, per_key: bool, veto: bool, close: str) -> str:
     """CTEs up to ``d`` (name, decision, id, score)."""
     f, g = _SQL[kind], _SQL[fuzzy]
     table = ratios(fuzzy, window, 0.85)
@@ -85,19 +85,19 @@ def _decided(kind: str, fuzzy: str, threshold: float, margin: float, window: int
 
 
 def resolver(*how) -> Callable[[], str]:
-    return lambda: f"{_decided(*how)} SELECT name, decision, id, score FROM d"
+    return lambda: f"{decided(*how)} SELECT name, decision, id, score FROM d"
 
 
-def _guard() -> str:
+def blocked() -> str:
     return f"SELECT DISTINCT i.name FROM inc i JOIN {ratios('compact', 6, 0.85)} ON r.l = {_SQL['compact']('i.name')} JOIN sp ON r.r = {_SQL['compact']('sp.s')} WHERE r.s >= 0.9"
 
 
 def guard() -> str:
-    return f"{_START}, b AS ({_guard()}) SELECT inc.name, b.name IS NOT NULL AS blocked FROM inc LEFT JOIN b ON inc.name = b.name"
+    return f"{_START}, b AS ({blocked()}) SELECT inc.name, b.name IS NOT NULL AS blocked FROM inc LEFT JOIN b ON inc.name = b.name"
 
 
 def creation(*how) -> Callable[[], str]:
-    return lambda: f"""{_decided(*how)}, b AS ({_guard()}), a AS (SELECT d.name, d.id, CASE WHEN decision IN ('exact', 'compact', 'fuzzy') THEN 'reuse' WHEN decision = 'ambiguous' THEN 'ambiguous' WHEN b.name IS NOT NULL THEN 'blocked' ELSE 'create' END AS action FROM d LEFT JOIN b ON d.name = b.name),
+    return lambda: f"""{decided(*how)}, b AS ({blocked()}), a AS (SELECT d.name, d.id, CASE WHEN decision IN ('exact', 'compact', 'fuzzy') THEN 'reuse' WHEN decision = 'ambiguous' THEN 'ambiguous' WHEN b.name IS NOT NULL THEN 'blocked' ELSE 'create' END AS action FROM d LEFT JOIN b ON d.name = b.name),
  n AS (SELECT name, min(name) OVER (PARTITION BY {q_plain('name')}) AS head FROM a WHERE action = 'create') SELECT name, action, id FROM a WHERE action <> 'create' UNION ALL SELECT name, CASE WHEN name = head THEN 'create' ELSE 'join_new' END, 'new:' || head FROM n"""
 
 

@@ -85,7 +85,7 @@ query("run_rates", "SELECT user_id, coalesce(round(span / nullif(n, 0), 4), 0) A
     lambda t: t.events.groupBy("user_id").agg(F.count("*").cast("double").alias("n"), (F.max("event_id") - F.min("event_id")).cast("double").alias("span"), F.sum("event_id").cast("double").alias("kb")).select("user_id", *flow.rates(F.col("span"), F.col("n"), F.col("kb")))
 )
 _URLS = Surrogate("pages", id="page_id", a="url", b="'https://m.example.org/en/' || page_id", c="'https://else.invalid/' || page_id", status="'Review'")
-_DEC = Surrogate("pages", "page_id % 4 < 3", id="page_id", decision="CASE page_id % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'later' END")
+_DEC = Surrogate("pages", id="page_id", decision="CASE page_id % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'later' END")
 
 
 @query("review_decision", f"""SELECT u.id, b AS candidate, CASE decision WHEN 'yes' THEN 'Imported' WHEN 'no' THEN 'NoMatch' ELSE status END AS status, CASE WHEN decision = 'no' THEN a || ' ' || c ELSE a || ' ' || b || ' ' || c END AS urls FROM {_URLS.sql} u LEFT JOIN {_DEC.sql} d ON u.id = d.id""")
@@ -98,13 +98,22 @@ query("failure_runs", """SELECT user_id, run, count(*) AS failures, min(event_id
     lambda t: flow.failure_runs(t.events, "user_id", "event_id", F.col("event_type").isin("error", "click"))
 )
 _calls = lambda t: t.events.select(F.concat(F.lit("h"), F.col("user_id") % 12).alias("host"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), (F.col("event_type").isin("error", "click", "view")).alias("failed")).withColumn("at", F.col("us") / 1e6).drop("us")
-query("circuit_breaker")(lambda t: stateful.circuit_breaker(_calls(t), 4, 1200.0))
-query("adaptive_backoff")(lambda t: stateful.adaptive_backoff(_calls(t)))
+_CALLS = "(SELECT 'h' || (user_id % 12) AS host, epoch_us(ts) / 1e6 AS tm, event_type IN ('error', 'click', 'view') AS failed FROM events)"
+_STEPS = f"e AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY tm, failed) AS k FROM {_CALLS} c)"
+_BREAKER = f"""WITH RECURSIVE {_STEPS}, s(host, k, failures, until, opened, rejected, passed) AS (SELECT DISTINCT host, 0::BIGINT, 0::BIGINT, 0::DOUBLE, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM e UNION ALL
+ SELECT s.host, e.k, CASE WHEN tm < until THEN failures WHEN failed AND failures < 3 THEN failures + 1 ELSE 0 END, CASE WHEN tm >= until AND failed AND failures >= 3 THEN tm + 1200.0 ELSE until END, opened + CASE WHEN tm >= until AND failed AND failures >= 3 THEN 1 ELSE 0 END,
+ rejected + CASE WHEN tm < until THEN 1 ELSE 0 END, passed + CASE WHEN tm < until THEN 0 ELSE 1 END FROM s JOIN e ON s.host = e.host AND e.k = s.k + 1)
+ SELECT host, opened, rejected, passed, until AS open_until FROM s WHERE (host, k) IN (SELECT host, max(k) FROM e GROUP BY 1)"""
+_PACE = f"""WITH RECURSIVE {_STEPS}, s(host, k, waits, waited, delay) AS (SELECT DISTINCT host, 0::BIGINT, 0::BIGINT, 0::DOUBLE, 0::DOUBLE FROM e UNION ALL
+ SELECT s.host, e.k, waits + CASE WHEN failed THEN 1 ELSE 0 END, waited + CASE WHEN failed THEN least(20.0, greatest(5.0, delay * 2)) ELSE 0.0 END, CASE WHEN failed THEN least(20.0, greatest(5.0, delay * 2)) WHEN delay / 2 >= 5.0 THEN delay / 2 ELSE 0.0 END
+ FROM s JOIN e ON s.host = e.host AND e.k = s.k + 1) SELECT host, waits, waited, delay FROM s WHERE (host, k) IN (SELECT host, max(k) FROM e GROUP BY 1)"""
+query("circuit_breaker", _BREAKER)(lambda t: stateful.circuit_breaker(_calls(t), 4, 1200.0))
+query("adaptive_backoff", _PACE)(lambda t: stateful.adaptive_backoff(_calls(t)))
 
 # --- ids, histories, relations
-_EXT_OLD = Surrogate("documents", "doc_id % 3 < 2", id="doc_id", endpoint="'HTTPS://' || lang", external_id="source")
-_EXT_CUR = Surrogate("documents", "doc_id % 3 > 0", id="doc_id", endpoint="'https://' || lang", external_id="CASE WHEN doc_id % 2 = 0 THEN source ELSE 'other' END")
-query("external_id_union", f"SELECT coalesce(c.id, o.id) AS id, lower(coalesce(c.endpoint, o.endpoint)) AS endpoint, coalesce(c.external_id, o.external_id) AS external_id, coalesce(c.external_id <> o.external_id, false) AS conflict FROM {_EXT_CUR.sql} c FULL JOIN {_EXT_OLD.sql} o ON c.id = o.id")(lambda t: merge.external_id_union(_EXT_CUR.df(t), _EXT_OLD.df(t)))
+_EXT_OLD = Surrogate("documents", id="doc_id", endpoint="'HTTPS://' || lang", external_id="CASE WHEN doc_id % 3 < 2 THEN source END")
+_EXT_CUR = Surrogate("documents", id="doc_id", endpoint="'https://' || lang", external_id="CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN source ELSE 'other' END")
+query("external_id_union", f"SELECT coalesce(c.id, o.id) AS id, lower(coalesce(c.endpoint, o.endpoint)) AS endpoint, coalesce(c.external_id, o.external_id) AS external_id, coalesce(c.external_id <> o.external_id, false) AS conflict FROM {_EXT_CUR.sql} c FULL JOIN {_EXT_OLD.sql} o ON c.id = o.id WHERE coalesce(c.external_id, o.external_id) IS NOT NULL")(lambda t: merge.external_id_union(_EXT_CUR.df(t), _EXT_OLD.df(t)))
 query("external_id_match", f"SELECT a.id AS source, count(DISTINCT b.id) AS hits, CASE WHEN count(DISTINCT b.id) = 1 THEN min(b.id) END AS id FROM {_EXT_OLD.sql} a JOIN {_EXT_CUR.sql} b ON lower(a.endpoint) = lower(b.endpoint) AND a.external_id || (a.id % 40) = b.external_id || (b.id % 40) GROUP BY 1")(
     lambda t: names.external_id_match(_EXT_OLD.df(t).select(F.col("id").alias("source"), "endpoint", F.concat("external_id", (F.col("id") % 40).cast("string")).alias("external_id")), _EXT_CUR.df(t).withColumn("external_id", F.concat("external_id", (F.col("id") % 40).cast("string"))))
 )

@@ -98,7 +98,8 @@ def _plain(t):
     forms = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(more).alias("more")) for k, more in enumerate(E.FORMS)])
     each = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("first")).select("p_name", "first", F.explode(forms).alias("f")).where("f.k < 2 or p_name like '%r%'")
     named = each.select((F.col("first") * 4 + F.col("f.k")).alias("ordinal"), F.concat("p_name", "f.more").alias("name"))
-    return named.select(F.col("ordinal").cast("string").alias("id"), "ordinal", "name", F.array(F.regexp_replace("name", " ", "")).alias("aliases"))
+    twins = t.part.where("p_name like '%gear'").groupBy("p_name").agg((F.min("p_partkey") * 4 + 3).alias("ordinal")).select("ordinal", F.upper("p_name").alias("name"))
+    return named.unionByName(twins).select(F.col("ordinal").cast("string").alias("id"), "ordinal", "name", F.array(F.regexp_replace("name", " ", "")).alias("aliases"))
 
 
 @query("fuzzy_match", E.fuzzy_match)
@@ -213,7 +214,7 @@ def _plan_sql(kinds: str, extra: str = "") -> str:
 
 _flat = lambda p: p.select("destination_id", F.array_join("source_ids", ",").alias("source_ids"), "kind")
 query("tag_cleanup_safe", _plan_sql("CASE WHEN bool_or(meta) THEN '-metadata-conflict' ELSE '' END"))(lambda t: _flat(cleanup.plan(_members(t), N.plain_name)))
-_EXT_ID = "(SELECT p_partkey || '' AS id, 'HTTPS://A' AS endpoint, (p_partkey % 5) || '' AS external_id FROM part WHERE p_partkey % 6 = 0)"
+_EXT_ID = "(SELECT p_partkey || '' AS id, 'HTTPS://A' AS endpoint, CASE WHEN p_partkey % 6 = 0 THEN (p_partkey % 5) || '' END AS external_id FROM part)"
 query("entity_cleanup_safe", _plan_sql("CASE WHEN count(DISTINCT x.external_id) > 1 THEN '-external-id-conflict' WHEN bool_or(meta) THEN '-metadata-conflict' WHEN bool_or(sp.k IS NOT NULL) THEN '-external-name-conflict' ELSE '' END",
     f""", keys AS (SELECT id, {q_plain('name')} AS k FROM b UNION SELECT id, {q_plain('alias')} FROM b WHERE alias IS NOT NULL), ow AS (SELECT keys.id, keys.k, coalesce(comp.component, '-' || keys.id) AS c FROM keys LEFT JOIN comp ON keys.id = comp.id),
  sp AS (SELECT DISTINCT ow.id, ow.k FROM ow JOIN (SELECT k FROM ow GROUP BY 1 HAVING count(DISTINCT c) > 1) z ON ow.k = z.k)""").replace("FROM sv GROUP BY component", f"FROM (SELECT sv.*, xx.external_id AS xid FROM sv LEFT JOIN {_EXT_ID} xx ON sv.id = xx.id) sv LEFT JOIN (SELECT DISTINCT id AS spid, 1 AS k FROM sp) sp ON sp.spid = sv.id GROUP BY component").replace("x.external_id", "xid").replace("xxid", "xx.external_id"))(
@@ -222,7 +223,7 @@ query("entity_cleanup_safe", _plan_sql("CASE WHEN count(DISTINCT x.external_id)
 
 
 def _external(t):
-    return t.part.where("p_partkey % 6 = 0").select(F.col("p_partkey").cast("string").alias("id"), F.lit("HTTPS://A").alias("endpoint"), (F.col("p_partkey") % 5).cast("string").alias("external_id"))
+    return t.part.select(F.col("p_partkey").cast("string").alias("id"), F.lit("HTTPS://A").alias("endpoint"), F.when(F.col("p_partkey") % 6 == 0, (F.col("p_partkey") % 5).cast("string")).alias("external_id"))
 
 
 query("safe_formatting_merge", f"""WITH b AS (SELECT *, k AS component FROM {_B} q WHERE length(k) >= 4), g AS (SELECT component, count(DISTINCT signature) FILTER (WHERE rich) > 1 AS meta, count(*) AS n FROM b GROUP BY 1)

@@ -124,7 +124,7 @@ query("token_project", f"SELECT id, lang_ || ',' || src || ',Meta_x,' || src ||
     lambda t: _TOK.df(t).select("id", F.array_join(_distinct(F.split("tags", " ")), ",").alias("tokens"))
 )
 query("typed_token_filter", "SELECT doc_id, source AS artist FROM documents WHERE CAST(substr(source, 4) AS BIGINT) % 4 = 1")(
-    lambda t: t.documents.select("doc_id", F.explode(F.array("lang", "source")).alias("artist")).join(F.broadcast(t.spark.createDataFrame([(f"src{k}", k % 4) for k in range(64)], "artist string, kind int")), "artist").where("kind = 1").select("doc_id", "artist")
+    lambda t: t.documents.select("doc_id", F.explode(F.array("lang", "source")).alias("artist")).join(t.documents.select(F.col("source").alias("artist")).distinct().withColumn("kind", F.substring("artist", 4, 18).try_cast("bigint") % 4), "artist").where("kind = 1").select("doc_id", "artist")
 )
 query("role_mapping", "SELECT doc_id, CASE WHEN lang = 'en' THEN source ELSE lang END AS studio, CASE WHEN lang = 'en' THEN lang || ',x' ELSE source || ',' || lang || ',x' END AS tags FROM documents WHERE lang IN ('en')  UNION ALL SELECT doc_id, source, lang || ',x' FROM documents WHERE lang <> 'en'")(
     lambda t: t.documents.withColumn("artists", F.filter(F.array(F.lit("conditional_dnp"), F.col("source")), lambda a: ~a.isin("conditional_dnp", "third-party_edit"))).select("doc_id", F.try_element_at("artists", F.lit(1)).alias("studio"), F.array_join(F.concat(F.array_except(F.array("lang", "source", F.lit("x")), "artists"), F.slice("artists", 2, 9)), ",").alias("tags"))

@@ -102,17 +102,20 @@ def hook_image_ids(payloads: DataFrame, body: str = "body", id: str = "id") -> D
     """``id, image_id``: the image that a nested JSON payload names, by an image id key or as an object of type image; depth first."""
     import json
 
-    def find(node) -> str | None:
-        if isinstance(node, list):
-            return next((x for x in map(find, node) if x), None)
-        if not isinstance(node, dict):
-            return None
-        named = [v for k, v in node.items() if k.replace("-", "_").lower() in ("image_id", "imageid") and v is not None]
-        if named:
-            return str(named[0])
-        if str(node.get("type") or node.get("Type") or "").lower() == "image" and node.get("id") is not None:
-            return str(node["id"])
-        return find(list(node.values()))
+    def find(payload) -> str | None:
+        waiting = [payload]
+        while waiting:  # the first in document order that names an image
+            here = waiting.pop()
+            inner = here.values() if isinstance(here, dict) else here if isinstance(here, list) else ()
+            if isinstance(here, dict):
+                plain = {k.lower().translate({45: None, 95: None}): v for k, v in reversed(here.items())}
+                id_ = plain.get("imageid")
+                if id_ is None and str(plain.get("type") or "").lower() == "image":
+                    id_ = here.get("id")
+                if id_ is not None:
+                    return str(id_)
+            waiting.extend(reversed([*inner]))
+        return None
 
     def read(text: str | None) -> str | None:
         try:
