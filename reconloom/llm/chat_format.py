@@ -56,7 +56,10 @@ def format_trees(nodes: DataFrame, top: int | None = None, learn: str = "assista
     """Format the best ``top`` branches of each tree (all if None) as conversations.
 
     ``nodes``: ``tree, node, parent, role, text`` and optionally ``score``; ``node``
-    is unique in its tree. A null role or text counts as empty. Branches rank by
+    is unique in its tree (a repeated one gives its descendants a path for each
+    of its rows); a null ``tree`` is a tree like others, a null ``node`` is a leaf
+    without parent links. Further columns, whatever their names, are not read. A
+    null role or text counts as empty. Branches rank by
     the sum of their scores (null: 0), ties by the smaller leaf. Returns ``tree,
     leaf, rank, n_messages, formatted, loss_spans``: the spans (start from 0,
     length, in code points) of the escaped texts of role ``learn``. An empty
@@ -99,7 +102,10 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def threads(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Rows by turn as reply trees that are chains; equal turns follow by role and text, null turns come first."""
+    """Rows by turn as reply trees that are chains; equal turns follow by role and text, null turns come first.
+
+    Repeated rows are messages of their own, rows with a null conversation one chain. Texts may be null or of any
+    length; an empty table gives an empty one; further columns are not read."""
     order = Window.partitionBy(conv).orderBy(F.col(turn).asc_nulls_first(), F.col(role).asc_nulls_first(), F.col(text).asc_nulls_first())
     k = F.row_number().over(order)
     return messages.select(F.col(conv).alias("tree"), k.cast("long").alias("node"), F.when(k > 1, k - 1).cast("long").alias("parent"), F.col(role).alias("role"), F.col(text).alias("text"))

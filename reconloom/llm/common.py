@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,21 +25,19 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Cut Arrow batches so that one slice holds about ``chars`` characters, or one text.
+def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Cut Arrow batches so that the texts of one slice have about ``size`` bytes, or are one text.
 
-    Bounds the numpy scratch space of a task whatever the batch size."""
+    Bounds the Python objects and the numpy scratch space of a task whatever the batch size."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        start = held = 0
-        for i, t in enumerate(texts):
-            n = len(t) if t else 0
-            if held and held + n > chars:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += n
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        texts = batch.column(batch.schema.get_field_index(column))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < len(ends):
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(start, stop - start), texts.slice(start, stop - start).to_pylist()
+            start = stop
 
 
 def codepoints(text: str) -> np.ndarray:

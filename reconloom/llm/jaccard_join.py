@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reconloom.llm.common import fresh, text_slices
-from reconloom.llm.packed import MESSAGE, Sender, digest, id_filter, inside, lowered_words, maybe, mixed, opened, word_ids
+from reconloom.llm.packed import MESSAGE, Sender, by_bucket, digest, id_filter, inside, lowered_words, maybe, mixed, opened, word_ids
 from reconloom.operators.components import connected_components
 from reconloom.sources.durable import durable, scratch
 
@@ -95,19 +95,11 @@ def _similar_classes(docs: DataFrame, percent: int, width: int, doc_id: str, tex
 
     def survey(batches):
         counts = np.zeros(COUNTERS, dtype=np.uint32)
-        held: list[np.ndarray] = []
-        size = 0
         for batch, texts in text_slices(batches):
             sets = [shingle_set(t, width) for t in texts]
-            names = [digest(s) if len(s) else (None, None) for s in sets]
-            held += sets
-            size += sum(map(len, sets))
-            if size >= 1 << 21:
-                counts += np.bincount((np.concatenate(held) >> np.uint64(42)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                held, size = [], 0
-            yield _survey_rows(batch.column(0), sets, names)
-        if size:
-            counts += np.bincount((np.concatenate(held) >> np.uint64(42)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            for s in sets:
+                np.add.at(counts, (s >> np.uint64(42)).astype(np.int64), np.uint32(1))
+            yield _survey_rows(batch.column(0), sets, [digest(s) if len(s) else (None, None) for s in sets])
         parts = counts.reshape(_PARTS, -1)
         some = [p for p in range(_PARTS) if parts[p].any()]
         none = [None] * len(some)
@@ -145,7 +137,7 @@ def _similar_classes(docs: DataFrame, percent: int, width: int, doc_id: str, tex
         yield from flooded.messages()
 
     sent = rows.where("doc_id is not null and text is not null").select("text").mapInArrow(send, MESSAGE)
-    hits = durable(sent.groupBy("bucket").applyInArrow(_repeated(buckets), "token long, d1 long, reach int, owners int"), "jac-hits")
+    hits = durable(by_bucket(sent, 2 * buckets).applyInArrow(_repeated(buckets), "token long, d1 long, reach int, owners int"), "jac-hits")
     # near copies agree on the token of their prefixes that most classes have: that is their group
     leading = durable(hits.groupBy("d1").agg(F.max_by("token", F.struct("owners", "token")).alias("lead")), "jac-lead")
     crowd = leading.groupBy("lead").agg(F.count("*").alias("_of"))

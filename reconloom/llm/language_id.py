@@ -15,7 +15,7 @@ from reconloom.llm.common import carry, codepoints, text_slices, with_fields
 UNDETERMINED = "und"
 _SPACE = 32
 #: Characters of a slice.
-_CHARS = 1 << 18
+_BYTES = 1 << 18
 _table: np.ndarray | None = None
 
 
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15,
     def count(batches):
         held: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
-        for batch, texts in text_slices(batches, chars=_CHARS):
+        for batch, texts in text_slices(batches, size=_BYTES):
             langs = batch.column(1).to_pylist()
             for name in set(langs):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == name]
@@ -132,7 +132,7 @@ def usual(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str =
     def measure(batches):
         m = shared.value
         best = m.log_prob.max(axis=0)
-        for _, texts in text_slices(batches, chars=_CHARS):
+        for _, texts in text_slices(batches, size=_BYTES):
             h, owner, lettered = _grams(texts, m.bits)
             grams, mean = _best_mean(best, h, owner, len(texts))
             square = np.bincount(owner, weights=(best * best)[h], minlength=len(texts)) / np.maximum(grams, 1)
@@ -173,7 +173,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", prefix: s
     def apply(batches):
         m = shared.value
         top = m.log_prob.max(axis=0) if against is not None else None
-        for batch, texts in text_slices(batches, text, _CHARS):
+        for batch, texts in text_slices(batches, text, _BYTES):
             n = len(texts)
             sums = np.zeros((n, len(m.languages)))
             h, owner, lettered = _grams([t or "" for t in texts], m.bits)

@@ -54,7 +54,7 @@ def targets(totals: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float
     return leveled.select("source", "source_size", F.round(F.least(F.col("_cap"), F.coalesce(F.max("_level").over(every) * F.col("_w"), F.col("_cap"))), 6).alias("target"))
 
 
-def decide(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: str = "", doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def decide(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: str = "", doc_id: str = "doc_id", source: str = "source", text: str = "text", quality: str | None = None) -> DataFrame:
     """How often the mix takes each document.
 
     Returns ``doc_id, source, mark, rows, size, source_size, target, copies``: one
@@ -66,10 +66,15 @@ def decide(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float =
     weight, with u a hash of the id, so reruns agree. Keys fall into ranges whose
     sums are added up first, so no task sorts a whole source; documents that no
     longer fit are passed over, in three passes. Null texts and sources are
-    valid: size 0, and a source of their own.
+    valid: size 0, and a source of their own. ``quality`` names the column with
+    the quality weight (larger: sooner; null, negative and zero: last); without it
+    the weight is the share of words among words and symbols. An empty table gives
+    an empty one; further columns, whatever their names, are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(F.col(text), F.col(source)).alias("mark"), F.col(text).alias("text"))
-    sized = sizes(rows).groupBy("doc_id", "source", "mark").agg(F.count("*").alias("rows"), F.first("size").alias("size"), F.first("weight").alias("weight"))
+    if quality is not None:
+        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(F.col(text), F.col(source)).alias("mark"), F.greatest(F.coalesce(F.col(quality).cast("double"), F.lit(0.0)), F.lit(1e-12)).alias("given"), F.col(text).alias("text"))
+    sized = sizes(rows).groupBy("doc_id", "source", "mark").agg(F.count("*").alias("rows"), F.first("size").alias("size"), F.max("weight" if quality is None else "given").alias("weight"))
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     key = -F.log(u) / F.col("weight")
     base = durable(sized.withColumn("key", key).withColumn("bucket", F.floor(F.lit(BUCKETS) * (1 - F.exp(-F.col("key")))).cast("int")).withColumn("need", F.col("size") * F.col("rows")).drop("weight"), "mix-sized")
@@ -101,7 +106,8 @@ def _filled(state: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as many times as ``decide`` says, with the columns of ``docs``.
 
-    Takes the options of ``decide``. An empty table gives an empty one.
+    Takes the options of ``decide``. Equal rows are taken alike, each as often as the others; rows with null ids,
+    texts or sources are mixed like others. An empty table gives an empty one; columns keep their names, whatever they are.
     """
     chosen = decide(docs, **options).where("copies > 0")
     d, s, t = options.get("doc_id", "doc_id"), options.get("source", "source"), options.get("text", "text")

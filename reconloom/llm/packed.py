@@ -23,6 +23,8 @@ from reconloom.llm.common import words
 MESSAGE = "bucket int, keys binary, seconds binary, owners binary, runs binary, places binary"
 #: Keys that a task holds before it sends them.
 FLUSH = 1 << 19
+#: Most tasks that the buckets of one exchange are dealt to.
+TASKS = 20_000
 
 
 def word_ids(own: list[bytes]) -> np.ndarray:
@@ -105,6 +107,11 @@ class Sender:
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("keys", "seconds", "owners", "runs", "places")]]))
 
 
+def by_bucket(sent: DataFrame, buckets: int):
+    """Messages grouped by bucket, in as many tasks as there are buckets, so that a task stays as small however many there are."""
+    return sent.repartition(min(TASKS, buckets), "bucket").groupBy("bucket")
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
@@ -115,31 +122,39 @@ def opened(table: pa.Table) -> dict[str, np.ndarray]:
     return {"keys": get("keys", np.uint64), "seconds": get("seconds", np.uint64), "owners": np.repeat(get("owners", np.int64), get("runs", np.uint32)), "places": get("places", np.uint32)}
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = 25) -> Broadcast:
-    """A bitmap of 2**bits places with those of all ids set: a bounded broadcast, whatever the number of ids.
+#: Places of a filter, as powers of two: eight for each id within these bounds, so the broadcast is 32 MB at most.
+FEWEST, MOST = 18, 28
+
+
+def id_filter(ids: DataFrame, column: str) -> Broadcast:
+    """A bitmap with the places of all ids set: a bounded broadcast, whatever the number of ids.
 
-    Ids that are not there may pass (the more, the fuller it is), ids that are
-    there always do; so it only saves shuffling rows that an exact join drops.
+    Ids that are not there may pass (beyond 2**MOST / 8 ids the more, the fuller it
+    is), ids that are there always do; so it only saves shuffling rows that an
+    exact join drops.
     """
+    own = ids.select(F.col(column).cast("long").alias("id")).where("id is not null")
+    bits = min(MOST, max(FEWEST, (8 * own.count()).bit_length()))
     parts = 32
-    width = (1 << bits) // parts
+    width = (1 << bits) // 8 // parts
 
     def mark(batches):
-        held = np.zeros(1 << bits, dtype=bool)
+        held = np.zeros((1 << bits) // 8, dtype=np.uint8)
         for batch in batches:
-            held[_place(batch.column(0), bits)] = True
-        packed = np.packbits(held).reshape(parts, -1)
-        some = [p for p in range(parts) if packed[p].any()]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "marks": [packed[p].tobytes() for p in some]}, schema=pa.schema([("part", pa.int32()), ("marks", pa.binary())]))
+            place = _place(batch.column(0), bits)
+            np.bitwise_or.at(held, place >> 3, np.uint8(128) >> (place & 7).astype(np.uint8))
+        cut = held.reshape(parts, -1)
+        some = [p for p in range(parts) if cut[p].any()]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "marks": [cut[p].tobytes() for p in some]}, schema=pa.schema([("part", pa.int32()), ("marks", pa.binary())]))
 
     def join(table: pa.Table) -> pa.Table:
-        total = np.zeros(width // 8, dtype=np.uint8)
+        total = np.zeros(width, dtype=np.uint8)
         for x in table.column("marks").to_pylist():
             total |= np.frombuffer(x, dtype=np.uint8)
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "marks": [total.tobytes()]})
 
-    total = np.zeros((parts, width // 8), dtype=np.uint8)
-    for r in ids.select(F.col(column).cast("long").alias("id")).where("id is not null").mapInArrow(mark, "part int, marks binary").groupBy("part").applyInArrow(join, "part int, marks binary").collect():
+    total = np.zeros((parts, width), dtype=np.uint8)
+    for r in own.mapInArrow(mark, "part int, marks binary").groupBy("part").applyInArrow(join, "part int, marks binary").toLocalIterator():
         total[r["part"]] = np.frombuffer(bytes(r["marks"]), dtype=np.uint8)
     return ids.sparkSession.sparkContext.broadcast(total.reshape(-1))
 
@@ -148,20 +163,20 @@ def _place(column: pa.Array, bits: int) -> np.ndarray:
     return (mixed(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def inside(marks: Broadcast, ids: pa.Array, bits: int = 25) -> np.ndarray:
+def inside(marks: Broadcast, ids: pa.Array) -> np.ndarray:
     """Which ids may be in the filter; null ids are not."""
-    place = _place(pc.fill_null(ids, 0), bits)
+    place = _place(pc.fill_null(ids, 0), (8 * len(marks.value)).bit_length() - 1)
     found = (marks.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
     return found & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def maybe(rows: DataFrame, column: str, marks: Broadcast, bits: int = 25, within: bool = True) -> DataFrame:
+def maybe(rows: DataFrame, column: str, marks: Broadcast, within: bool = True) -> DataFrame:
     """Rows whose id may be in the filter; with ``within`` False the others, those with a null id among them."""
     at = rows.columns.index(column)
 
     def keep(batches):
         for batch in batches:
-            found = inside(marks, batch.column(at), bits)
+            found = inside(marks, batch.column(at))
             yield batch.filter(pa.array(found if within else ~found))
 
     return rows.mapInArrow(keep, rows.schema)

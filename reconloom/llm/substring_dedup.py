@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from reconloom.llm.common import fresh, text_slices, words
-from reconloom.llm.packed import MESSAGE, Sender, digest, id_filter, maybe, mixed, opened, word_ids
+from reconloom.llm.packed import MESSAGE, Sender, by_bucket, digest, id_filter, maybe, mixed, opened, word_ids
 from reconloom.sources.durable import durable, scratch
 
 #: Rounds that place the borders: what joins, and the longest phrase in words that takes part. CONTEXT is the sum of these lengths.
@@ -271,7 +271,7 @@ def marks(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str =
 
     surveyed = durable(rows.mapInArrow(survey, "doc_id long, n_words long, d1 long, d2 long, kept binary"), "sub-survey")
     total = surveyed.agg(F.sum("n_words")).first()[0] or 0
-    buckets = int(max(16, -(-total // 4_000_000)))
+    buckets = int(max(16, -(-total // 2_000_000)))
     first = durable(surveyed.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "sub-first")
 
     def send(batches):
@@ -293,7 +293,7 @@ def marks(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str =
         yield from _revealed(out)
 
     sent = rows.where("doc_id is not null and text is not null").select("text").mapInArrow(send, MESSAGE)
-    found = sent.groupBy("bucket").applyInArrow(_repeated(buckets), "d1 long, places binary")
+    found = by_bucket(sent, 2 * buckets).applyInArrow(_repeated(buckets), "d1 long, places binary")
     hits = durable(found.join(first.select("d1", "rep"), "d1").groupBy("rep").agg(F.collect_list(F.struct("d1", "places")).alias("hits")), "sub-hits")
 
     def open_windows(batches):
@@ -319,7 +319,7 @@ def marks(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str =
 
     texts = maybe(rows, "doc_id", id_filter(hits, "rep")).withColumnRenamed("doc_id", "rep").join(hits.hint("shuffle_hash"), "rep").select("rep", "hits", "text")
     named = durable(texts.mapInArrow(open_windows, MESSAGE + ", later boolean"), "sub-windows")
-    later = named.where("not later").drop("later").groupBy("bucket").applyInArrow(_not_first, "doc_id long, starts binary")
+    later = by_bucket(named.where("not later").drop("later"), buckets).applyInArrow(_not_first, "doc_id long, starts binary")
     certain = named.where("later").select("owners", "runs", "places").mapInArrow(_split, "doc_id long, starts binary")
     starts = durable(later.unionByName(certain).groupBy("doc_id").agg(F.collect_list("starts").alias("starts")), "sub-starts")
     known = first.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "rep")

@@ -554,6 +554,46 @@ def test_pipeline_stages(spark, data, docs):
     assert packed_rows.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
 
 
+def test_pipeline_takes_hard_rows(spark, data, hard, none, docs):
+    import corpus_pipeline
+
+    more = docs.where("doc_id < 60").select(F.col("doc_id") + 5000, *docs.columns[1:], *[F.expr(e) for e in EXTRA.split(", ")]).toDF(*hard.columns)
+    before = hard.unionByName(more).cache()
+    columns = before.columns
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, data).cache()
+        ids = Counter(r["doc_id"] for r in after.collect())
+        if name == "language_id":
+            assert not set(ids) & {2, 3, 6, 7} and len(ids) > 50
+            before, after = after, hard.unionByName(more)  # the rows that went are for the other stages
+            ids = Counter(r["doc_id"] for r in after.collect())
+        elif name == "jaccard_join":
+            assert [ids[k] for k in (1, 9, 4, 5, None, 2, 3)] == [1, 0, 1, 0, 1, 1, 1]
+        elif name == "substring_dedup":
+            assert ids == Counter(r["doc_id"] for r in before.collect())
+        elif name == "packing":
+            assert sum(r["length"] for r in after.collect()) > 0 and set(ids) == {r["doc_id"] for r in before.collect()}
+        assert name == "packing" or after.columns == columns
+        before = after
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, data).count() == 0
+
+
+def test_mixing_by_a_quality_column(spark):
+    rows = [(k, " ".join(["word"] * 10), "a", float(k % 2)) for k in range(400)] + [(1000 + k, " ".join(["word"] * 100), "b", None) for k in range(10)]
+    got = mixing.decide(spark.createDataFrame(rows, "doc_id long, text string, source string, good double"), weights=(1, 2), quality="good").where("source = 'a'").collect()
+    most = max(r["copies"] for r in got)
+    sooner = [r["doc_id"] % 2 for r in got if r["copies"] == most]
+    assert 0 < len(sooner) < 400 and np.mean(sooner) > 0.9
+
+
+def test_language_counts_are_those_of_naive_bayes(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("der hund und die katze", "de"), ("the dog and the cat", "en"), ("le chien et le chat", "fr")] * 5)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(spark.createDataFrame([(1, "hund und katze"), (2, "the cat and dog"), (3, "chien et chat")], "doc_id long, text string"), model).collect()}
+    assert [got[k][0] for k in (1, 2, 3)] == ["de", "en", "fr"] and all(s > 0.5 for _, s in got.values())
+
+
 def test_language_stage_rejects_foreign_texts_and_noise(spark, data, docs):
     import corpus_pipeline
 
