@@ -33,10 +33,10 @@ def leaf_paths(nodes: DataFrame, max_doublings: int = 40) -> DataFrame:
     rounds. A cycle has no leaf and gives no path; a leaf below a cycle is an error.
     """
     ids = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
-    jump = durable(nodes.select("tree", "node", F.col("parent").alias("above")).join(ids, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("above") == F.col("_n"))).select("tree", "node", "above"), "chat-jump")
+    jump = durable(nodes.select("tree", "node", F.col("parent").alias("above")).join(ids, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("above") == F.col("_n"))).select("tree", "node", "above").distinct(), "chat-jump")
     used = jump.select(F.col("tree").alias("_t"), F.col("above").alias("_n")).distinct()
     # what is reached so far, in one table for each round, so that no round writes the others again
-    reach = durable(nodes.join(used, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "chat-reach")
+    reach = durable(nodes.join(used, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")).distinct(), "chat-reach")
     for k in range(max_doublings):
         if jump.isEmpty():
             release(jump)
@@ -52,31 +52,35 @@ def leaf_paths(nodes: DataFrame, max_doublings: int = 40) -> DataFrame:
     raise ValueError("a reply tree has a cycle above a leaf")
 
 
-def format_trees(nodes: DataFrame, top: int | None = None, learn: str = "assistant") -> DataFrame:
+def format_trees(nodes: DataFrame, top: int | None = None, learn: str = "assistant", few_branches: bool = False) -> DataFrame:
     """Format the best ``top`` branches of each tree (all if None) as conversations.
 
     ``nodes``: ``tree, node, parent, role, text`` and optionally ``score``; ``node``
-    is unique in its tree (a repeated one gives its descendants a path for each
-    of its rows); a null ``tree`` is a tree like others, a null ``node`` is a leaf
-    without parent links. Further columns, whatever their names, are not read. A
+    is unique in its tree. Rows that repeat a node and its parent follow one another
+    by text; if the parents differ, each way up is followed. A null ``tree`` is a
+    tree like others, a null ``node`` a leaf without parent links. Further columns,
+    whatever their names, are not read. A
     null role or text counts as empty. Branches rank by
     the sum of their scores (null: 0), ties by the smaller leaf. Returns ``tree,
     leaf, rank, n_messages, formatted, loss_spans``: the spans (start from 0,
     length, in code points) of the escaped texts of role ``learn``. An empty
-    table gives an empty one.
+    table gives an empty one. With ``few_branches`` all branches of a tree are put
+    together in one task, so that texts are shuffled once and not twice: for threads
+    and other trees whose branches together are of the size of a row or two.
     """
     if "score" not in nodes.columns:
         nodes = nodes.withColumn("score", F.lit(0.0))
     base = durable(nodes.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "chat-nodes")
     paths = leaf_paths(base)
     known = base.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "score", "role", "text")
+    same = F.col("tree").eqNullSafe(F.col("_t")) & F.col("node").eqNullSafe(F.col("_n"))
     if top is not None:
-        scored = paths.join(known.select("_t", "_n", "score"), F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n"))).groupBy("tree", "leaf").agg(F.sum("score").alias("branch"))
+        scored = paths.join(known.select("_t", "_n", "score"), same).groupBy("tree", "leaf").agg(F.sum("score").alias("branch"))
         best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch"), "leaf"))).where(F.col("rank") <= top)
-        paths = paths.join(best.select(F.col("tree").alias("_bt"), F.col("leaf").alias("_bl")), F.col("tree").eqNullSafe(F.col("_bt")) & (F.col("leaf") == F.col("_bl")), "left_semi")
-    full = paths.join(known, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")))
+        paths = paths.join(best.select(F.col("tree").alias("_bt"), F.col("leaf").alias("_bl")), F.col("tree").eqNullSafe(F.col("_bt")) & F.col("leaf").eqNullSafe(F.col("_bl")), "left_semi")
+    full = _beside(paths, base) if few_branches else paths.join(known, same)
     opened = full.withColumn("_head", F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP))).withColumn("_body", escape(F.col("text"))).withColumn("_part", F.concat("_head", "_body", F.lit(END)))
-    along = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("tree", "leaf").orderBy(F.desc("up"), "_part").rowsBetween(Window.unboundedPreceding, -1)
     placed = opened.withColumn("_at", F.coalesce(F.sum(F.length("_part")).over(along), F.lit(0)) + F.length("_head"))
     message = F.struct((-F.col("up")).alias("order"), F.col("_part").alias("part"), F.col("_at").cast("int").alias("start"), F.length("_body").alias("length"), (F.col("role") == learn).alias("learn"))
     grouped = placed.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(message)).alias("m"), F.sum("score").alias("branch"))
@@ -87,6 +91,17 @@ def format_trees(nodes: DataFrame, top: int | None = None, learn: str = "assista
     )
 
 
+def _beside(paths: DataFrame, base: DataFrame) -> DataFrame:
+    """The messages of all paths, with both tables dealt by tree: what follows by tree, leaf or node needs no exchange."""
+    way = F.struct("leaf", "up")
+    places = paths.select("tree", "node", way.alias("_way"))
+    messages = base.select("tree", "node", F.struct("role", "text", "score").alias("_said"))
+    ways = F.collect_list("_way").over(Window.partitionBy("tree", "node"))
+    both = places.unionByName(messages, allowMissingColumns=True).repartition("tree").withColumn("_ways", ways)
+    each = both.where("_said is not null").select("tree", "node", "_said.*", F.explode("_ways").alias("_way"))
+    return each.select("tree", "node", "_way.leaf", "_way.up", "role", "text", "score")
+
+
 def read_back(formatted: Column) -> Column:
     """The messages (role, text) that a formatted conversation holds."""
     parts = F.split(formatted, "\\Q" + END + "\\E")

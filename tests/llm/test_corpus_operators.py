@@ -432,6 +432,19 @@ def test_trees_paths_and_round_trip(spark):
     }
     assert {(r["tree"], r["leaf"]) for r in chat_format.format_trees(nodes, top=1).collect()} == {(1, 5), (2, 1), (None, 1)}
     assert chat_format.format_trees(spark.createDataFrame([], nodes.schema)).count() == 0
+    wide = lambda df: sorted(repr(r) for r in df.collect())
+    assert wide(chat_format.format_trees(nodes, few_branches=True)) == wide(chat_format.format_trees(nodes))
+    assert wide(chat_format.format_trees(nodes, top=1, few_branches=True)) == wide(chat_format.format_trees(nodes, top=1))
+    assert chat_format.format_trees(spark.createDataFrame([], nodes.schema), few_branches=True).count() == 0
+
+
+@pytest.mark.parametrize("few_branches", [False, True])
+def test_repeated_and_null_nodes(spark, few_branches):
+    rows = [(1, 1, None, "user", "b"), (1, 1, None, "user", "a"), (1, 2, 1, "assistant", "end"), (1, 2, 1, "assistant", "end"), (2, None, None, "user", "loose"), (2, 1, None, "user", "bound")]
+    nodes = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string")
+    out = chat_format.format_trees(nodes, few_branches=few_branches).withColumn("m", chat_format.read_back(F.col("formatted"))).withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()
+    got = {(r["tree"], r["leaf"]): ([x["text"] for x in r["m"]], r["loss"]) for r in out}
+    assert len(out) == 3 and got == {(1, 2): (["a", "b", "end", "end"], "endend"), (2, None): (["loose"], ""), (2, 1): (["bound"], "")}
 
 
 def test_long_chain(spark):
