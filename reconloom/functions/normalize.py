@@ -231,8 +231,11 @@ def data_uri(c: Column) -> Column:
     return F.when(F.lower(t).rlike("^(data:image/|https?://)"), t).when(mime.isNotNull(), F.concat(F.lit("data:"), mime, F.lit(";base64,"), payload))
 
 
-def backoff(attempt: Column, base: float = 0.75, cap: float = 20.0) -> Column:
-    return F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), attempt))
+def backoff(attempt: Column, base: float = 0.75, cap: float = 20.0, jitter: Column | None = None, retry_after: Column | None = None) -> Column:
+    """Seconds to wait: doubling up to ``cap``, plus the share ``jitter`` (0 to 1, the caller's random number) of a quarter of it, at least ``retry_after``."""
+    wait = F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), attempt))
+    wait = wait if jitter is None else wait + jitter * F.greatest(F.lit(0.05), wait * 0.25)
+    return wait if retry_after is None else F.greatest(F.coalesce(retry_after, F.lit(0.0)), wait)
 
 
 def effective_rate(*rates: Column) -> Column:

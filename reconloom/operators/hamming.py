@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconloom.functions.normalize import hamming
@@ -12,7 +12,7 @@ BANDED, WIDEST = 7, 11
 
 
 def within_radius(left: DataFrame, right: DataFrame, radius: int, id: str = "id", bits: str = "bits") -> DataFrame:
-    """``left_id, right_id, distance`` for all pairs at most ``radius`` apart, in order of distance and id if sorted by
+    """``left_id, right_id, distance`` for all pairs at most ``radius`` apart, numbered by distance and id by
     ``in_order``; null hashes pair with nothing.
 
     Radius + 1 disjoint bands: two hashes that differ in ``radius`` bits agree on
@@ -40,5 +40,6 @@ def within_radius(left: DataFrame, right: DataFrame, radius: int, id: str = "id"
 
 
 def in_order(pairs: DataFrame) -> DataFrame:
-    """Nearest first, equal distances by id as text."""
-    return pairs.orderBy("left_id", "distance", F.col("right_id").cast("string"))
+    """``pairs`` with ``place``: for each left id the nearest is first, equal distances go by id as text."""
+    nearest = Window.partitionBy("left_id").orderBy("distance", F.col("right_id").cast("string"))
+    return pairs.withColumn("place", F.row_number().over(nearest).cast("long"))

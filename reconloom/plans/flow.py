@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reconloom.functions.normalize import band, key_ci
+
 STATUSES = ("Imported", "NoMatch", "Review", "Unresolved")
 
 
@@ -16,6 +18,16 @@ def status_gate(tags: Column) -> Column:
     return out
 
 
+def status_names(tags: Column) -> Column:
+    """The markers among an array of tag names, lower case."""
+    return F.filter(F.transform(tags, key_ci), lambda t: t.isin(*[s.lower() for s in STATUSES]))
+
+
+def other_tags(tags: Column) -> Column:
+    """The tag names that are no markers, as they are."""
+    return F.filter(tags, lambda t: ~F.coalesce(key_ci(t).isin(*[s.lower() for s in STATUSES]), F.lit(False)))
+
+
 def targets(rows: DataFrame, mode: str) -> DataFrame:
     """Rows of a run by mode: ``no_match``, ``review``, ``deep`` (unresolved) or ``fast`` (all)."""
     want = {"no_match": "NoMatch", "review": "Review", "deep": "Unresolved"}.get(mode)
@@ -92,8 +104,6 @@ def decision(exact: DataFrame, nearest: DataFrame, visual: DataFrame, outcomes:
     """``id, route, status``: exact match, unique near hash, visual candidate by band, else what the lookups allow."""
     best = visual.groupBy("id").agg(F.max("score").alias("score"))
     joined = ids.select("id").distinct().join(exact.select("id").distinct().withColumn("_e", F.lit(True)), "id", "left").join(nearest.select("id").distinct().withColumn("_n", F.lit(True)), "id", "left").join(best, "id", "left").join(authoritative(outcomes, "id").select("id", "no_match"), "id", "left")
-    from reconloom.functions.normalize import band
-
     grade = band(F.col("score"))
     route = F.when(F.col("_e"), "exact").when(F.col("_n"), "near_hash").when(grade == "HIGH", "visual").when(grade == "REVIEW", "visual_review").otherwise("none")
     outcome = F.when(route.isin("exact", "near_hash", "visual"), "match").when(route == "visual_review", "candidate").when(F.coalesce("no_match", F.lit(False)), "miss").otherwise("unknown")

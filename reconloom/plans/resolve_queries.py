@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reconloom.functions import normalize as N
-from reconloom.operators import fuzzy, resolve
+from reconloom.operators import fuzzy, resolve, roles
 from reconloom.plans import expected as E
+from reconloom.plans import flow
 from reconloom.plans.binding import Surrogate, q_compact, q_plain, query
 from reconloom.plans.match_queries import _TAG, _plain, _typos
 
@@ -82,3 +83,21 @@ _CAUSES = Surrogate("events", id="event_id", kind="CASE event_id % 5 WHEN 0 THEN
 query("retryable_cause", f"SELECT id, CASE kind WHEN 'open' THEN true WHEN 'network' THEN true WHEN 'http' THEN code = 503 WHEN 'other' THEN code = 503 ELSE false END AS retry FROM {_CAUSES.sql}")(
     lambda t: _CAUSES.df(t).select("id", N.retryable(F.array(F.struct(F.col("kind"), F.col("code")), F.struct(F.when(F.col("kind") == "other", "http").otherwise("other").alias("kind"), F.col("code")))).alias("retry"))
 )
+_ROLES = Surrogate("documents", id="doc_id", lang="coalesce(lang, 'xx')", source="coalesce(source, 'none')", flat="doc_id % 2 = 0")
+query("role_rules", f"""SELECT id, source AS studio, 'Z ' || lang AS performers, CASE WHEN flat THEN lang || ',' || lang || ' x' ELSE lang || ',' || source || ',' || lang || '_x,conditional_dnp,z_' || lang || ',' || lang || ' x' END AS tags,
+  CASE WHEN flat THEN lang || ',' || source || ',' || lang || '_x' ELSE lang || ',' || source || ',' || lang || '_x,conditional_dnp' END || ',z_' || lang || ',' || lang || ' x,Z ' || lang AS tags_only FROM {_ROLES.sql}""")(lambda t: _roles(_ROLES.df(t)))
+
+
+def _roles(df):
+    names = F.array("lang", "source", F.concat("lang", F.lit("_x")), F.lit("conditional_dnp"), F.concat(F.lit("z_"), "lang"))
+    posts = df.select("id", "flat", names.alias("n"), F.array(F.lit("Conditional_DNP"), F.col("source"), F.concat("lang", F.lit(" x"))).alias("a"), F.array(F.concat(F.lit("Z "), "lang")).alias("c"))
+    made = posts.select("id", roles.mapped(F.col("n"), F.col("a"), F.col("c"), F.col("flat")).alias("r"), roles.mapped(F.col("n"), F.col("a"), F.col("c"), F.col("flat"), "tags", "tags").alias("t"))
+    return made.select("id", "r.studio", F.array_join("r.performers", ",").alias("performers"), F.array_join("r.tags", ",").alias("tags"), F.array_join("t.tags", ",").alias("tags_only"))
+
+
+query("other_tags", "SELECT doc_id, coalesce(lang, 'review ') || ',x' AS tags, CASE WHEN doc_id % 2 = 0 THEN 'imported' ELSE 'nomatch' END AS status FROM documents")(
+    lambda t: t.documents.select("doc_id", F.array(F.coalesce("lang", F.lit("review ")), F.when(F.col("doc_id") % 2 == 0, "IMPORTED").otherwise("NoMatch"), F.lit("x")).alias("tags")).select("doc_id", F.array_join(flow.other_tags(F.col("tags")), ",").alias("tags"), F.array_join(flow.status_names(F.col("tags")), ",").alias("status"))
+)
+query("backoff_jitter", "SELECT event_id, greatest(event_id % 30, least(20.0, 0.75 * pow(2.0, event_id % 8)) + event_id % 5 / 4.0 * greatest(0.05, least(20.0, 0.75 * pow(2.0, event_id % 8)) * 0.25)) AS wait FROM events")(
+    lambda t: t.events.select("event_id", N.backoff(F.col("event_id") % 8, jitter=F.col("event_id") % 5 / 4.0, retry_after=(F.col("event_id") % 30).cast("double")).alias("wait"))
+)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,11 +82,79 @@ def analyze_export(old: DataFrame, current: DataFrame) -> tuple[DataFrame, DataF
 def restore_export(matches: DataFrame, old: DataFrame, current: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Change-set of the current records that an old one matches; the first old record of a target counts. A gate that aborts gives none."""
     gate = flow.preflight(matches).first()
+    changes = _changes(matches, old, current, kinds)
+    return changes.limit(0) if gate["abort"] else changes
+
+
+def _changes(matches: DataFrame, old: DataFrame, current: DataFrame, kinds: dict[str, str]) -> DataFrame:
     won = matches.where("current_id is not null").groupBy("current_id").agg(F.min("old_id").alias("old_id"))
     source = won.join(old.withColumnRenamed("id", "old_id"), "old_id").select(F.col("current_id").alias("id"), *kinds)
     after = merge.fill(current.select("id", *kinds), source, "id", kinds)
-    changes = merge.changeset(current, after, "id", list(kinds))
-    return changes.limit(0) if gate["abort"] else changes
+    return merge.changeset(current, after, "id", list(kinds))
+
+
+@dataclass(frozen=True)
+class Side:
+    """An export, or the library: tables by medium (``scenes``, ``images``) and by kind of entity.
+
+    ``files``: ``id, path, size, fp_type, fp_value``; ``media``: ``id`` and fields; ``entities`` of ``tags``,
+    ``performers``, ``studios`` and ``groups`` as their resolvers read them, an export needs names only; ``external``:
+    ``name`` or ``id``, ``endpoint, external_id`` of tags; ``parents``: ``child, parent`` of tags, names in an export."""
+
+    files: dict[str, DataFrame]
+    media: dict[str, DataFrame]
+    entities: dict[str, DataFrame]
+    external: DataFrame
+    parents: DataFrame
+
+
+def backup(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Each table written below ``folder`` and counted again; any failure is an error, so nothing is changed after it."""
+    paths = {}
+    for name, df in tables.items():
+        paths[name] = f"{folder.rstrip('/')}/{name}"
+        df.write.mode("errorifexists").parquet(paths[name])
+        if df.sparkSession.read.schema(df.schema).parquet(paths[name]).count() != df.count():
+            raise RuntimeError(f"the backup of {name} is not complete")
+    return paths
+
+
+def restore_run(old: Side, current: Side, fields: dict[str, dict[str, str]], backup_to: str | None = None) -> dict[str, DataFrame]:
+    """A whole restore as change-sets: media are matched and the gate asked, the library is saved, then entities are resolved
+    in the order tags, performers, studios, tag parents, groups, and last the fields of scenes and images.
+
+    Without ``backup_to`` it is an analysis: nothing is saved and a gate that aborts is only reported. Returns
+    ``matches_<medium>``, ``gate``, the decisions of each kind of entity (``name, decision, id``), ``parents`` to add
+    (``child, parent``, where both tags are there), ``changes_<medium>`` and ``stats`` (``medium, kind, records``;
+    old records of a target that an earlier one has are ``collision``)."""
+    from reconloom.operators import resolve
+    from reconloom.sources.durable import durable
+
+    found = {m: durable(media.match_cascade(old.files[m], current.files[m]), "restore-matches") for m in fields}
+    every = None
+    for m, df in found.items():
+        first = df.where("current_id is not null").groupBy("current_id").agg(F.min("old_id").alias("_first"))
+        part = df.join(first, "current_id", "left").select(F.lit(m).alias("medium"), F.when(F.col("old_id") != F.col("_first"), "collision").otherwise(F.col("kind")).alias("kind"))
+        every = part if every is None else every.unionByName(part)
+    all_matches = [df.select("kind") for df in found.values()]
+    gate = flow.preflight(reduce(DataFrame.unionByName, all_matches))
+    if backup_to is not None:
+        if gate.first()["abort"]:
+            raise RuntimeError("too few old records match; nothing was changed")
+        backup({**{f"media_{m}": current.media[m] for m in fields}, **current.entities, "parents": current.parents}, backup_to)
+    out = {"gate": gate, "stats": every.groupBy("medium", "kind").agg(F.count("*").alias("records"))}
+    out["tags"] = resolve.resolve_tags(old.entities["tags"], current.entities["tags"], old.external, current.external)
+    out["performers"] = resolve.resolve_performers(old.entities["performers"], current.entities["performers"])
+    out["studios"] = fuzzy.resolve_or_create(old.entities["studios"], current.entities["studios"], fuzzy.MIGRATE_STUDIO).select("name", F.col("action").alias("decision"), F.when(F.col("action") != "create", F.col("id")).alias("id"))
+    there = out["tags"].where("id is not null")
+    named = lambda side: there.select(F.col("name").alias(side), F.col("id").alias(f"_{side}"))
+    wanted = old.parents.join(named("child"), "child").join(named("parent"), "parent").select(F.col("_child").alias("child"), F.col("_parent").alias("parent"))
+    out["parents"] = merge.missing_edges(current.parents, wanted)
+    out["groups"] = resolve.resolve_groups(old.entities["groups"], current.entities["groups"])
+    for m, kinds in fields.items():
+        out[f"matches_{m}"] = found[m]
+        out[f"changes_{m}"] = _changes(found[m], old.media[m], current.media[m], kinds)
+    return out
 
 
 decide_review = flow.decide_review

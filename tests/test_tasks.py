@@ -42,3 +42,31 @@ def test_too_deep_hierarchies_are_an_error(spark):
     assert {tuple(r) for r in tasks.parents_first(chain, most=4).collect()} == {(k, k - 1) for k in range(1, 6)}
     with pytest.raises(RuntimeError):
         tasks.parents_first(chain, most=3)
+
+
+def _side(spark, files, rows, names, external, parents):
+    who = "id string, ordinal long, name string, aliases array<string>"
+    entities = {k: spark.createDataFrame([(f"{k}{n}", n, x, [], "") for n, x in enumerate(v)], who + ", disambiguation string") for k, v in names.items()}
+    entities["groups"] = entities["groups"].withColumn("aliases", F.lit(""))
+    return tasks.Side(
+        {m: spark.createDataFrame([(i, f"/{i}", 5, "md5", v) for i, v in f], "id string, path string, size long, fp_type string, fp_value string") for m, f in files.items()},
+        {m: spark.createDataFrame(r, "id string, title string") for m, r in rows.items()}, entities, external, spark.createDataFrame(parents, "child string, parent string"),
+    )
+
+
+def test_whole_restore(spark, tmp_path):
+    names = {"tags": ["long hair", "blue sky"], "performers": ["Ann Example"], "studios": ["Big House"], "groups": ["First Run"]}
+    ids = spark.createDataFrame([], "name string, endpoint string, external_id string")
+    old = _side(spark, {"scenes": [("a", "1"), ("b", "1"), ("c", "2"), ("d", "9")], "images": [("e", "7")]}, {"scenes": [("a", "from a"), ("b", "from b"), ("c", "from c")], "images": [("e", "from e")]}, names, ids, [("blue sky", "long hair"), ("nowhere", "long hair")])
+    names = {"tags": ["long_hair", "Blue Sky", "unrelated thing"], "performers": ["ann example"], "studios": ["wholly different"], "groups": ["first-run"]}
+    now = _side(spark, {"scenes": [("x", "1"), ("y", "2")], "images": [("z", "7")]}, {"scenes": [("x", ""), ("y", "kept")], "images": [("z", None)]}, names, ids.withColumnRenamed("name", "id"), [])
+    fields = {"scenes": {"title": "string"}, "images": {"title": "string"}}
+    out = tasks.restore_run(old, now, fields, f"file://{tmp_path}/saved")
+    rows = lambda k, *c: {tuple(r) for r in out[k].select(*c).collect()}
+    assert rows("changes_scenes", "id", "field", "new") == {("x", "title", "from a")} and rows("changes_images", "id", "new") == {("z", "from e")}
+    assert rows("stats", "medium", "kind", "records") == {("scenes", "fingerprint", 2), ("scenes", "collision", 1), ("scenes", "unmatched", 1), ("images", "fingerprint", 1)}
+    assert rows("tags", "name", "id") == {("long hair", "tags0"), ("blue sky", "tags1")} and rows("parents", "child", "parent") == {("tags1", "tags0")}
+    assert rows("performers", "id") == {("performers0",)} and rows("groups", "id") == {("groups0",)} and rows("studios", "decision", "id") == {("create", None)}
+    assert spark.read.parquet(f"file://{tmp_path}/saved/media_scenes").count() == 2
+    with pytest.raises(Exception, match="already exists"):  # a backup that fails stops the run
+        tasks.restore_run(old, now, fields, f"file://{tmp_path}/saved")
