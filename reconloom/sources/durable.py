@@ -11,12 +11,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from reconloom.sources.shipping import ship
 
-_scopes: list[Scratch] = []
+#: The open blocks of this thread or task of asyncio, the innermost last: others' tables are not theirs to delete.
+_scopes: ContextVar[tuple[Scratch, ...]] = ContextVar("scratch blocks", default=())
 
 
 class Scratch:
@@ -29,8 +31,8 @@ class Scratch:
         """Write ``df`` now, as the table that outlives the block."""
         out = durable(df, label)
         self.made = [x for x in self.made if x is not out]
-        if len(_scopes) > 1:
-            _scopes[-2].made.append(out)
+        if len(_scopes.get()) > 1:
+            _scopes.get()[-2].made.append(out)
         return out
 
 
@@ -40,11 +42,11 @@ def scratch() -> Iterator[Scratch]:
 
     Blocks nest: what an inner one keeps is deleted with the outer one."""
     scope = Scratch()
-    _scopes.append(scope)
+    token = _scopes.set((*_scopes.get(), scope))
     try:
         yield scope
     finally:
-        _scopes.remove(scope)
+        _scopes.reset(token)
         release(*scope.made)
 
 
@@ -68,18 +70,32 @@ def durable(df: DataFrame, label: str = "table") -> DataFrame:
     files.deleteOnExit(target)  # what nobody releases goes with the application
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
-    if _scopes:
-        _scopes[-1].made.append(out)
+    if _scopes.get():
+        _scopes.get()[-1].made.append(out)
     return out
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, for files of other kinds; it goes with the application unless ``remove`` deletes it."""
+    ship(spark)
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    target, files = _location(spark, path)
+    files.deleteOnExit(target)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all below it."""
+    target, files = _location(spark, path)
+    files.delete(target, True)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables made by ``durable`` that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_durable_path", None)
         if path:
-            target, files = _location(df.sparkSession, path)
-            files.delete(target, True)
+            remove(df.sparkSession, path)
 
 
 def _location(spark: SparkSession, path: str):
