@@ -56,4 +56,47 @@ OP10 = f"""WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORD}'
  k AS (SELECT e.doc_id, count(*) FILTER (WHERE g.p IS NOT NULL) AS gone, string_agg(e.word, ' ' ORDER BY e.p) FILTER (WHERE g.p IS NULL) AS kept FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY 1)
  SELECT w.doc_id, len(w.w) AS n_words, coalesce(k.gone, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id"""
 
-ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1, "op2_mixing": OP2, "op7_jaccard_join": OP7, "op9_chat_format": OP9, "op10_substring_dedup": OP10}
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"
+OP11 = rf"""WITH RECURSIVE b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS h FROM conversations),
+ d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM b, range(2) r(k) WHERE h <> 0 AND (k = 0 OR h = 3)),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+ f AS (SELECT *, left(role, 1) AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS c_before FROM o),
+ s AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+  count(*) FILTER (WHERE c_before IS NOT NULL AND c_before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+ v AS (SELECT conv_id, n + 1 AS i, [0, 10, 5, 0] AS a FROM s
+  UNION ALL SELECT conv_id, i, [least(p[1], 5 + p[3], 10 + p[4]), least(p[2], 5 + p[3], 10 + p[4]), least(p[3], 5 + p[4]), least(p[4], 5 + p[3])] FROM (
+   SELECT f.conv_id, f.i, [least(2 + a[1], free + 1 + a[3], free + CASE c WHEN 's' THEN a[2] WHEN 'u' THEN a[3] ELSE 1000000000 END), least(2 + a[2], free + 1 + a[3], free + CASE c WHEN 'u' THEN a[3] ELSE 1000000000 END),
+    least(2 + a[3], free + 1 + a[4], free + CASE c WHEN 'a' THEN a[4] ELSE 1000000000 END), least(2 + a[4], free + 1 + a[3], free + CASE c WHEN 'u' THEN a[3] ELSE 1000000000 END)] AS p
+   FROM v JOIN (SELECT *, CASE fault WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE 1000000000 END AS free FROM f) f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i - 1) z),
+ q AS (SELECT v.conv_id, v.i, v.a AS now, w.a AS after, f.c, f.role, f.text, CASE f.fault WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE 1000000000 END AS free FROM v LEFT JOIN v w ON v.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = v.i + 1 LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i),
+ w AS (SELECT conv_id, CAST(1 AS BIGINT) AS i, 0 AS st, '' AS audit, CAST([] AS VARCHAR[]) AS kept FROM s
+  UNION ALL SELECT conv_id, i + CASE WHEN letter = 'I' THEN 0 ELSE 1 END, CASE letter WHEN 'D' THEN st WHEN 'K' THEN k ELSE nx END, audit || letter,
+   CASE letter WHEN 'D' THEN kept WHEN 'K' THEN list_append(kept, role || ':' || text) ELSE list_append(kept, (CASE nx WHEN 2 THEN 'user:' ELSE 'assistant:' END) || CASE letter WHEN 'I' THEN '' ELSE text END) END
+  FROM (SELECT *, CASE WHEN after[st + 1] + 2 = now[st + 1] THEN 'D' WHEN now[nx + 1] + 5 = now[st + 1] THEN 'I' WHEN after[k + 1] + free = now[st + 1] THEN 'K' WHEN after IS NOT NULL THEN 'R' END AS letter FROM (
+   SELECT w.*, q.now, q.after, q.c, q.role, q.text, q.free, [2, 2, 3, 2][w.st + 1] AS nx, CASE WHEN w.st = 0 AND q.c = 's' THEN 1 WHEN w.st <> 2 AND q.c = 'u' THEN 2 WHEN w.st = 2 AND q.c = 'a' THEN 3 END AS k
+   FROM w JOIN q ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND q.i = w.i) y) x WHERE letter IS NOT NULL),
+ e AS (SELECT w.conv_id, w.audit, w.kept FROM w JOIN s ON w.conv_id IS NOT DISTINCT FROM s.conv_id WHERE w.i = s.n + 1 AND w.st IN (0, 3))
+ SELECT k.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal,
+  CAST(coalesce(v.a[1], 0) AS BIGINT) AS cost, coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.kept, chr(10)), '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM k.conv_id AND v.i = 1 LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM k.conv_id"""
+
+OP12 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+ k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to FROM k"""
+
+OP13 = rf"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.replace('text', "coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+ t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+ v AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT k) >= 3),
+ n AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN v ON t.lang = v.lang AND t.term = v.term GROUP BY 1, 2, 3),
+ g AS (SELECT DISTINCT lang, source FROM d), z AS (SELECT lang, count(*) AS v FROM v GROUP BY 1),
+ gs AS (SELECT lang, source, sum(n) AS n FROM n GROUP BY 1, 2), ls AS (SELECT lang, sum(n) AS n FROM n GROUP BY 1), lt AS (SELECT lang, term, sum(n) AS n FROM n GROUP BY 1, 2),
+ p AS (SELECT g.lang, g.source, v.term, coalesce(n.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 1)) // (coalesce(gs.n, 0) + z.v) AS p FROM g JOIN v ON g.lang = v.lang JOIN z ON z.lang = g.lang
+  LEFT JOIN gs ON gs.lang = g.lang AND gs.source = g.source LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = v.term),
+ l AS (SELECT lt.lang, lt.term, 1 + (1000000000::HUGEINT * (lt.n + 1)) // (ls.n + z.v) AS q FROM lt JOIN ls ON lt.lang = ls.lang JOIN z ON z.lang = lt.lang),
+ s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, CAST((p.p - l.q) * (p.p - l.q) // l.q AS BIGINT) FROM p JOIN l ON p.lang = l.lang AND p.term = l.term WHERE p.n > 0 AND p.p > l.q)
+ SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) y WHERE part = 'pair' OR rank <= 200"""
+
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1, "op2_mixing": OP2, "op7_jaccard_join": OP7, "op9_chat_format": OP9, "op10_substring_dedup": OP10, "op11_conversation_repair": OP11, "op12_warc": OP12, "op13_source_audit": OP13}

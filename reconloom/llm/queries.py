@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reconloom.llm import chat_format, embedding_dedup, fingerprints, jaccard_join, language_id, mixing, packing, quality, substring_dedup, token_counts
+from reconloom.llm import chat_format, conversation_repair, embedding_dedup, fingerprints, jaccard_join, language_id, mixing, packing, quality, source_audit, substring_dedup, token_counts, warc
 from reconloom.llm.common import fold
 from reconloom.llm.oracles import ORACLES
+from reconloom.sources.durable import folder, remove
 from reconloom.sources.tables import table
 
 
@@ -68,6 +69,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal(table(spark, sf_dir, "documents"), window=20)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hurt = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(hurt, dropped=F.col("dropped")).withColumnRenamed("conv", "conv_id")
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    streams, archives = folder(spark, "warc-streams"), folder(spark, "warc-archives")
+    warc.write_streams(table(spark, sf_dir, "pages"), streams)
+    warc.normalise(spark, streams, archives)
+    remove(spark, streams)
+    found = warc.index(spark, archives)
+    return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_mixing": op2_mixing,
@@ -79,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_chat_format": op9_chat_format,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_warc": op12_warc,
+    "op13_source_audit": op13_source_audit,
 }
 
 
