@@ -1,35 +1,25 @@
-"""Fuzzy name matching: blocked candidates, an exact ratio, and winner rules.
+"""Fuzzy name matching: candidates, an exact ratio, and winner rules.
 
-Names block on first character and length; the length window becomes an equi
-join by exploding the incoming side. The ratio of two strings is 2 M / (a + b)
-with M at most the number of characters they share, which drops most candidates
-before Python. What cannot reach the threshold can still be a runner-up that
-makes a match ambiguous, so candidates are kept down to threshold - margin.
+Names match others with the same first character and a length within a window;
+they are found by the segments they share (``segments``), each different pair of
+normal forms once, and scored. What cannot reach the threshold can still be a
+runner-up that makes a match ambiguous, so pairs are kept down to threshold - margin.
 """
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from reconloom.functions import normalize as N
 from reconloom.operators.names import spellings, unambiguous_index
+from reconloom.operators.segments import similar
 from reconloom.operators.winner import unique_hits, winner_with_margin
 
 
-@pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks; not symmetric, so the incoming or earlier string stands left."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def _numbered(c: str) -> Column:
     """The characters of a string, each with the number of times it has come up: two strings share as many as these sets do."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")
@@ -39,7 +29,8 @@ def _numbered(c: str) -> Column:
 def candidates(left: DataFrame, right: DataFrame, window: int, threshold: float, min_length: int = 5, margin: float = 0.0) -> DataFrame:
     """All columns of ``left`` and ``right`` (which have ``left_norm`` and ``right_norm``) for pairs that can reach ``threshold - margin``.
 
-    Incoming names shorter than ``min_length`` have no candidates; lengths differ by ``window`` at most."""
+    Incoming names shorter than ``min_length`` have no candidates; lengths differ by ``window`` at most. This lists whole
+    blocks by first character and length, less the pairs that share too few characters; ``scored`` finds what it scores by segments."""
     n, least = F.length("left_norm"), threshold - margin - 1e-9
     a = left.where(n >= min_length).withColumns({"_first": F.substring("left_norm", 1, 1), "_chars": _numbered("left_norm")}).withColumn("_length", F.explode(F.sequence(F.greatest(n - window, F.lit(1)), n + window)))
     b = right.where(F.length("right_norm") >= 1).withColumns({"_first": F.substring("right_norm", 1, 1), "_length": F.length("right_norm"), "_others": _numbered("right_norm")})
@@ -48,6 +39,11 @@ def candidates(left: DataFrame, right: DataFrame, window: int, threshold: float,
     return near.where(2.0 * F.size(F.array_intersect("_chars", "_others")) / both >= least).drop("_first", "_length", "_chars", "_others")
 
 
+def scored(left: DataFrame, right: DataFrame, window: int, threshold: float, min_length: int = 5, margin: float = 0.0) -> DataFrame:
+    """All columns of ``left`` and ``right`` and the ``score`` of their ``left_norm`` and ``right_norm``, from ``threshold - margin`` on."""
+    return left.join(similar(left, right, window, threshold - margin - 1e-9, min_length), "left_norm").join(right, "right_norm")
+
+
 @dataclass(frozen=True)
 class Resolver:
     """The parameters in which the resolvers differ."""
@@ -102,10 +98,13 @@ def resolve(incoming: DataFrame, entities: DataFrame, how: Resolver) -> DataFram
     norm = how.fuzzy_norm or how.norm
     left = rest.select("name", norm(F.col("name")).alias("left_norm"))
     keys = unambiguous_index(entities, how.norm).select(F.col("key").alias("right_norm"), "id") if how.per_key else source.select(norm(F.col("spelling")).alias("right_norm"), "id").distinct()
-    pairs = candidates(left, keys, how.window, how.threshold, how.min_length, how.margin)
-    scored = pairs.withColumn("score", sequence_ratio("left_norm", "right_norm"))
-    won = winner_with_margin(scored, "name", "id", "score", how.threshold, how.margin, "right_norm" if how.per_key else None)
-    close = scored.where(F.col("score") >= how.threshold).select("name").distinct().join(won, "name", "left_anti").select("name", F.lit("ambiguous").alias("decision"), F.lit(None).cast(entities.schema["id"].dataType).alias("id"), F.lit(None).cast("double").alias("score"))
+    if not how.per_key:
+        # of the owners of one form the first and the last do: if there are two, none of them wins by it
+        ends = keys.groupBy("right_norm").agg(F.min("id").alias("_a"), F.max("id").alias("_z"))
+        keys = ends.select("right_norm", F.explode(F.array_distinct(F.array("_a", "_z"))).alias("id"))
+    near = scored(left, keys, how.window, how.threshold, how.min_length, how.margin)
+    won = winner_with_margin(near, "name", "id", "score", how.threshold, how.margin, "right_norm" if how.per_key else None)
+    close = near.where(F.col("score") >= how.threshold).select("name").distinct().join(won, "name", "left_anti").select("name", F.lit("ambiguous").alias("decision"), F.lit(None).cast(entities.schema["id"].dataType).alias("id"), F.lit(None).cast("double").alias("score"))
     if how.veto_subsets:
         named = entities.select("id", F.col("name").alias("_other"))
         won = won.join(named, "id").where(~N.token_subset(N.plain_name(F.col("name")), N.plain_name(F.col("_other"))))
@@ -119,21 +118,22 @@ def review_pairs(entities: DataFrame, norm: Callable[[Column], Column], window:
     keyed = entities.select("id", "ordinal", norm(F.col("name")).alias("n"))
     left = keyed.select(F.col("id").alias("left_id"), F.col("ordinal").alias("_lo"), F.col("n").alias("left_norm"))
     right = keyed.select(F.col("id").alias("right_id"), F.col("ordinal").alias("_ro"), F.col("n").alias("right_norm"))
-    pairs = candidates(left, right, window, threshold).where("_lo < _ro")
+    near = similar(left, right, window, threshold, 5)
+    if veto:
+        near = near.where(~N.token_subset(F.col("left_norm"), F.col("right_norm")))
+    pairs = left.join(near, "left_norm").join(right, "right_norm").where("_lo < _ro")
     if components is not None:
         c = components.select("id", "component")
         pairs = pairs.join(c.select(F.col("id").alias("left_id"), F.col("component").alias("_lc")), "left_id", "left").join(c.select(F.col("id").alias("right_id"), F.col("component").alias("_rc")), "right_id", "left")
         pairs = pairs.where(~F.coalesce(F.col("_lc") == F.col("_rc"), F.lit(False)))
-    if veto:
-        pairs = pairs.where(~N.token_subset(F.col("left_norm"), F.col("right_norm")))
-    return pairs.withColumn("score", sequence_ratio("left_norm", "right_norm")).where(F.col("score") >= threshold).select("left_id", "right_id", "score")
+    return pairs.select("left_id", "right_id", "score")
 
 
 def guarded(incoming: DataFrame, entities: DataFrame, threshold: float = 0.90, window: int = 6, min_length: int = 4) -> DataFrame:
     """``name, blocked``: whether any entity is so similar that none may be created under the name."""
     names = incoming.select("name").distinct()
-    pairs = candidates(names.select("name", _compact_plain(F.col("name")).alias("left_norm")), spellings(entities).select(_compact_plain(F.col("spelling")).alias("right_norm")).distinct(), window, threshold, min_length)
-    near = pairs.where((F.col("left_norm") == F.col("right_norm")) | (sequence_ratio("left_norm", "right_norm") >= threshold)).select("name").distinct().withColumn("blocked", F.lit(True))
+    near = scored(names.select("name", _compact_plain(F.col("name")).alias("left_norm")), spellings(entities).select(_compact_plain(F.col("spelling")).alias("right_norm")).distinct(), window, threshold, min_length)
+    near = near.where(F.col("score") >= threshold).select("name").distinct().withColumn("blocked", F.lit(True))
     return names.join(near, "name", "left").select("name", F.coalesce("blocked", F.lit(False)).alias("blocked"))
 
 

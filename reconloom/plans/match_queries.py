@@ -105,8 +105,7 @@ def _plain(t):
 @query("fuzzy_match", E.fuzzy_match)
 def fuzzy_match(t):
     left, right = _typos(t).select("name", N.plain_name(F.col("name")).alias("left_norm")), _plain(t).select("id", N.plain_name(F.col("name")).alias("right_norm"))
-    scored = fuzzy.candidates(left, right, 3, 0.9, 1, 0.03).withColumn("score", fuzzy.sequence_ratio("left_norm", "right_norm"))
-    return winner.winner_with_margin(scored, "name", "id", "score", 0.9, 0.03)
+    return winner.winner_with_margin(fuzzy.scored(left, right, 3, 0.9, 1, 0.03), "name", "id", "score", 0.9, 0.03)
 
 
 query("fuzzy_review_pairs", E.review_pairs)(lambda t: fuzzy.review_pairs(_plain(t), N.tag_cleanup_name, 2, 0.8))

@@ -139,7 +139,7 @@ def _distinct(c):
 
 @query("sequence_ratio", reversed_ratio)
 def ratio(t):
-    from reconloom.operators.fuzzy import sequence_ratio
+    from reconloom.operators.segments import sequence_ratio
 
     return t.part.select(F.col("p_partkey").alias("id"), F.round(sequence_ratio("p_name", F.reverse("p_name")), 9).alias("ratio"))
 

@@ -121,7 +121,7 @@ def test_blocked_fuzzy_equals_unblocked(spark):
     right = ["silver ring", "golden gears", "tidepool", "red widget", "blue volt"]
     a = spark.createDataFrame([(x,) for x in left], "left_norm string")
     b = spark.createDataFrame([(x,) for x in right], "right_norm string")
-    got = {(r[0], r[1]) for r in fuzzy.candidates(a, b, 3, 0.8).withColumn("s", fuzzy.sequence_ratio("left_norm", "right_norm")).where("s >= 0.8").select("left_norm", "right_norm").collect()}
+    got = {(r[0], r[1]) for r in fuzzy.candidates(a, b, 3, 0.8).withColumn("s", segments.sequence_ratio("left_norm", "right_norm")).where("s >= 0.8").select("left_norm", "right_norm").collect()}
     assert got == {(x, y) for x in left for y in right if x[0] == y[0] and abs(len(x) - len(y)) <= 3 and difflib.SequenceMatcher(None, x, y).ratio() >= 0.8}
 
 
