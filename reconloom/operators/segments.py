@@ -19,10 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from reconloom.sources.durable import durable
-
-#: Most rows of either side that one cell of a join compares; segments that more strings have are dealt to a grid of cells.
-CELL = 4096
+from reconloom.operators.grid import CELL, joined
 
 
 @pandas_udf(DoubleType())
@@ -72,22 +69,10 @@ def pairs(left: DataFrame, right: DataFrame, window: int, least: float, min_leng
     """Different pairs ``left_norm, right_norm`` with one first character, lengths at most ``window`` apart and few enough
     edits (by Levenshtein's count, which is never more) that their ratio may reach ``least``.
 
-    Keys with more than ``cell`` rows on a side are compared in a grid of cells, each with at most about ``cell`` rows of
-    either side, in different tasks; Spark broadcasts the list of such keys only while its own size check allows it.
+    Keys with more than ``cell`` rows on a side are compared in a grid of cells (``grid.joined``).
     """
     a, b = sought(left.select("left_norm").distinct(), window, least, min_length), held(right.select("right_norm").distinct(), window, least)
-    many = lambda df, n: df.groupBy("key").agg(F.count("*").alias(n)).where(F.col(n) > cell)
-    crowded = many(a, "_left").join(many(b, "_right"), "key", "full").select(F.col("key").alias("_key"), *[F.coalesce(F.ceil(F.col(c) / cell), F.lit(1)).cast("int").alias(c) for c in ("_left", "_right")])
-    grid = durable(crowded, "segments-crowded")
-    if grid.isEmpty():
-        met = a.join(b, "key")
-    else:
-        slot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        spread = lambda df: df.join(grid, F.col("key") == F.col("_key"), "left").drop("_key").fillna(1, ["_left", "_right"])
-        x = spread(a).withColumn("_x", slot("left_norm", "_left")).withColumn("_y", every("_right")).drop("_left", "_right")
-        y = spread(b).withColumn("_y", slot("right_norm", "_right")).withColumn("_x", every("_left")).drop("_left", "_right")
-        met = x.join(y, ["key", "_x", "_y"])
+    met = joined(a, b, "key", "left_norm", "right_norm", cell)
     n, m = F.length("left_norm"), F.length("right_norm")
     close = (F.abs(n - m) <= window) & (F.levenshtein("left_norm", "right_norm") <= edits(n + m, least))
     return met.where(close).select("left_norm", "right_norm").distinct()

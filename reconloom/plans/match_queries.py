@@ -161,7 +161,7 @@ for _radius in (3, 5, 9):
 query("hamming_order", lambda: f"SELECT left_id, right_id, distance, row_number() OVER (PARTITION BY left_id ORDER BY distance, CAST(right_id AS VARCHAR)) AS place FROM {_near(5)} z")(lambda t: hamming.in_order(_pairs(t, 5)))
 for _margin in (1, 2):
     query("hamming_unique_nearest" + ("" if _margin == 1 else "_margin"), f"""SELECT left_id, right_id, distance FROM (SELECT *, min(distance) OVER (PARTITION BY left_id) AS b, count(*) OVER (PARTITION BY left_id, distance) AS tied,
- lead(distance) OVER (PARTITION BY left_id ORDER BY distance) AS nxt FROM {_near(3)} z) y WHERE distance = b AND tied = 1 AND (nxt IS NULL OR nxt - b >= {_margin})""")(lambda t, m=_margin: winner.unique_nearest(_pairs(t, 3), "left_id", "right_id", "distance", m))
+ lead(distance) OVER (PARTITION BY left_id ORDER BY distance) AS nxt FROM {_near(3)} z) y WHERE distance = b AND tied = 1 AND (nxt IS NULL OR nxt - b >= {_margin})""")(lambda t, m=_margin: hamming.unique_nearest(_turned(t), _turned(t), 3, m).withColumn("distance", F.col("distance").cast("long")))
 
 # --- ranking
 _VIS = Surrogate("events", id="user_id", ordinal="event_id", score="value", resolves="event_type <> 'error'", cand="event_type")

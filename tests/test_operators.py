@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reconloom.functions import normalize as N
-from reconloom.operators import cleanup, fuzzy, hamming, media, merge, winner
+from reconloom.operators import cleanup, fuzzy, hamming, media, merge, segments, winner
 from reconloom.operators.components import connected_components
 from reconloom.plans import expected, flow
 from reconloom.sources import export
@@ -156,7 +156,7 @@ def test_runner_up_below_the_threshold_counts(spark):
         assert want[name] in (None, "close") or threshold < 0.9
 
 
-def test_wide_radius_is_refused_and_all_bands_find(spark):
+def test_all_bands_find_and_radius_is_checked(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(63) for _ in range(30)]
     rows = [(k, b) for k, b in enumerate(base)]
@@ -166,12 +166,12 @@ def test_wide_radius_is_refused_and_all_bands_find(spark):
             x ^= 1 << p
         rows.append((100 + k, x))
     df = spark.createDataFrame([*rows, (999, None)], "id long, bits long")
-    for radius in (0, 3, 5, 7, 8, 11):
+    for radius in (0, 3, 5, 7, 8, 11, 12, 30, 64):
         got = {(r[0], r[1]): r[2] for r in hamming.within_radius(df, df, radius).collect()}
         assert got == {(i, j): (a ^ b).bit_count() for i, a in rows for j, b in rows if (a ^ b).bit_count() <= radius}
     assert [r["distance"] for r in hamming.in_order(hamming.within_radius(df.where("id = 5"), df, 11)).orderBy("place").collect()][:2] == [0, 5]
     with pytest.raises(ValueError):
-        hamming.within_radius(df, df, 12)
+        hamming.within_radius(df, df, 65)
 
 
 def test_written_folding_rows_are_those_of_unicode():
