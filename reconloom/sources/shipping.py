@@ -9,10 +9,19 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch on its way to and from Python, where the session has Spark's own values: long texts would
+#: otherwise make batches of 64 MB and more, each held by the JVM and by the Python worker.
+BATCHES = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"),
+    "spark.sql.execution.arrow.maxBytesPerOutputBatch": ("-1b", "8m"),
+}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once for each application, so that Python functions find their modules there."""
+    """Send the package to the executors once for each application, so that Python functions find their modules there; bound Arrow batches."""
+    for key, (usual, ours) in BATCHES.items():
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, ours)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
