@@ -15,6 +15,10 @@ from pyspark.sql.types import StructType
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: The largest non-negative hash.
+MOST_HASH = (1 << 63) - 1
+
+
 def fold(doc_id: str = "doc_id", parts: int = 4) -> Column:
     """crc32 of the id's decimal text, modulo ``parts``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(parts)
@@ -44,6 +48,17 @@ def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
+def sampled(rows: DataFrame, total: int, most: int, *key: Column | str) -> DataFrame:
+    """About ``most`` of ``total`` rows by a hash of ``key``, the same in every run; all where there are no more.
+
+    The limit is a 63-bit number, so the share is as fine for 5e10 rows as for 5e4."""
+    return rows if total <= most else rows.where(F.xxhash64(*key).bitwiseAND(F.lit(MOST_HASH)) < F.lit(hash_limit(total, most)))
+
+
+def hash_limit(total: int, most: int) -> int:
+    return (MOST_HASH + 1) * most // total
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

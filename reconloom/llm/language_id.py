@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import carry, codepoints, text_slices, with_fields
+from reconloom.llm.common import carry, codepoints, sampled, text_slices, with_fields
 
 #: Predicted for a null text and for a text without letters.
 UNDETERMINED = "und"
@@ -79,8 +79,13 @@ USUAL_GRAMS, LEAST_SPREAD = 200, 0.1
 
 def _sampled(docs: DataFrame, text: str, lang: str, max_rows: int) -> DataFrame:
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    total = rows.count()
-    return rows if total <= max_rows else rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_rows / total)))
+    return sampled(rows, rows.count(), max_rows, "text", "lang")
+
+
+def _some(sample: DataFrame, docs: DataFrame, text: str, lang: str) -> None:
+    """Raise if nothing was sampled from a table that has labelled rows."""
+    if sample.isEmpty() and not docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).isEmpty():
+        raise ValueError("the sample of a table with labelled rows is empty: it has too few different texts for max_rows")
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15, max_rows: int = 20_000, alpha: float = 0.5) -> LanguageModel:
@@ -109,6 +114,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15,
 
     got = rows.mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(got["lang"].unique())
+    if not names:
+        _some(rows, docs, text, lang)
     counts, prior = np.zeros((1 << bits, len(names))), np.zeros(len(names))
     for k, name in enumerate(names):
         own = got[got["lang"] == name]
@@ -141,10 +148,12 @@ def usual(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str =
 
     if not model.languages:
         return None
-    got = _sampled(docs, text, lang, max_rows).where(F.col("lang").isin(model.languages)).mapInArrow(measure, "grams long, mean double, spread double").toPandas()
+    some = _sampled(docs, text, lang, max_rows)
+    got = some.where(F.col("lang").isin(model.languages)).mapInArrow(measure, "grams long, mean double, spread double").toPandas()
     if (got["grams"] >= USUAL_GRAMS).any():
         got = got[got["grams"] >= USUAL_GRAMS]
     if not len(got):
+        _some(some, docs, text, lang)
         return None
     centre, gram_spread = float(got["mean"].median()), float(got["spread"].median())
     return Usual(centre, gram_spread, max(1.4826 * float((got["mean"] - centre).abs().median()), LEAST_SPREAD * gram_spread))

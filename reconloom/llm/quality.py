@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import carry, text_slices, with_fields
+from reconloom.llm.common import carry, sampled, text_slices, with_fields
 
 #: ASCII byte values counted one by one.
 _BYTES = np.array([b for b in range(256) if b < 128 and not chr(b).isalnum()])
@@ -120,10 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_y"))
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    some = lambda df, n: df if n <= max_rows else df.where(F.pmod(F.xxhash64("_id", F.lit(8)), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_rows / n)))
     total, labelled = rows.count(), known.count()
-    marked = some(known, labelled).join(rows, "_id").select(F.col("_y").cast("int").alias("y"), "text")
-    free = some(rows, total).select(F.lit(-1).alias("y"), "text")
+    marked = sampled(known, labelled, max_rows, "_id", F.lit(8)).join(rows, "_id").select(F.col("_y").cast("int").alias("y"), "text")
+    free = sampled(rows, total, max_rows, "_id", F.lit(8)).select(F.lit(-1).alias("y"), "text")
 
     def extract(batches):
         for batch, texts in text_slices(batches):
@@ -132,6 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     got = marked.unionByName(free).mapInArrow(extract, "y int, x array<double>").toPandas()
     if not (got["y"] == 1).any():
         return None
+    if not (got["y"] == -1).any():
+        raise ValueError("the sample of the unlabelled text is empty: it has too few different ids for max_rows")
     x, y = np.array(got["x"].tolist()), got["y"].to_numpy()
     mean, scale = x[y == -1].mean(axis=0), x[y == -1].std(axis=0)
     scale[scale < 1e-6] = 1.0
