@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconloom.functions.normalize import compact, key_ci
+from reconloom.functions.normalize import casefolded, compact, key_ci
 from reconloom.operators.components import connected_components
 from reconloom.operators.names import spellings
 from reconloom.operators.winner import conflicts, survivor_order
@@ -50,7 +50,7 @@ def survivors(members: DataFrame, group: str = "component") -> DataFrame:
 
 def endpoint_conflicts(members: DataFrame, external: DataFrame, group: str = "component") -> DataFrame:
     """``group`` values in which one endpoint has different external ids. ``external``: ``id, endpoint, external_id``."""
-    return conflicts(members.select(group, "id").join(external.select("id", F.lower("endpoint").alias("endpoint"), "external_id"), "id"), [group, "endpoint"], "external_id").select(group).distinct()
+    return conflicts(members.select(group, "id").join(external.where(F.trim("external_id") != "").select("id", key_ci(F.col("endpoint")).alias("endpoint"), F.trim("external_id").alias("external_id")).where("endpoint <> ''"), "id"), [group, "endpoint"], "external_id").select(group).distinct()
 
 
 def external_name_conflicts(members: DataFrame, entities: DataFrame, norm: Callable[[Column], Column], group: str = "component") -> DataFrame:
@@ -100,5 +100,5 @@ def _flagged(rows: DataFrame, found: DataFrame | None, group: str, name: str) ->
 
 def plan_order(kind: str = "safe", score: str = "score") -> list[Column]:
     """Order of the safe list, or of the review list."""
-    tail = [F.lower("destination_name"), F.col("source_names")]
+    tail = [casefolded(F.col("destination_name")), F.col("source_names")]
     return tail if kind == "safe" else [F.desc(score), *tail]

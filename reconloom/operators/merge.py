@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconloom.functions.normalize import scalar_fill
+from reconloom.functions.normalize import key_ci, scalar_fill
 
 
 def fill(current: DataFrame, old: DataFrame, id: str, kinds: dict[str, str]) -> DataFrame:
@@ -55,7 +55,7 @@ def missing_history(current: DataFrame, old: DataFrame, keys: Sequence[str]) ->
 
 def external_id_union(current: DataFrame, old: DataFrame) -> DataFrame:
     """``id, endpoint, external_id, conflict``: for each endpoint the current id, else the old one; whether they differ. Null ids don't count."""
-    both = current.select("id", F.lower("endpoint").alias("endpoint"), "external_id", F.lit(0).alias("_p")).unionByName(old.select("id", F.lower("endpoint").alias("endpoint"), "external_id", F.lit(1).alias("_p")))
+    both = current.select("id", key_ci(F.col("endpoint")).alias("endpoint"), "external_id", F.lit(0).alias("_p")).unionByName(old.select("id", key_ci(F.col("endpoint")).alias("endpoint"), "external_id", F.lit(1).alias("_p")))
     return both.where("external_id is not null").groupBy("id", "endpoint").agg(F.min_by("external_id", F.struct("_p", "external_id")).alias("external_id"), (F.count_distinct("external_id") > 1).alias("conflict"))
 
 

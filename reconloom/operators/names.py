@@ -48,8 +48,8 @@ def staged_match(incoming: DataFrame, entities: DataFrame, norm: Callable[[Colum
 
 def external_id_match(incoming: DataFrame, entities: DataFrame) -> DataFrame:
     """``source, hits, id`` by (endpoint without case, id); both sides: an id column and ``endpoint, external_id``."""
-    own = incoming.select("source", F.lower("endpoint").alias("e"), F.col("external_id").alias("x"))
-    other = entities.select("id", F.lower("endpoint").alias("e"), F.col("external_id").alias("x"))
+    own = incoming.select("source", key_ci(F.col("endpoint")).alias("e"), F.col("external_id").alias("x"))
+    other = entities.select("id", key_ci(F.col("endpoint")).alias("e"), F.col("external_id").alias("x"))
     return unique_hits(own.join(other, ["e", "x"]), "source", "id")
 
 

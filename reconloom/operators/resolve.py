@@ -38,18 +38,18 @@ def resolve_tags(incoming: DataFrame, entities: DataFrame, old_ids: DataFrame, c
     return found.select("name", F.col("_way").alias("decision"), id.alias("id"), F.coalesce((F.col("_way") == "primary") & (F.col("_x") == 1) & (F.col("_xid") != F.col("_pid")), F.lit(False)).alias("identity_conflict"))
 
 
-def resolve_performers(old: DataFrame, entities: DataFrame) -> DataFrame:
+def resolve_performers(old: DataFrame, entities: DataFrame, unclear: str = "ambiguous") -> DataFrame:
     """``name, decision, id``: by name as ``fuzzy.MIGRATE_PERFORMER`` does, more strictly.
 
     ``old``: ``name, disambiguation``; a name with several different
-    disambiguations is ``ambiguous``. An entity whose disambiguation differs from
+    disambiguations is ``unclear``. An entity whose disambiguation differs from
     the old one, both given, is a ``conflict``: neither used nor made anew.
     ``entities``: ``id, ordinal, name, aliases, disambiguation``."""
     own = old.select("name", strip(casefolded(F.coalesce("disambiguation", F.lit("")))).alias("_d")).groupBy("name").agg(F.count_distinct("_d").alias("_n"), F.min("_d").alias("_d"))
     theirs = entities.select("id", strip(casefolded(F.coalesce("disambiguation", F.lit("")))).alias("_e"))
     found = fuzzy.resolve(own, entities, fuzzy.MIGRATE_PERFORMER).join(own, "name").join(theirs, "id", "left")
     clash = F.col("id").isNotNull() & (F.col("_d") != "") & (F.col("_e") != "") & (F.col("_d") != F.col("_e"))
-    way = F.when(F.col("_n") > 1, "ambiguous").when(clash, "conflict").when(F.col("decision") == "none", "create").otherwise(F.col("decision"))
+    way = F.when(F.col("_n") > 1, unclear).when(clash, "conflict").when(F.col("decision") == "none", "create").otherwise(F.col("decision"))
     return found.select("name", way.alias("decision"), F.when(way.isin("exact", "compact", "fuzzy"), F.col("id")).alias("id"))
 
 

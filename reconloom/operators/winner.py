@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reconloom.functions.normalize import key_ci
+from reconloom.functions.normalize import casefolded, key_ci
 
 
 def first_of(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -46,7 +46,7 @@ def unique_nearest(near: DataFrame, source: str, candidate: str, distance: str,
 def survivor_order(usage: str = "usage", name: str = "name", id: str = "id") -> list[Column]:
     """Most used first, then snake_case names, then by name without case, then by id as text."""
     snake = F.col(name).rlike("^[a-z0-9]+(?:_[a-z0-9]+)*$")
-    return [F.desc(usage), F.when(snake, 0).otherwise(1), F.lower(name), F.col(id).cast("string")]
+    return [F.desc(usage), F.when(snake, 0).otherwise(1), casefolded(F.col(name)), F.col(id).cast("string")]
 
 
 def one_source_per_target(matches: DataFrame, target: str, ordinal: str) -> DataFrame:

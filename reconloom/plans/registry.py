@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reconloom.plans import flow_queries, match_queries, resolve_queries, scalar_queries  # noqa: F401
+from reconloom.plans import flow_queries, match_queries, resolve_queries, restore_queries, scalar_queries  # noqa: F401
 from reconloom.plans.binding import ORACLES, QUERIES
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reconloom.functions import normalize as N
-from reconloom.operators import cleanup, fuzzy, media, merge
+from reconloom.operators import cleanup, fuzzy, hierarchy, media, merge, restore
 from reconloom.plans import flow
+from reconloom.sources.durable import durable
 
 
 @dataclass(frozen=True)
@@ -87,7 +88,10 @@ def restore_export(matches: DataFrame, old: DataFrame, current: DataFrame, kinds
 
 
 def _changes(matches: DataFrame, old: DataFrame, current: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    won = matches.where("current_id is not null").groupBy("current_id").agg(F.min("old_id").alias("old_id"))
+    return _filled(restore.first_sources(matches, old), old, current, kinds)
+
+
+def _filled(won: DataFrame, old: DataFrame, current: DataFrame, kinds: dict[str, str]) -> DataFrame:
     source = won.join(old.withColumnRenamed("id", "old_id"), "old_id").select(F.col("current_id").alias("id"), *kinds)
     after = merge.fill(current.select("id", *kinds), source, "id", kinds)
     return merge.changeset(current, after, "id", list(kinds))
@@ -97,15 +101,21 @@ def _changes(matches: DataFrame, old: DataFrame, current: DataFrame, kinds: dict
 class Side:
     """An export, or the library: tables by medium (``scenes``, ``images``) and by kind of entity.
 
-    ``files``: ``id, path, size, fp_type, fp_value``; ``media``: ``id`` and fields; ``entities`` of ``tags``,
-    ``performers``, ``studios`` and ``groups`` as their resolvers read them, an export needs names only; ``external``:
-    ``name`` or ``id``, ``endpoint, external_id`` of tags; ``parents``: ``child, parent`` of tags, names in an export."""
+    ``files``: ``id, path, size, fp_type, fp_value``; ``media``: ``id`` and fields, in an export with ``ordinal``, the place in
+    its list; ``entities`` of ``tags``, ``performers``, ``studios`` and ``groups`` as their resolvers read them, an export
+    needs names only; ``external``: ``name`` or ``id``, ``endpoint, external_id`` of tags; ``parents``: ``child, parent`` of
+    tags, names in an export. Where they are left out nothing is done with them: ``identities`` (as ``external``) of
+    performers and studios, ``studio_parents`` (export: ``name, parent, ordinal``; library: ``id, parent``), ``relations`` by
+    medium and kind (export: ``id, name, position``; library: ``id, entity_id, position``)."""
 
     files: dict[str, DataFrame]
     media: dict[str, DataFrame]
     entities: dict[str, DataFrame]
     external: DataFrame
     parents: DataFrame
+    identities: dict[str, DataFrame] = field(default_factory=dict)
+    studio_parents: DataFrame | None = None
+    relations: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
 
 
 def backup(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
@@ -121,42 +131,78 @@ def backup(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
 
 def restore_run(old: Side, current: Side, fields: dict[str, dict[str, str]], backup_to: str | None = None) -> dict[str, DataFrame]:
     """A whole restore as change-sets: media are matched and the gate asked, the library is saved, then entities are resolved
-    in the order tags, performers, studios, tag parents, groups, and last the fields of scenes and images.
+    in the order tags, performers, studios, tag and studio parents, groups, and last fields and relations of scenes and images.
 
     Without ``backup_to`` it is an analysis: nothing is saved and a gate that aborts is only reported. Returns
-    ``matches_<medium>``, ``gate``, the decisions of each kind of entity (``name, decision, id``), ``parents`` to add
-    (``child, parent``, where both tags are there), ``changes_<medium>`` and ``stats`` (``medium, kind, records``;
-    old records of a target that an earlier one has are ``collision``)."""
-    from reconloom.operators import resolve
-    from reconloom.sources.durable import durable
-
+    ``matches_<medium>``, ``gate``, for each kind of entity the decisions (``name, decision, id``), ``merges_<kind>``
+    (``source_id, destination_id``: duplicates that ambiguous names merge first) and ``created_<kind>`` (``name, id,
+    first``: new rows with their ids), ``parents`` of tags to add (``child, parent``) and ``studio_parents`` to set,
+    ``changes_<medium>``, ``relations_<medium>_<kind>`` (``id, before, after``; of studios ``id, entity_id``) and ``stats``
+    (``medium, kind, records``; old records of a target that an earlier one in the list has are ``collision``)."""
     found = {m: durable(media.match_cascade(old.files[m], current.files[m]), "restore-matches") for m in fields}
+    won = {m: durable(restore.first_sources(df, old.media[m]), "restore-won") for m, df in found.items()}
     every = None
     for m, df in found.items():
-        first = df.where("current_id is not null").groupBy("current_id").agg(F.min("old_id").alias("_first"))
+        first = won[m].withColumnRenamed("old_id", "_first")
         part = df.join(first, "current_id", "left").select(F.lit(m).alias("medium"), F.when(F.col("old_id") != F.col("_first"), "collision").otherwise(F.col("kind")).alias("kind"))
         every = part if every is None else every.unionByName(part)
-    all_matches = [df.select("kind") for df in found.values()]
-    gate = flow.preflight(reduce(DataFrame.unionByName, all_matches))
+    gate = flow.preflight(reduce(DataFrame.unionByName, [df.select("kind") for df in found.values()]))
     if backup_to is not None:
         if gate.first()["abort"]:
             raise RuntimeError("too few old records match; nothing was changed")
-        backup({**{f"media_{m}": current.media[m] for m in fields}, **current.entities, "parents": current.parents}, backup_to)
+        saved = {**{f"media_{m}": current.media[m] for m in fields}, **current.entities, "parents": current.parents, "external": current.external, **{f"identities_{k}": df for k, df in current.identities.items()}}
+        saved |= {f"relations_{m}_{k}": df for m, own in current.relations.items() for k, df in own.items()}
+        backup(saved | ({} if current.studio_parents is None else {"studio_parents": current.studio_parents}), backup_to)
     out = {"gate": gate, "stats": every.groupBy("medium", "kind").agg(F.count("*").alias("records"))}
-    out["tags"] = resolve.resolve_tags(old.entities["tags"], current.entities["tags"], old.external, current.external)
-    out["performers"] = resolve.resolve_performers(old.entities["performers"], current.entities["performers"])
-    out["studios"] = fuzzy.resolve_or_create(old.entities["studios"], current.entities["studios"], fuzzy.MIGRATE_STUDIO).select("name", F.col("action").alias("decision"), F.when(F.col("action") != "create", F.col("id")).alias("id"))
-    there = out["tags"].where("id is not null")
+    ids = _entities(old, current, out)
+    there = ids["tags"]
     named = lambda side: there.select(F.col("name").alias(side), F.col("id").alias(f"_{side}"))
     wanted = old.parents.join(named("child"), "child").join(named("parent"), "parent").select(F.col("_child").alias("child"), F.col("_parent").alias("parent"))
-    out["parents"] = merge.missing_edges(current.parents, wanted)
-    out["groups"] = resolve.resolve_groups(old.entities["groups"], current.entities["groups"])
+    has = merge.rewrite_keys(merge.rewrite_keys(current.parents, out["merges_tags"], "child").drop("moved"), out["merges_tags"], "parent").drop("moved")
+    out["parents"] = merge.missing_edges(has, wanted)
+    if old.studio_parents is not None and current.studio_parents is not None:
+        out["studio_parents"] = restore.parents_to_set(old.studio_parents, merge.rewrite_keys(current.studio_parents, out["merges_studios"], "id"), ids["studios"])
     for m, kinds in fields.items():
         out[f"matches_{m}"] = found[m]
-        out[f"changes_{m}"] = _changes(found[m], old.media[m], current.media[m], kinds)
+        out[f"changes_{m}"] = _filled(won[m], old.media[m], current.media[m], kinds)
+        for kind, rows in old.relations.get(m, {}).items():
+            now = current.relations[m][kind]
+            if kind in ("tags", "performers", "studios"):
+                now = merge.rewrite_keys(now, out[f"merges_{kind}"], "entity_id").drop("moved")
+            grow = restore.single_relation if kind == "studios" else restore.relations
+            out[f"relations_{m}_{kind}"] = grow(won[m], rows, now, ids[kind])
     return out
 
 
+def _entities(old: Side, current: Side, out: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Decisions, merges and new ids of all kinds into ``out``; where each name leads, by kind."""
+    from reconloom.operators import resolve
+
+    none = {"usage": F.lit(0), "rich": F.lit(False), "signature": F.lit("")}
+    full = {k: df.withColumns({c: v for c, v in none.items() if c not in df.columns}) for k, df in current.entities.items()}
+    empty = lambda owner: current.external.limit(0).select(F.lit("").alias(owner), F.lit("").alias("endpoint"), F.lit("").alias("external_id"))
+    mine, theirs = (lambda k: old.identities.get(k, empty("name"))), (lambda k: current.identities.get(k, empty("id")))
+    tags = lambda x, e: resolve.resolve_tags(x, e, old.external, current.external)
+    out["tags"], out["merges_tags"], _ = restore.merge_then_resolve(old.entities["tags"], full["tags"], current.external, tags, aliases_block=True)
+
+    def performers(x, e):
+        return resolve.resolve_performers(old.entities["performers"].join(x.select("name").distinct(), "name", "left_semi"), e, unclear="unclear")
+
+    found, merges, _ = restore.merge_then_resolve(old.entities["performers"], full["performers"], theirs("performers"), performers)
+    found = restore.without_conflicts(found, merges, mine("performers"), theirs("performers"))
+    out["performers"] = found.withColumn("decision", F.when(F.col("decision") == "unclear", "ambiguous").otherwise(F.col("decision")))
+    out["merges_performers"] = merges
+    out["studios"], out["merges_studios"], _ = restore.resolve_studios(old.entities["studios"], full["studios"], mine("studios"), theirs("studios"))
+    out["groups"] = resolve.resolve_groups(old.entities["groups"], current.entities["groups"])
+    ids = {}
+    for kind in ("tags", "performers", "studios", "groups"):
+        order = old.entities[kind] if "ordinal" in old.entities[kind].columns else None
+        out[kind] = durable(out[kind], f"restore-{kind}")
+        out[f"created_{kind}"] = restore.minted(out[kind], current.entities[kind], order)
+        ids[kind] = restore.entity_ids(out[kind], out[f"created_{kind}"])
+    return ids
+
+
 decide_review = flow.decide_review
 
 
@@ -200,22 +246,8 @@ def hook_image_ids(payloads: DataFrame, body: str = "body", id: str = "id") -> D
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, image_id string")
 
 
-def parents_first(entities: DataFrame, most: int = 64) -> DataFrame:
-    """``id, level``: 0 for entities without a known parent, then one more than the parent; entities on a cycle have none.
-
-    ``entities``: ``id, parent``. Levels resolve in order, so a child finds its parent resolved. A hierarchy deeper than
-    ``most`` levels is an error."""
-    from reconloom.sources.durable import durable
-
-    ids = entities.select(F.col("id").alias("parent"))
-    edges = entities.join(ids, "parent", "left_semi").where("id <> parent").select("id", "parent")
-    front = entities.join(edges.select("id"), "id", "left_anti").select("id").withColumn("level", F.lit(0))
-    out = front = durable(front, "levels")
-    for k in range(1, most + 1):
-        front = durable(edges.join(front.select(F.col("id").alias("parent")), "parent").select("id").withColumn("level", F.lit(k)), "levels")
-        if front.isEmpty():
-            return out
-        out = out.unionByName(front)
-    if not edges.join(front.select(F.col("id").alias("parent")), "parent", "left_semi").isEmpty():
-        raise RuntimeError(f"a hierarchy is deeper than {most} levels")
-    return out
+def parents_first(entities: DataFrame) -> DataFrame:
+    """``id, level``: 0 for entities without a known parent, then one more than the parent; entities on or below a cycle have none.
+
+    ``entities``: ``id, parent``. Levels resolve in order, so a child finds its parent resolved."""
+    return hierarchy.ancestry(entities).where("level is not null").select("id", "level")

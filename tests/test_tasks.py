@@ -37,13 +37,6 @@ def test_small_tasks(spark):
     assert [r[0] for r in waits.select(tasks.retry_after(F.col("h"), F.to_timestamp(F.lit("1970-01-01 00:00:20")))).collect()] == [3.5, 40.0, 0.0, 0.0]
 
 
-def test_too_deep_hierarchies_are_an_error(spark):
-    chain = spark.createDataFrame([(k, k - 1) for k in range(1, 6)] + [(7, 8), (8, 7)], "id long, parent long")
-    assert {tuple(r) for r in tasks.parents_first(chain, most=4).collect()} == {(k, k - 1) for k in range(1, 6)}
-    with pytest.raises(RuntimeError):
-        tasks.parents_first(chain, most=3)
-
-
 def _side(spark, files, rows, names, external, parents):
     who = "id string, ordinal long, name string, aliases array<string>"
     entities = {k: spark.createDataFrame([(f"{k}{n}", n, x, [], "") for n, x in enumerate(v)], who + ", disambiguation string") for k, v in names.items()}
