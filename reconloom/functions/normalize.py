@@ -110,11 +110,15 @@ def url_key(c: Column) -> Column:
     return F.concat(head, path, F.regexp_extract(rest, r"(\?.*)$", 1))
 
 
+def tenths(score: Column) -> Column:
+    """The score with one decimal as text, rounded by its exact binary value, halves to even (0.25 to 0.2, 12.35 to 12.3, for it lies below its digits)."""
+    return F.replace(F.format_number(score.cast("double"), 1), F.lit(","))
+
+
 def with_confidence(url: Column, score: Column, key: str = "confidence") -> Column:
     """Address with its score, 0 to 100 and in tenths, as fragment; without one where the score is null."""
     bare = F.regexp_replace(strip(url), r"#.*$", "")
-    tenths = F.floor(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)) * 10 + F.lit(0.5)).cast("long")
-    text = F.concat(F.floor(tenths / 10).cast("long").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    text = tenths(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)))
     return F.when(score.isNull(), bare).otherwise(F.concat(bare, F.lit(f"#{key}="), text))
 
 
@@ -186,7 +190,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 def band(score: Column, high: float = 93.0, review: float = 85.0) -> Column:
     """HIGH, REVIEW or LOW of a score in tenths: a score that prints as the limit reaches it."""
-    return F.when(score >= high - 0.05, "HIGH").when(score >= review - 0.05, "REVIEW").otherwise("LOW")
+    shown = tenths(score).cast("double")
+    return F.when(shown >= high, "HIGH").when(shown >= review, "REVIEW").otherwise("LOW")
 
 
 def is_empty(c: Column, kind: str) -> Column:

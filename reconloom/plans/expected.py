@@ -26,7 +26,7 @@ TYPO = f"""CASE p_partkey % 5 WHEN 0 THEN p_name || substr(p_name, length(p_name
 ENTITIES = " UNION ALL ".join(
     f"SELECT (min(p_partkey) * 4 + {k}) || '' AS id, min(p_partkey) * 4 + {k} AS ordinal, p_name || '{more}' AS name FROM part {'' if k < 2 else 'WHERE p_name LIKE ' + repr('%r%')} GROUP BY p_name" for k, more in enumerate(FORMS)
 ) + " UNION ALL SELECT (min(p_partkey) * 4 + 3) || '', min(p_partkey) * 4 + 3, upper(p_name) FROM part WHERE p_name LIKE '%gear' GROUP BY p_name"
-_START = f"WITH inc AS (SELECT DISTINCT {TYPO} AS name FROM part), ent AS ({ENTITIES}), sp AS (SELECT id, name AS s FROM ent UNION ALL SELECT id, replace(name, ' ', '') FROM ent)"
+_START = f"WITH inc AS MATERIALIZED (SELECT DISTINCT {TYPO} AS name FROM part), ent AS MATERIALIZED ({ENTITIES}), sp AS MATERIALIZED (SELECT id, name AS s FROM ent UNION ALL SELECT id, replace(name, ' ', '') FROM ent)"
 
 
 def _python(kind: str) -> Callable[[str], str]:
@@ -107,10 +107,9 @@ def fuzzy_match() -> str:
 
 
 def review_pairs() -> str:
-    a, b = (f"string_split({q_plain(c)}, ' ')" for c in ("a.name", "b.name"))
     one = lambda x, y: f"len(list_filter({x}, lambda x: NOT list_contains({y}, x)))"
-    return f"""{_START} SELECT a.id AS left_id, b.id AS right_id, r.s AS score FROM ent a JOIN {ratios('plain', 2, 0.8, False)} ON r.l = {q_plain('a.name')} JOIN ent b ON r.r = {q_plain('b.name')} AND a.ordinal < b.ordinal
- WHERE length(r.l) >= 5 AND NOT (({one(a, b)} = 0) <> ({one(b, a)} = 0))"""
+    return f"""{_START}, en AS MATERIALIZED (SELECT id, ordinal, {q_plain('name')} AS n FROM ent), ew AS MATERIALIZED (SELECT *, string_split(n, ' ') AS w FROM en), rt AS MATERIALIZED (SELECT * FROM {ratios('plain', 2, 0.8, False)} WHERE length(r.l) >= 5)
+ SELECT a.id AS left_id, b.id AS right_id, rt.s AS score FROM rt JOIN ew a ON rt.l = a.n JOIN ew b ON rt.r = b.n WHERE a.ordinal < b.ordinal AND NOT (({one('a.w', 'b.w')} = 0) <> ({one('b.w', 'a.w')} = 0))"""
 
 
 def reversed_ratio() -> str:

@@ -12,7 +12,7 @@ from reconloom.streaming import stateful
 
 # --- old and current state of the same objects: documents, some fields of which have gone missing
 _CUR = Surrogate("documents", id="doc_id", title="CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN NULL ELSE source END", rating="CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 100 END", organized="doc_id % 5 = 0", details="CASE WHEN doc_id % 2 = 0 THEN lang END")
-_OLD = Surrogate("documents", "doc_id % 10 < 8", id="doc_id", title="lang || '-' || source", rating="doc_id % 7", organized="doc_id % 3 = 0", details="source")
+_OLD = Surrogate("documents", id="CASE WHEN doc_id % 10 < 8 THEN doc_id ELSE -1 - doc_id END", title="lang || '-' || source", rating="doc_id % 7", organized="doc_id % 3 = 0", details="source")
 _KINDS = {"title": "string", "rating": "int", "organized": "boolean", "details": "string"}
 _AFTER = f"""(SELECT c.id, CASE WHEN c.title IS NULL OR c.title = '' THEN o.title ELSE c.title END AS title, CASE WHEN c.rating IS NULL OR c.rating = 0 THEN o.rating ELSE c.rating END AS rating,
  coalesce(c.organized, false) OR coalesce(o.organized, false) AS organized, coalesce(nullif(c.details, ''), o.details) AS details FROM {_CUR.sql} c LEFT JOIN {_OLD.sql} o ON c.id = o.id)"""
@@ -117,9 +117,11 @@ query("external_id_union", f"SELECT coalesce(c.id, o.id) AS id, lower(coalesce(c
 query("external_id_match", f"SELECT a.id AS source, count(DISTINCT b.id) AS hits, CASE WHEN count(DISTINCT b.id) = 1 THEN min(b.id) END AS id FROM {_EXT_OLD.sql} a JOIN {_EXT_CUR.sql} b ON lower(a.endpoint) = lower(b.endpoint) AND a.external_id || (a.id % 40) = b.external_id || (b.id % 40) GROUP BY 1")(
     lambda t: names.external_id_match(_EXT_OLD.df(t).select(F.col("id").alias("source"), "endpoint", F.concat("external_id", (F.col("id") % 40).cast("string")).alias("external_id")), _EXT_CUR.df(t).withColumn("external_id", F.concat("external_id", (F.col("id") % 40).cast("string"))))
 )
-query("history_anti_join", "SELECT DISTINCT o_custkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey, o_orderdate FROM orders WHERE o_orderkey % 3 = 0")(lambda t: merge.missing_history(t.orders.where("o_orderkey % 3 = 0"), t.orders.where("o_orderstatus = 'F'"), ["o_custkey", "o_orderdate"]))
-query("hierarchy_delta", "SELECT DISTINCT n_nationkey AS child, n_regionkey AS parent FROM nation WHERE n_nationkey <> n_regionkey AND NOT (n_nationkey % 2 = 0)")(
-    lambda t: merge.missing_edges(t.nation.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("child"), F.col("n_regionkey").alias("parent")), t.nation.select(F.col("n_nationkey").alias("child"), F.col("n_regionkey").alias("parent")))
+query("history_anti_join", "SELECT DISTINCT o_custkey, o_orderdate FROM orders EXCEPT SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE -o_custkey END, o_orderdate FROM orders")(
+    lambda t: merge.missing_history(t.orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).otherwise(-F.col("o_custkey"))), t.orders, ["o_custkey", "o_orderdate"])
+)
+query("hierarchy_delta", "SELECT n_nationkey AS child, n_regionkey AS parent FROM nation WHERE n_nationkey <> n_regionkey EXCEPT SELECT n_nationkey, n_regionkey + n_nationkey % 2 * 100 FROM nation")(
+    lambda t: merge.missing_edges(t.nation.select(F.col("n_nationkey").alias("child"), (F.col("n_regionkey") + F.col("n_nationkey") % 2 * 100).alias("parent")), t.nation.select(F.col("n_nationkey").alias("child"), F.col("n_regionkey").alias("parent")))
 )
 _EV = "(SELECT o_custkey % 300 AS src, o_orderpriority AS e, o_custkey % 7 AS tgt FROM orders)"
 query("evidence_intersection", f"SELECT src, tgt FROM (SELECT a.src, a.tgt, count(*) OVER (PARTITION BY a.src) AS n FROM (SELECT src, tgt, count(DISTINCT e) AS k FROM {_EV} x GROUP BY 1, 2) a JOIN (SELECT src, count(DISTINCT e) AS alln FROM {_EV} y GROUP BY 1) b ON a.src = b.src WHERE k = alln) z WHERE n = 1")(

@@ -119,10 +119,10 @@ query("creation_guard", E.guard)(lambda t: fuzzy.guarded(_typos(t), _plain(t)))
 _ODD_NAMES, _ODD_ROWS = E.folding()
 
 
-@query("norm_unicode", _ODD_ROWS)
+@query("norm_unicode", f"SELECT p_partkey AS id, o.* EXCLUDE (id) FROM part JOIN ({_ODD_ROWS}) o ON o.id = p_partkey % {len(_ODD_NAMES)} + 1")
 def norm_unicode(t):
-    c = F.col("name")
-    rows = t.spark.createDataFrame(_ODD_NAMES, "id int, name string")
+    c, place = F.col("name"), (F.col("p_partkey") % len(_ODD_NAMES) + 1).cast("int")
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.element_at(F.array(*[F.lit(n) for _, n in _ODD_NAMES]), place).alias("name"))
     return rows.select("id", N.key_ci(c).alias("key"), N.tag_key(c).alias("tag"), N.entity_name(c).alias("entity"), N.tag_cleanup_name(c).alias("cleanup"), N.compact(N.plain_name(c)).alias("compact"))
 
 

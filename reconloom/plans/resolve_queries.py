@@ -56,7 +56,7 @@ def group_resolution(t):
 _STUDIO = ("entity", "entity", 0.96, 0.03, 3, False, False, False, "none")
 
 
-@query("alias_append", lambda: f"""{E.decided(*_STUDIO)}, n AS (SELECT d.id, min(d.name) AS name, lower(trim(d.name)) AS k FROM d JOIN ent e ON d.id = e.id WHERE lower(trim(d.name)) NOT IN (lower(e.name), lower(replace(e.name, ' ', ''))) GROUP BY d.id, lower(trim(d.name)))
+@query("alias_append", lambda: f"""{E.decided(*_STUDIO)}, dm AS MATERIALIZED (SELECT name, id FROM d), n AS (SELECT d.id, min(d.name) AS name, lower(trim(d.name)) AS k FROM dm d JOIN ent e ON d.id = e.id WHERE lower(trim(d.name)) NOT IN (lower(e.name), lower(replace(e.name, ' ', ''))) GROUP BY d.id, lower(trim(d.name)))
  SELECT e.id, (CASE WHEN replace(e.name, ' ', '') = e.name THEN '' ELSE replace(e.name, ' ', '') || ',' END) || x.names AS aliases FROM ent e JOIN (SELECT id, string_agg(name, ',' ORDER BY name) AS names FROM n GROUP BY 1) x ON e.id = x.id""")
 def alias_append(t):
     found = fuzzy.resolve(_typos(t), _plain(t), fuzzy.IMPORT_STUDIO)

@@ -64,12 +64,12 @@ _URLKEY = rf"lower(regexp_extract({_BARE}, '^([^:/?]+://[^/?]*)', 1)) || regexp_
 query("url_key", f"SELECT page_id, {_URLKEY} AS url_key FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(replace(url, 'http', 'HTTP'), 'example', 'EXAMPLE') ELSE url END AS url FROM pages) p")(
     lambda t: t.pages.select("page_id", F.expr("CASE WHEN page_id % 3 = 0 THEN replace(replace(url, 'http', 'HTTP'), 'example', 'EXAMPLE') ELSE url END").alias("url")).select("page_id", N.url_key(F.col("url")).alias("url_key"))
 )
-_SCORED = Surrogate("pages", id="page_id", url="url", score="CASE WHEN page_id % 5 = 0 THEN NULL ELSE (page_id % 130) - 10.25D END")
-_TENTHS = "CAST(floor(least(greatest(score, 0.0), 100.0) * 10 + 0.5) AS BIGINT)"
+_SCORED = Surrogate("pages", id="page_id", url="url", score="CASE WHEN page_id % 5 = 0 THEN NULL ELSE (page_id % 130) - 10.25D + page_id % 7 * 0.05D END")
+_TENTHS = "format('{:.1f}', least(greatest(score, 0.0), 100.0))"
 
 
-@query("url_fragment_roundtrip", f"""SELECT id, CASE WHEN score IS NULL THEN {_BARE} ELSE {_BARE} || '#confidence=' || ({_TENTHS} // 10) || '.' || ({_TENTHS} % 10) END AS stored,
-  CASE WHEN score IS NULL THEN NULL ELSE CAST(({_TENTHS} // 10) || '.' || ({_TENTHS} % 10) AS DOUBLE) END AS score FROM {_SCORED.sql.replace('10.25D', '10.25')}""")
+@query("url_fragment_roundtrip", f"""SELECT id, CASE WHEN score IS NULL THEN {_BARE} ELSE {_BARE} || '#confidence=' || {_TENTHS} END AS stored, CASE WHEN score IS NULL THEN NULL ELSE CAST({_TENTHS} AS DOUBLE) END AS score
+  FROM {_SCORED.sql.replace('10.25D', '10.25::DOUBLE').replace('0.05D', '0.05::DOUBLE')}""")
 def fragment(t):
     made = _SCORED.df(t).withColumn("stored", N.with_confidence(F.col("url"), F.col("score")))
     return made.select("id", "stored", N.confidence_of(F.col("stored")).alias("score"))
