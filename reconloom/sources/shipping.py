@@ -9,12 +9,9 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
-#: Bytes of an Arrow batch on its way to and from Python, where the session has Spark's own values: long texts would
-#: otherwise make batches of 64 MB and more, each held by the JVM and by the Python worker.
-BATCHES = {
-    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"),
-    "spark.sql.execution.arrow.maxBytesPerOutputBatch": ("-1b", "8m"),
-}
+#: Bytes of an Arrow batch on its way to Python, where the session has Spark's own value: long texts would otherwise
+#: make batches of 64 MB, each held by the JVM and by the Python worker.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
 def ship(spark: SparkSession) -> None:
