@@ -213,8 +213,8 @@ def repair(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     audit, repaired_sha256``; "turns" gives ``conv, position, edit, role, text``, a row for each edit in order, with the
     role and text after it (those of a deleted turn as they were).
 
-    Turns follow by ``turn`` (nulls first), then role and text by code point. Null roles and texts are one space; rows
-    with a null conversation are one conversation; repeated rows are turns, of which all but the first are duplicates.
+    Turns follow by ``turn`` (nulls first), then role and text by code point. Null roles and texts are one space; an
+    empty role has no initial, so its turn cannot stay as it is; rows with a null conversation are one conversation; repeated rows are turns, of which all but the first are duplicates.
     Rows with ``dropped`` are no turns, but their conversation gets a row (zeros, no edits, the hash of nothing). Empty and
     very long texts are turns like others; an empty table gives an empty one; further columns are not read.
 

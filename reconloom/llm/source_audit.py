@@ -29,8 +29,8 @@ _SEPARATES = {*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)}
 _FOLD = bytes(0x20 if b in _SEPARATES else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: A text is counted in pieces of so many bytes, a task sends its tries when they have so many leaf counters.
 PIECE, FLUSH = 1 << 22, 400_000
-#: Bytes of the first cut; a prefix with more leaves over all tasks than WIDE is cut so many bytes deeper, and again.
-DEPTH, WIDE = 3, 4_000_000
+#: Bytes of the first cut; a prefix with more leaves over all tasks than WIDE is cut twice as deep, and again.
+DEPTH, WIDE = 3, 500_000
 #: Leaves of a merged block, and cells (sources x terms, or sources x sources) of a matrix.
 BLOCK, CELLS = 8192, 1 << 20
 #: Most tasks that blocks are dealt to.
@@ -109,7 +109,7 @@ def cut_deeper(parts: DataFrame, depth: int = DEPTH, wide: int = WIDE) -> DataFr
         hot = durable(sums.select(F.col("lang").alias("_l"), F.col("prefix").alias("_p"), F.lit(True).alias("_wide")), "audit-wide")
         if hot.isEmpty():
             return parts
-        depth += DEPTH
+        depth *= 2
         both = parts.join(hot, (F.col("lang") == F.col("_l")) & (F.col("prefix") == F.col("_p")), "left")
 
         def deeper(batches, depth=depth):

@@ -73,9 +73,9 @@ def write_streams(pages: DataFrame, path: str, least: int = LEAST_BYTES, date: s
 
 
 def _split_records(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes]:
-    """Whole records from the pieces between empty lines of whole files, in order; columns ``value`` and ``file``.
+    """Whole records of whole files from what lies between their empty lines, in order; columns ``value`` and ``file``.
 
-    Holds one record. A block may hold empty lines itself: its length says where it ends."""
+    Holds one record. A block may hold and end with line breaks itself: its length says where it ends."""
     file, head, parts, held, length = None, None, [], 0, 0
     for batch in batches:
         for piece, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -89,13 +89,14 @@ def _split_records(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes]:
                     head = None
                     continue
                 length, parts, held = _length(head, file), [], 0
-                continue
-            held += len(piece) + (len(EMPTY_LINE) if parts else 0)
-            parts.append(piece)
-            if held > length:
-                raise ValueError(f"{file}: a block is longer than its Content-Length of {length}")
-            if held == length:
-                yield head + EMPTY_LINE + EMPTY_LINE.join(parts) + EMPTY_LINE
+            else:
+                parts += (piece, EMPTY_LINE)
+                held += len(piece) + len(EMPTY_LINE)
+            if held >= length:
+                block = b"".join(parts)
+                if block[length:].strip(b"\r\n"):
+                    raise ValueError(f"{file}: a block is longer than its Content-Length of {length}")
+                yield head + EMPTY_LINE + block[:length] + EMPTY_LINE
                 head = None
     if head is not None:
         raise ValueError(f"{file} ends within a record")
