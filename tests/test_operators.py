@@ -236,24 +236,6 @@ def test_circuit_breaker(spark):
     assert (pace["waits"], pace["waited"], pace["delay"]) == (4, 55.0, 10.0)
 
 
-def test_streams_keep_state(spark, tmp_path):
-    from reconloom.streaming.stateful import circuit_breaker_stream, status_stream
-
-    src = tmp_path / "in"
-    for k, rows in enumerate(([("h", float(i), True) for i in range(3)], [("h", 3.0, True), ("h", 4.0, True)])):
-        spark.createDataFrame(rows, "host string, at double, failed boolean").coalesce(1).write.mode("append").json(str(src))
-        del k
-    stream = spark.readStream.schema("host string, at double, failed boolean").option("maxFilesPerTrigger", 1).json(str(src))
-    q = circuit_breaker_stream(stream).writeStream.format("memory").queryName("breaker").outputMode("update").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = spark.table("breaker").orderBy(F.desc("opened"), F.desc("rejected")).first()
-    assert (last["opened"], last["rejected"]) == (1, 1)
-    spark.createDataFrame([(1, "match"), (1, "miss"), (2, "candidate")], "id long, outcome string").coalesce(1).write.json(str(tmp_path / "o"))
-    q = status_stream(spark.readStream.schema("id long, outcome string").json(str(tmp_path / "o"))).writeStream.format("memory").queryName("status").outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {tuple(r) for r in spark.table("status").collect()} == {(1, "Imported"), (2, "Review")}
-
-
 def test_export_reader(spark, tmp_path):
     root = tmp_path / "e" / "nested"
     for folder in ("files", "scenes", "movies"):
@@ -262,7 +244,7 @@ def test_export_reader(spark, tmp_path):
     (root / "files" / "a.json").write_text(json.dumps({"type": "folder", "path": "y"}))
     (root / "files" / "c.json").write_text("{broken")
     (root / "files" / "d.json").write_text("[1]")
-    assert export.open_export(str(tmp_path / "e"), str(tmp_path / "u")) == str(root)
+    assert export.folder_root(spark, str(tmp_path / "e")).endswith(str(root))
     schema = "type string, path string, size long, fingerprints array<struct<type:string,fingerprint:string>>"
     files = export.json_folder(spark, str(root / "files"), schema)
     assert [r["path"] for r in files.orderBy("ordinal").collect()] == ["y", "x"]
@@ -272,8 +254,24 @@ def test_export_reader(spark, tmp_path):
     bad = tmp_path / "bad.zip"
     with zipfile.ZipFile(bad, "w") as z:
         z.writestr("../out.json", "{}")
-    with pytest.raises(ValueError):
-        export.open_export(str(bad), str(tmp_path / "u"))
+    with pytest.raises(Exception, match="outside"):
+        export.zip_root(spark, str(bad))
+    good = tmp_path / "good.zip"
+    with zipfile.ZipFile(good, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((root / "files").iterdir()):
+            z.write(f, f"top/files/{f.name}")
+        z.writestr("top/scenes/s.json", '{"id": "1"}')
+        z.writestr("top/files/deeper/no.json", '{"path": "no"}')
+        z.writestr("top/files/z.json", b"\xff{}")
+    assert export.zip_root(spark, str(good)) == "top/"
+    unpacked = export.export_rows(spark, str(good), "files", schema)
+    assert [r["path"] for r in unpacked.orderBy("ordinal").collect()] == ["y", "x"]
+    assert [r["path"] for r in export.export_rows(spark, str(tmp_path / "e"), "files", schema).orderBy("ordinal").collect()] == ["y", "x"]
+    assert export.export_rows(spark, str(good), "groups", schema).count() == 0
+    with zipfile.ZipFile(bad, "w") as z:
+        z.writestr("a/files/x.json", "{}")
+    with pytest.raises(ValueError, match="0 export roots"):
+        export.zip_root(spark, str(bad))
 
 
 def test_scans_prune_and_push(spark, data):
