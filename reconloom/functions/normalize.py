@@ -262,3 +262,45 @@ def token_subset(a: Column, b: Column) -> Column:
     x, y = (F.array_distinct(F.filter(F.split(c, " "), lambda t: t != "")) for c in (a, b))
     more, less = F.size(F.array_except(x, y)), F.size(F.array_except(y, x))
     return (F.size(x) > 0) & (F.size(y) > 0) & (((more == 0) & (less > 0)) | ((more > 0) & (less == 0)))
+
+
+def usage_sum(*counts: Column) -> Column:
+    """Sum of the counts of all child collections; what is no whole number counts 0."""
+    total = F.lit(0).cast("long")
+    for c in counts:
+        total = total + F.coalesce(c.try_cast("long"), F.lit(0).cast("long"))
+    return total
+
+
+def metadata_fields(*fields: tuple[Column, str]) -> Column:
+    """The fields (column, kind) of a rich record as texts, each in its place: an empty one (``is_empty``) is an empty text."""
+    return F.array(*[F.when(is_empty(c, kind), "").otherwise(F.trim(F.to_json(F.struct(c.alias("v")))) if kind in ("array", "map") else F.trim(c.cast("string"))) for c, kind in fields])
+
+
+def signature(fields: Column) -> Column:
+    """What tells rich records apart: records sign alike only if every field is equal, gaps included."""
+    return F.sha2(F.to_json(fields), 256)
+
+
+def nontrivial(fields: Column) -> Column:
+    """Whether any field holds something."""
+    return F.exists(fields, lambda v: v != "")
+
+
+def relation_key(folder: Column, zips: Column, title: Column) -> Column:
+    """How a gallery is referred to: by its folder, else its archives (an array of paths, in order of the normal forms), else its title; empty without any."""
+    path = F.trim(F.coalesce(folder, F.lit("")))
+    normal = F.array_sort(F.filter(F.coalesce(zips, F.array().cast("array<string>")), lambda z: z.isNotNull() & (F.trim(z) != "")))
+    name = F.trim(F.coalesce(title, F.lit("")))
+    return (
+        F.when(path != "", F.concat(F.lit("folder:"), posix_path(path)))
+        .when(F.size(normal) > 0, F.concat(F.lit("zip:"), F.array_join(F.array_sort(F.split(posix_paths(F.array_join(normal, "\n")), "\n")), "|")))
+        .when(name != "", F.concat(F.lit("title:"), plain_name(name)))
+        .otherwise("")
+    )
+
+
+@pandas_udf(StringType())
+def posix_paths(s: pd.Series) -> pd.Series:
+    """Each line as ``posix_path`` makes it; an empty text stays empty."""
+    return s.map(lambda v: "\n".join(posixpath.normpath(x.strip()) for x in v.split("\n")) if v else v)

@@ -98,3 +98,23 @@ def singles(batches: DataFrame, answered: DataFrame, most: int = 20) -> DataFram
     left = batches.join(answered.select("source", "batch").distinct(), ["source", "batch"], "left_anti")
     order = Window.partitionBy("source").orderBy("name")
     return left.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select("source", "name")
+
+
+def validated_answers(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """``id, status, post_id``: what exact lookups by md5 found: ``match`` only where the answer names the md5 asked for.
+
+    ``asked``: ``id, md5``; ``answers``: ``md5`` (as it was asked for), ``post_id, post_md5``. Case does not count. An answer with
+    another md5 or none is a ``miss``, as no answer is; of several posts that fit, the smallest id counts."""
+    want = asked.select("id", F.lower(strip(F.col("md5"))).alias("_md5"))
+    right = answers.where(F.lower(strip(F.col("md5"))) == F.lower(strip(F.col("post_md5")))).groupBy(F.lower(strip(F.col("md5"))).alias("_md5")).agg(F.min("post_id").alias("post_id"))
+    return want.join(right, "_md5", "left").select("id", F.when(F.col("post_id").isNull(), "miss").otherwise("match").alias("status"), "post_id")
+
+
+def usage_counts(entities: DataFrame, *children: tuple[DataFrame, str]) -> DataFrame:
+    """``id, usage``: references to each entity over all child collections, each a table and its foreign key; added up in one shuffle."""
+    keys = None
+    for rows, key in children:
+        part = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n"))
+        keys = part if keys is None else keys.unionByName(part)
+    total = keys.groupBy("id").agg(F.sum("n").alias("usage"))
+    return entities.select("id").distinct().join(total, "id", "left").select("id", F.coalesce("usage", F.lit(0).cast("long")).alias("usage"))

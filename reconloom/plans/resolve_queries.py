@@ -101,3 +101,20 @@ query("other_tags", "SELECT doc_id, coalesce(lang, 'review ') || ',x' AS tags, C
 query("backoff_jitter", "SELECT event_id, greatest(event_id % 30, least(20.0, 0.75 * pow(2.0, event_id % 8)) + event_id % 5 / 4.0 * greatest(0.05, least(20.0, 0.75 * pow(2.0, event_id % 8)) * 0.25)) AS wait FROM events")(
     lambda t: t.events.select("event_id", N.backoff(F.col("event_id") % 8, jitter=F.col("event_id") % 5 / 4.0, retry_after=(F.col("event_id") % 30).cast("double")).alias("wait"))
 )
+_CHILDREN = {"orders": "o_custkey", "events": "user_id", "lineitem": "l_suppkey", "conversations": "conv_id", "pages": "page_id", "labels": "doc_id", "supplier": "s_suppkey"}
+query("usage_all_children", f"SELECT c_custkey AS id, CAST(coalesce(n, 0) AS BIGINT) AS usage FROM customer LEFT JOIN (SELECT k, count(*) AS n FROM ({' UNION ALL '.join(f'SELECT {c} AS k FROM {t}' for t, c in _CHILDREN.items())}) u GROUP BY 1) z ON c_custkey = k")(
+    lambda t: resolve.usage_counts(t.customer.select(F.col("c_custkey").alias("id")), *[(getattr(t, n), c) for n, c in _CHILDREN.items()])
+)
+_BAD = Surrogate("events", id="event_id", a="'' || event_id % 50", b="CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'many' WHEN 2 THEN '' WHEN 3 THEN '2.5' ELSE '7' END", c="event_id % 3")
+query("usage_bad_values", f"SELECT id, CAST(CAST(a AS BIGINT) + CASE WHEN b = '7' THEN 7 ELSE 0 END + c AS BIGINT) AS usage FROM {_BAD.sql}")(lambda t: _BAD.df(t).select("id", N.usage_sum(F.col("a"), F.col("b"), F.col("c")).alias("usage")))
+_META = Surrogate("part", id="p_partkey", a="CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 3 = 1 THEN '' ELSE p_brand END", b="CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE p_brand END", n="p_size % 4", f="p_size % 2 = 0")
+_FIELDS = "[coalesce(a, ''), coalesce(b, ''), CASE WHEN n = 0 THEN '' ELSE '' || n END, CASE WHEN f THEN 'true' ELSE '' END]"
+query("metadata_signature", f"SELECT id, sha256(CAST(to_json({_FIELDS}) AS VARCHAR)) AS signature, len(list_filter({_FIELDS}, lambda x: x <> '')) > 0 AS rich FROM {_META.sql}")(
+    lambda t: _META.df(t).withColumn("m", N.metadata_fields((F.col("a"), "string"), (F.col("b"), "string"), (F.col("n"), "int"), (F.col("f"), "boolean"))).select("id", N.signature(F.col("m")).alias("signature"), N.nontrivial(F.col("m")).alias("rich"))
+)
+_GREF = Surrogate("documents", id="doc_id", folder="CASE doc_id % 4 WHEN 0 THEN ' /g//' || source || '/./x/' WHEN 1 THEN '  ' END", z="CASE WHEN doc_id % 3 = 0 THEN 'b//' || lang || '.zip' END", title="CASE WHEN doc_id % 5 > 0 THEN 'The_' || source || ' - ' || upper(lang) ELSE ' ' END")
+query("gallery_key", f"SELECT id, CASE WHEN trim(folder) <> '' THEN 'folder:/g/' || source || '/x' WHEN z IS NOT NULL THEN 'zip:' || least('a/x.zip', 'b/' || lang || '.zip') || '|' || greatest('a/x.zip', 'b/' || lang || '.zip') WHEN trim(title) <> '' THEN 'title:' || {q_plain('title')} ELSE '' END AS key FROM {_GREF.sql} JOIN documents d ON d.doc_id = id")(
+    lambda t: _GREF.df(t).select("id", N.relation_key(F.col("folder"), F.when(F.col("z").isNotNull(), F.array("z", F.lit("a/y/../x.zip"), F.lit(" "), F.lit(None))), F.col("title")).alias("key"))
+)
+_ASKED_MD5, _ANSWERED = Surrogate("documents", id="doc_id", md5="upper(md5('' || doc_id))"), Surrogate("documents", md5="md5('' || doc_id)", post_id="doc_id * 10", post_md5="CASE doc_id % 5 WHEN 0 THEN md5('other') WHEN 1 THEN NULL WHEN 2 THEN upper(md5('' || doc_id)) ELSE md5('' || doc_id) END")
+query("provider_validated_lookup", "SELECT doc_id AS id, CASE WHEN doc_id % 5 < 2 THEN 'miss' ELSE 'match' END AS status, CASE WHEN doc_id % 5 >= 2 THEN doc_id * 10 END AS post_id FROM documents")(lambda t: resolve.validated_answers(_ASKED_MD5.df(t), _ANSWERED.df(t)))
