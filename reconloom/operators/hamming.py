@@ -56,6 +56,11 @@ def _band(c: str, start: int, stop: int) -> Column:
     return F.shiftrightunsigned(F.shiftleft(c, 64 - stop), 64 - stop + start)
 
 
+def _turned(k: int, value: Column, masks: list[int]) -> Column:
+    """Keys of a band's value with the bits of each mask turned."""
+    return F.transform(F.array(*map(F.lit, masks)).cast("array<long>"), lambda m: F.struct(F.lit(k).alias("band"), value.bitwiseXOR(m).alias("value")))
+
+
 def values_within(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     """``_a, _b, distance`` of the different values ``_a`` of ``left`` and ``_b`` of ``right`` (written tables) at most ``radius`` apart, each once."""
     left, right = left.select("_a"), right.select("_b")
@@ -68,8 +73,7 @@ def values_within(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
         for k, (start, stop) in enumerate(zip(chosen.edges, chosen.edges[1:], strict=False)):
             masks = [sum(1 << b for b in bits) for j in range(chosen.flips + 1) for bits in combinations(range(stop - start), j)]
             masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-            own = _band("_a", start, stop)
-            seek.append(F.transform(F.array(*map(F.lit, masks)).cast("array<long>"), lambda m, k=k, own=own: F.struct(F.lit(k).alias("band"), own.bitwiseXOR(m).alias("value"))))
+            seek.append(_turned(k, _band("_a", start, stop), masks))
             hold.append(F.struct(F.lit(k).alias("band"), _band("_b", start, stop).alias("value")))
         met = joined(left.withColumn("key", F.explode(F.flatten(F.array(*seek)))), right.withColumn("key", F.explode(F.array(*hold))), "key", "_a", "_b")
     near = met.withColumn("distance", hamming(F.col("_a"), F.col("_b"))).where(F.col("distance") <= radius).select("_a", "_b", "distance")
@@ -123,7 +127,7 @@ def unique_nearest(left: DataFrame, right: DataFrame, radius: int, margin: int =
     off = F.coalesce("off", F.array().cast("array<int>"))
     rest = F.transform("at", lambda x: F.struct(x["distance"].alias("distance"), (x["n"] - F.size(F.filter(off, lambda d: d == x["distance"]))).alias("n"), F.when(x["low"] == F.col("left_id"), x["high"]).otherwise(x["low"]).alias("id")))
     left_over = full.withColumn("_rest", F.filter(rest, lambda x: x["n"] > 0)).where(F.size("_rest") > 0)
-    first, then = F.col("_rest")[0], F.get("_rest", F.lit(1))
+    first, then = F.get("_rest", F.lit(0)), F.get("_rest", F.lit(1))
     only = (first["n"] == 1) & (then["distance"].isNull() | (then["distance"] - first["distance"] >= max(1, margin)))
     return left_over.where(only).select("left_id", first["id"].alias("right_id"), first["distance"].alias("distance"))
 
