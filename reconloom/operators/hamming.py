@@ -64,10 +64,13 @@ def _turned(k: int, value: Column, masks: list[int]) -> Column:
 def values_within(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     """``_a, _b, distance`` of the different values ``_a`` of ``left`` and ``_b`` of ``right`` (written tables) at most ``radius`` apart, each once."""
     left, right = left.select("_a"), right.select("_b")
-    chosen = plan(radius, left.count(), right.count())
+    held, sought = left.count(), right.count()
+    chosen = plan(radius, held, sought)
+    # a value has a key once, so no key can have more rows than there are values
+    meet = joined if max(held, sought) > CELL else lambda x, y, key, *_: x.join(y, key)
     if not chosen.parts:
         one = lambda df: df.withColumn("key", F.lit(0))
-        met = joined(one(left), one(right), "key", "_a", "_b")
+        met = meet(one(left), one(right), "key", "_a", "_b")
     else:
         seek, hold = [], []
         for k, (start, stop) in enumerate(zip(chosen.edges, chosen.edges[1:], strict=False)):
@@ -75,7 +78,7 @@ def values_within(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
             masks = [m - (1 << 64) if m >> 63 else m for m in masks]
             seek.append(_turned(k, _band("_a", start, stop), masks))
             hold.append(F.struct(F.lit(k).alias("band"), _band("_b", start, stop).alias("value")))
-        met = joined(left.withColumn("key", F.explode(F.flatten(F.array(*seek)))), right.withColumn("key", F.explode(F.array(*hold))), "key", "_a", "_b")
+        met = meet(left.withColumn("key", F.explode(F.flatten(F.array(*seek)))), right.withColumn("key", F.explode(F.array(*hold))), "key", "_a", "_b")
     near = met.withColumn("distance", hamming(F.col("_a"), F.col("_b"))).where(F.col("distance") <= radius).select("_a", "_b", "distance")
     return near.distinct() if chosen.parts > 1 else near
 
