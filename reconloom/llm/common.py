@@ -59,6 +59,19 @@ def hash_limit(total: int, most: int) -> int:
     return (MOST_HASH + 1) * most // total
 
 
+#: Bytes of the small side of a hash join that a task holds, on average.
+HELD = 64 << 20
+
+
+def hashed(texts: DataFrame, small: DataFrame, on: list[str], size: int, how: str = "inner") -> DataFrame:
+    """Joins rows with long texts, unsorted, to hash tables of ``small``, of about ``size`` bytes, in as many tasks as
+    keep HELD bytes of it or less each."""
+    tasks = -(-size // HELD)
+    if tasks > int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        texts, small = texts.repartition(tasks, *on), small.repartition(tasks, *on)
+    return texts.join(small.hint("shuffle_hash"), on, how)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

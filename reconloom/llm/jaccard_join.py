@@ -27,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import fresh, text_slices
-from reconloom.llm.packed import MESSAGE, Sender, by_bucket, digest, id_filter, inside, lowered_words, maybe, mixed, opened, word_ids
+from reconloom.llm.common import fresh, hashed, text_slices
+from reconloom.llm.packed import MESSAGE, Exchange, digest, id_filter, inside, lowered_words, maybe, mixed, opened, word_ids
 from reconloom.operators.components import connected_components
 from reconloom.sources.durable import durable, scratch
 
 #: Counters of the order: fixed, so what is broadcast is bounded.
 COUNTERS = 1 << 22
 _PARTS = 64
-#: Most classes of a group, on average.
-GROUP = 512
+#: Most classes of a group and most shingles of its sets, on average.
+GROUP, WEIGHT = 512, 1 << 21
 #: Owners above which a token is compared in blocks of groups, and count above the mean counter from which it is dealt by owner.
 HOT, FLOOD = 4096, 200_000
 #: Longest parity bitmap, as a power of two of bits.
@@ -113,20 +113,22 @@ def _similar_classes(docs: DataFrame, percent: int, width: int, doc_id: str, tex
     flood = np.uint16(min(65535, _scaled(total / COUNTERS + FLOOD)))
     classes = durable(surveyed.where("part is null and n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jac-classes")
     buckets = int(max(16, -(-total * (100 - percent) // 100 // 1_000_000)))
+    exchange = Exchange(buckets)
 
     def send(batches):
-        out, flooded, seen = Sender(buckets), Sender(buckets, buckets), set()
+        out, flooded, seen = exchange.sender(), exchange.sender(dealt=True), set()
         for _, texts in text_slices(batches):
             for t in texts:
                 s = shingle_set(t, width)
-                name = digest(s)[0] if len(s) else None
-                if len(s) and name not in seen:
-                    seen.add(name)
+                both = digest(s) if len(s) else None
+                if both and both not in seen:
+                    seen.add(both)
+                    name = both[0]
                     rare = prefix(s, rank.value, percent)
                     left = len(s) - np.arange(len(rare))
                     many = rank.value[(rare >> np.uint64(42)).astype(np.int64)] >= flood
                     if many.any():
-                        flooded.add(name, rare[many], left[many], spread=np.uint64(name & (1 << 64) - 1))
+                        flooded.add(name, rare[many], left[many])
                         rare, left = rare[~many], left[~many]
                     out.add(name, rare, left)
                 if out.full():
@@ -137,12 +139,12 @@ def _similar_classes(docs: DataFrame, percent: int, width: int, doc_id: str, tex
         yield from flooded.messages()
 
     sent = rows.where("doc_id is not null and text is not null").select("text").mapInArrow(send, MESSAGE)
-    hits = durable(by_bucket(sent, 2 * buckets).applyInArrow(_repeated(buckets), "token long, d1 long, reach int, owners int"), "jac-hits")
+    hits = durable(exchange.grouped(sent, dealt=True).applyInArrow(_repeated(buckets), "token long, d1 long, reach int, owners int"), "jac-hits")
     # near copies agree on the token of their prefixes that most classes have: that is their group
     leading = durable(hits.groupBy("d1").agg(F.max_by("token", F.struct("owners", "token")).alias("lead")), "jac-lead")
-    crowd = leading.groupBy("lead").agg(F.count("*").alias("_of"))
     taking = leading.join(classes.select("d1", "rep", "n", "copies", "bits"), "d1")
-    members = durable(taking.join(crowd, "lead").select("d1", "rep", F.col("n").cast("int").alias("n"), "copies", "bits", F.xxhash64("lead", F.pmod(F.xxhash64("rep"), F.ceil(F.col("_of") / GROUP))).alias("group")), "jac-members")
+    crowd = leading.join(classes.select("d1", "n"), "d1").groupBy("lead").agg(F.greatest(F.count("*") / GROUP, F.sum("n") / WEIGHT).alias("_of"))
+    members = durable(taking.join(crowd, "lead").select("d1", "rep", F.col("n").cast("int").alias("n"), "copies", "bits", F.xxhash64("lead", F.pmod(F.xxhash64("rep"), F.ceil("_of"))).alias("group")), "jac-members")
     # the matrix: tokens by group, with the sizes of the members that have the token and what their order leaves from it on
     matrix = hits.join(members.select("d1", "group", "n"), "d1").groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("reach"), F.count("*").cast("int").alias("held"), F.max("owners").alias("owners"))
     matrix = durable(matrix, "jac-matrix")
@@ -170,12 +172,12 @@ def _similar_classes(docs: DataFrame, percent: int, width: int, doc_id: str, tex
             names = [digest(s)[0] if len(s) else None for s in own]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["rep", "d1", "set"])
 
-    whole = rows.mapInArrow(sets, "rep long, d1 long, set binary").join(close.hint("shuffle_hash"), ["rep", "d1"])
+    whole = hashed(rows.mapInArrow(sets, "rep long, d1 long, set binary"), close, ["rep", "d1"], 64 * close.count())
     verified = whole.repartition(tasks, "g", "h").sortWithinPartitions("g", "h", "d1").select("g", "h", "group", "d1", "rep", "copies", "set").mapInArrow(_by_pair(_verify(percent)), "d1 long, rep long, links long, root long")
     links = durable(verified, "jac-links")
     components = connected_components(links.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    around = links.groupBy("d1").agg(F.sum("links").alias("links"))
-    known = classes.select("d1", "d2", "rep", "copies").join(around, "d1", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
+    around = links.groupBy("d1", "rep").agg(F.sum("links").alias("links"))
+    known = classes.select("d1", "d2", "rep", "copies").join(around, ["d1", "rep"], "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
     # rows with one id meet in it: the class of each takes the smallest component that any of them has
     shared = each.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count_distinct("d1", "d2").alias("k")).where("k > 1").select(F.col("doc_id").alias("_s"))
     known = known.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "rep", "copies", "links", F.coalesce("component", "rep").alias("component"))
@@ -239,7 +241,7 @@ def _repeated(buckets: int):
     def repeated(table: pa.Table) -> pa.Table:
         flooded = table.num_rows > 0 and table.column("bucket")[0].as_py() >= buckets
         got = opened(table)
-        order = np.lexsort((got["owners"], got["keys"]))
+        order = np.lexsort((~got["places"], got["owners"], got["keys"]))  # of two texts of one name the larger reach
         k, o, left = got["keys"][order], got["owners"][order], got["places"][order]
         new = np.ones(len(k), dtype=bool)
         new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
@@ -426,7 +428,7 @@ def _verify(percent: int):
         g, h = table.column("g")[0].as_py(), table.column("h")[0].as_py()
         first = {}
         for group, d1, rep, copies, s in zip(*[table.column(c).to_pylist() for c in ("group", "d1", "rep", "copies", "set")], strict=True):
-            first.setdefault(d1, (group, rep, copies, np.frombuffer(s, dtype=np.uint64)))  # a repeated row comes twice
+            first.setdefault((d1, rep), (group, rep, copies, np.frombuffer(s, dtype=np.uint64)))  # a repeated row comes twice
         left = [d for d, v in first.items() if v[0] == g]
         right = [d for d, v in first.items() if v[0] == h] if g != h else None
         if not left or (right is not None and not right):
@@ -460,7 +462,7 @@ def _verify(percent: int):
         if not at:
             return None
         rep = lambda k: first[names[k]][1]
-        return pa.RecordBatch.from_pydict({"d1": pa.array([names[k] for k in at], pa.int64()), "rep": pa.array([rep(k) for k in at], pa.int64()), "links": pa.array(count[at]), "root": pa.array([rep(find(k)) for k in at], pa.int64())})
+        return pa.RecordBatch.from_pydict({"d1": pa.array([names[k][0] for k in at], pa.int64()), "rep": pa.array([rep(k) for k in at], pa.int64()), "links": pa.array(count[at]), "root": pa.array([rep(find(k)) for k in at], pa.int64())})
 
     return task
 

@@ -23,6 +23,8 @@ from reconloom.llm.common import words
 MESSAGE = "bucket int, keys binary, seconds binary, owners binary, runs binary, places binary"
 #: Keys that a task holds before it sends them.
 FLUSH = 1 << 19
+#: Buckets that one pass of an exchange deals to.
+FAN = 2048
 #: Most tasks that the buckets of one exchange are dealt to.
 TASKS = 20_000
 
@@ -54,66 +56,115 @@ def lowered_words(text: str | None) -> list[bytes]:
     return words(text.lower() if text and text.isascii() else text) if not text or text.isascii() else text.encode("utf-8", "surrogatepass").lower().split()
 
 
-class Sender:
-    """Collects keys by owner and cuts them into messages of ``buckets`` buckets, from ``base`` on, by their top bits."""
+class Exchange:
+    """Deals keys to ``buckets`` buckets by their top bits, in as many passes as keep rows long.
+
+    A pass deals to ``fan`` buckets at most, so a full message has FLUSH / ``fan`` keys a row whatever the number of
+    buckets. More of them take another pass, which deals each coarse bucket, in cells of a few buckets' keys, to finer
+    ones: a second pass from 2,048 buckets on, a third from 4 million on.
+    """
 
-    def __init__(self, buckets: int, base: int = 0):
+    def __init__(self, buckets: int, fan: int = FAN):
         self.buckets = buckets
-        self.base = base
+        self.spans = [-(-buckets // fan)]
+        while self.spans[-1] > 1:
+            self.spans.append(-(-self.spans[-1] // fan))
+
+    def sender(self, dealt: bool = False, step: int = 0) -> Sender:
+        return Sender(self.buckets, self.spans[step], dealt)
+
+    def grouped(self, sent: DataFrame, dealt: bool = False):
+        """Messages grouped by bucket; ``dealt`` if some were dealt by owner, to as many buckets of their own."""
+        kinds = 2 if dealt else 1
+        for step in range(1, len(self.spans)):
+            salts = max(1, self.spans[step - 1] // (4 * self.spans[step]))
+            cells = sent.withColumn("cell", F.pmod(F.xxhash64("keys"), F.lit(salts)))
+            tasks = min(TASKS, kinds * salts * -(-self.buckets // self.spans[step - 1]))
+            sent = cells.repartition(tasks, "bucket", "cell").sortWithinPartitions("bucket").drop("cell").mapInArrow(self._finer(step), MESSAGE)
+        return sent.repartition(min(TASKS, kinds * self.buckets), "bucket").groupBy("bucket")
+
+    def _finer(self, step: int):
+        coarse = -(-self.buckets // self.spans[step - 1])
+
+        def finer(batches):
+            now, out = None, self.sender()
+            for batch in batches:
+                for bucket, keys, seconds, owners, runs, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if bucket != now:
+                        yield from out.messages()
+                        now, out = bucket, self.sender(bucket >= coarse, step)
+                    out.extend(np.frombuffer(owners, np.int64), np.frombuffer(runs, np.uint32), np.frombuffer(keys, np.uint64), np.frombuffer(places, np.uint32), np.frombuffer(seconds, np.uint64))
+                    if out.full():
+                        yield from out.messages()
+            yield from out.messages()
+
+        return finer
+
+
+class Sender:
+    """Collects keys by owner and cuts them into messages, one for each ``span`` of ``buckets`` buckets.
+
+    ``dealt``: the owner, too, decides on the bucket, so that a key is spread over all of them; such buckets are
+    numbered after the others."""
+
+    def __init__(self, buckets: int, span: int = 1, dealt: bool = False):
+        self.buckets, self.span, self.dealt = buckets, span, dealt
+        self.clear()
+
+    def clear(self) -> None:
         self.keys: list[np.ndarray] = []
         self.seconds: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
-        self.owners: list[int] = []
-        self.spread: list[np.uint64] = []
+        self.owners: list[np.ndarray] = []
+        self.runs: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, owner: int, keys: np.ndarray, places: np.ndarray | None = None, seconds: np.ndarray | None = None, spread: np.uint64 = np.uint64(0)) -> None:
-        """``spread``: what, besides the key, decides on the bucket; 0 sends equal keys to one bucket."""
+    def add(self, owner: int, keys: np.ndarray, places: np.ndarray | None = None, seconds: np.ndarray | None = None) -> None:
         if len(keys):
-            self.spread.append(spread)
-            self.keys.append(keys)
-            self.places.append(np.zeros(0, np.uint32) if places is None else places.astype(np.uint32))
-            self.seconds.append(np.zeros(0, np.uint64) if seconds is None else seconds)
-            self.owners.append(owner)
-            self.held += len(keys)
+            self.extend(np.array([owner], np.int64), np.array([len(keys)]), keys, places, seconds)
+
+    def extend(self, owners: np.ndarray, runs: np.ndarray, keys: np.ndarray, places: np.ndarray | None = None, seconds: np.ndarray | None = None) -> None:
+        """``runs``: how many of the keys each owner has, one owner after the other."""
+        self.owners.append(owners)
+        self.runs.append(runs.astype(np.int64))
+        self.keys.append(keys)
+        self.places.append(np.zeros(0, np.uint32) if places is None else places.astype(np.uint32))
+        self.seconds.append(np.zeros(0, np.uint64) if seconds is None else seconds)
+        self.held += len(keys)
 
     def full(self) -> bool:
         return self.held >= FLUSH
 
+    def taken(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All keys, the seconds, places and owners that belong to them; nothing is held any longer."""
+        out = np.concatenate(self.keys), np.concatenate(self.seconds), np.concatenate(self.places), np.repeat(np.concatenate(self.owners), np.concatenate(self.runs))
+        self.clear()
+        return out
+
     def messages(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        keys = np.concatenate(self.keys)
-        places, seconds = np.concatenate(self.places), np.concatenate(self.seconds)
-        own = np.repeat(np.arange(len(self.owners)), [len(k) for k in self.keys])
-        owners = np.array(self.owners, dtype=np.int64)
-        spread = np.array(self.spread, dtype=np.uint64)
-        bucket = bucket_of(mixed(keys ^ spread[own]) if spread.any() else keys, self.buckets)
+        keys, seconds, places, owners = self.taken()
+        bucket = bucket_of(mixed(keys ^ owners.view(np.uint64)) if self.dealt else keys, self.buckets) // self.span
         order = np.argsort(bucket, kind="stable")  # within a bucket still by owner
-        ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        bucket, owners = bucket[order], owners[order]
+        begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        first = -(-self.buckets // self.span) if self.dealt else 0
         out: dict[str, list] = {c: [] for c in ("bucket", "keys", "seconds", "owners", "runs", "places")}
-        for b in range(self.buckets):
-            at = order[ends[b] : ends[b + 1]]
-            if not len(at):
-                continue
-            who, runs = np.unique(own[at], return_counts=True)
-            out["bucket"].append(self.base + b)
+        for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True):
+            at, who = order[i:j], owners[i:j]
+            run = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+            out["bucket"].append(first + int(bucket[i]))
             out["keys"].append(keys[at].tobytes())
             out["seconds"].append(seconds[at].tobytes() if len(seconds) else b"")
-            out["owners"].append(owners[who].tobytes())
-            out["runs"].append(runs.astype(np.uint32).tobytes())
+            out["owners"].append(who[run].tobytes())
+            out["runs"].append(np.diff(np.append(run, len(who))).astype(np.uint32).tobytes())
             out["places"].append(places[at].tobytes() if len(places) else b"")
-        self.__init__(self.buckets, self.base)
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("keys", "seconds", "owners", "runs", "places")]]))
 
 
-def by_bucket(sent: DataFrame, buckets: int):
-    """Messages grouped by bucket, in as many tasks as there are buckets, so that a task stays as small however many there are."""
-    return sent.repartition(min(TASKS, buckets), "bucket").groupBy("bucket")
-
-
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def opened(table: pa.Table) -> dict[str, np.ndarray]:

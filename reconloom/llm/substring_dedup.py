@@ -28,12 +28,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reconloom.llm.common import fresh, text_slices, words
-from reconloom.llm.packed import MESSAGE, Sender, by_bucket, digest, id_filter, maybe, mixed, opened, word_ids
+from reconloom.llm.common import fresh, hashed, text_slices, words
+from reconloom.llm.packed import MESSAGE, Exchange, Sender, digest, id_filter, maybe, mixed, opened, word_ids
 from reconloom.sources.durable import durable, scratch
 
 #: Rounds that place the borders: what joins, and the longest phrase in words that takes part. CONTEXT is the sum of these lengths.
@@ -271,33 +271,33 @@ def marks(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str =
 
     surveyed = durable(rows.mapInArrow(survey, "doc_id long, n_words long, d1 long, d2 long, kept binary"), "sub-survey")
     total = surveyed.agg(F.sum("n_words")).first()[0] or 0
-    buckets = int(max(16, -(-total // 4_000_000)))
+    exchange = Exchange(int(max(16, -(-total // 4_000_000))))
     first = durable(surveyed.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "sub-first")
 
     def send(batches):
-        out, seen = Sender(buckets), set()
+        out, seen = exchange.sender(), set()
         for _, texts in text_slices(batches):
             own, names = [], []
             for t in texts:
                 ids = word_ids(words(t))
-                name = digest(ids)[0]
+                name = digest(ids)
                 if len(ids) >= window and name not in seen:
                     seen.add(name)
                     own.append(ids)
-                    names.append(name)
+                    names.append(name[0])
             if own:
                 for name, (place, key) in zip(names, Slice(own, window).revealing(), strict=True):
                     out.add(name, key, place)
                     if out.full():
-                        yield from _revealed(out)
-        yield from _revealed(out)
+                        yield from _revealed(out, exchange.sender(), exchange.sender(dealt=True))
+        yield from _revealed(out, exchange.sender(), exchange.sender(dealt=True))
 
     sent = rows.where("doc_id is not null and text is not null").select("text").mapInArrow(send, MESSAGE)
-    found = by_bucket(sent, 2 * buckets).applyInArrow(_repeated(buckets), "d1 long, places binary")
+    found = exchange.grouped(sent, dealt=True).applyInArrow(_repeated(exchange.buckets), "d1 long, places binary")
     hits = durable(found.join(first.select("d1", "rep"), "d1").groupBy("rep").agg(F.collect_list(F.struct("d1", "places")).alias("hits")), "sub-hits")
 
     def open_windows(batches):
-        out = Sender(buckets)
+        out = exchange.sender()
         for batch, texts in text_slices(batches, "text"):
             own, reps, known = [], [], []
             for rep, hit, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
@@ -309,17 +309,19 @@ def marks(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str =
                 if places:
                     own.append(ids)
                     reps.append(rep)
-                    known.append(np.concatenate(places))
+                    place = np.concatenate(places)
+                    known.append(place[place < len(ids)])  # another text of this name may be longer
             if own:
                 for rep, (start, key, plain) in zip(reps, Slice(own, window).named(known), strict=True):
                     out.add(rep, key, start, plain)
                     if out.full():
-                        yield from _certain(out)
-        yield from _certain(out)
+                        yield from _certain(out, exchange.sender())
+        yield from _certain(out, exchange.sender())
 
-    texts = maybe(rows, "doc_id", id_filter(hits, "rep")).withColumnRenamed("doc_id", "rep").join(hits.hint("shuffle_hash"), "rep").select("rep", "hits", "text")
+    texts = maybe(rows, "doc_id", id_filter(hits, "rep")).withColumnRenamed("doc_id", "rep")
+    texts = hashed(texts, hits, ["rep"], _size(hits, F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + F.length(x["places"]) + 64))).select("rep", "hits", "text")
     named = durable(texts.mapInArrow(open_windows, MESSAGE + ", later boolean"), "sub-windows")
-    later = by_bucket(named.where("not later").drop("later"), buckets).applyInArrow(_not_first, "doc_id long, starts binary")
+    later = exchange.grouped(named.where("not later").drop("later")).applyInArrow(_not_first, "doc_id long, starts binary")
     certain = named.where("later").select("owners", "runs", "places").mapInArrow(_split, "doc_id long, starts binary")
     starts = durable(later.unionByName(certain).groupBy("doc_id").agg(F.collect_list("starts").alias("starts")), "sub-starts")
     known = first.select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "rep")
@@ -327,26 +329,25 @@ def marks(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str =
     return each, starts
 
 
-def _revealed(out: Sender):
+def _revealed(out: Sender, once: Sender, often: Sender):
     """One occurrence of each name among these; and, dealt by owner, all occurrences of those that come up twice here
     already. So a name that a third of all documents have sends one entry a message to the bucket of its name."""
     if not out.held:
         return
-    keys, places = np.concatenate(out.keys), np.concatenate(out.places)
-    owners = np.repeat(np.array(out.owners, dtype=np.int64), [len(k) for k in out.keys])
+    keys, _, places, owners = out.taken()
     order = np.argsort(keys, kind="stable")
     first = np.r_[True, keys[order][1:] != keys[order][:-1]]
     times = np.diff(np.r_[np.flatnonzero(first), len(order)])
-    for known, at in ((False, order[first]), (True, order[np.repeat(times > 1, times)])):
-        if not len(at):
-            continue
-        part = Sender(out.buckets, out.buckets if known else 0)
-        at = at[np.argsort(owners[at], kind="stable")]
-        who, begin = np.unique(owners[at], return_index=True)
-        for w, i, j in zip(who.tolist(), begin, np.append(begin[1:], len(at)), strict=True):
-            part.add(w, keys[at[i:j]], places[at[i:j]], spread=np.uint64(w & (1 << 64) - 1) if known else np.uint64(0))
-        yield from part.messages()
-    out.__init__(out.buckets)
+    for part, at in ((once, order[first]), (often, order[np.repeat(times > 1, times)])):
+        if len(at):
+            at = at[np.argsort(owners[at], kind="stable")]
+            part.extend(*_runs(owners[at]), keys[at], places[at])
+            yield from part.messages()
+
+
+def _runs(owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+    return owners[begin], np.diff(np.append(begin, len(owners)))
 
 
 def _repeated(buckets: int):
@@ -387,12 +388,11 @@ def _firsts(k1: np.ndarray, k2: np.ndarray, owners: np.ndarray, places: np.ndarr
     return order, first
 
 
-def _certain(out: Sender):
+def _certain(out: Sender, part: Sender):
     """Messages of what is first among these; the rest is known to come later and needs no comparing."""
     if not out.held:
         return
-    keys, seconds, places = np.concatenate(out.keys), np.concatenate(out.seconds), np.concatenate(out.places)
-    owners = np.repeat(np.array(out.owners, dtype=np.int64), [len(k) for k in out.keys])
+    keys, seconds, places, owners = out.taken()
     order, first = _firsts(keys, seconds, owners, places)
     # equal rows (a repeated id with the same text) are the same occurrence
     again = np.zeros(len(order), dtype=bool)
@@ -403,17 +403,11 @@ def _certain(out: Sender):
     for later, at in ((False, order[first]), (True, order[~first & ~again & ~same])):
         if not len(at):
             continue
-        part = Sender(out.buckets)
         at = np.sort(at)
-        who, begin = np.unique(owners[at], return_index=True)
-        if len(at) and np.any(np.diff(owners[at]) < 0):
-            at = at[np.argsort(owners[at], kind="stable")]
-            who, begin = np.unique(owners[at], return_index=True)
-        for w, i, j in zip(who.tolist(), begin, np.append(begin[1:], len(at)), strict=True):
-            part.add(w, keys[at[i:j]], places[at[i:j]], seconds[at[i:j]])
+        at = at[np.argsort(owners[at], kind="stable")]
+        part.extend(*_runs(owners[at]), keys[at], places[at], seconds[at])
         for m in part.messages():
             yield pa.RecordBatch.from_arrays([*m.columns, pa.array([later] * m.num_rows)], names=[*m.schema.names, "later"])
-    out.__init__(out.buckets)
 
 
 def _not_first(table: pa.Table) -> pa.Table:
@@ -457,6 +451,15 @@ def removal(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str
         return made.keep(_removal(docs, window, doc_id, text), "sub-result")
 
 
+def _packed(column: str) -> Column:
+    return F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + F.length(x) + 16)
+
+
+def _size(df: DataFrame, more: Column) -> int:
+    """Bytes of all rows: ``more`` and 64 for each."""
+    return int(df.agg(F.sum(more + 64)).first()[0] or 0)
+
+
 def _removal(docs: DataFrame, window: int, doc_id: str, text: str) -> DataFrame:
     each, starts = marks(docs, window, doc_id, text)
     empty = hashlib.sha256(b"").hexdigest()
@@ -475,7 +478,7 @@ def _removal(docs: DataFrame, window: int, doc_id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.string())]))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cut = maybe(rows, "doc_id", id_filter(starts, "doc_id")).join(starts.hint("shuffle_hash"), "doc_id").select("doc_id", "starts", "text").mapInArrow(apply, schema).dropDuplicates(["doc_id", "d1"])
+    cut = hashed(maybe(rows, "doc_id", id_filter(starts, "doc_id")), starts, ["doc_id"], _size(starts, _packed("starts"))).select("doc_id", "starts", "text").mapInArrow(apply, schema).dropDuplicates(["doc_id", "d1"])
     both = each.join(cut.withColumnRenamed("d1", "_1").withColumnRenamed("doc_id", "_i"), (F.col("doc_id") == F.col("_i")) & (F.col("d1") == F.col("_1")) & ~F.col("whole"), "left")
     return both.select(
         "doc_id", "n_words", F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -496,7 +499,7 @@ def deduplicated(docs: DataFrame, window: int = 20, text: str = "text", length:
         decided = starts.join(copies, "doc_id", "full").select(F.col("doc_id").alias(own), F.col("starts").alias(at), F.coalesce("whole", F.lit(False)).alias(whole_copy))
         decided = made.keep(decided, "sub-decided")
     touched = id_filter(decided, own)
-    both = maybe(docs, "doc_id", touched).join(decided.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(own), "left").drop(own)
+    both = hashed(maybe(docs, "doc_id", touched).withColumn(own, F.col("doc_id").cast("long")), decided, [own], _size(decided, F.coalesce(_packed(at), F.lit(0))), "left").drop(own)
     names, schema = docs.columns, StructType(docs.schema.fields)
     at_text = names.index(text)
     at_length = names.index(length) if length in names else None
