@@ -55,10 +55,27 @@ def one_source_per_target(matches: DataFrame, target: str, ordinal: str) -> Data
 
 
 def ordered_ci_distinct(*arrays: Column) -> Column:
-    """Union of string arrays in order: first spelling of each key kept, blanks dropped."""
-    everything = F.filter(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]), lambda x: x.isNotNull() & (key_ci(x) != ""))
-    keys = F.transform(everything, key_ci)
-    return F.filter(F.transform(everything, lambda x, i: F.when(F.array_position(keys, key_ci(x)) == i + 1, F.trim(x))), lambda x: x.isNotNull())
+    """Union of string arrays in order: first spelling of each key kept, blanks dropped.
+
+    Spellings are sorted by key and compared with the one before. A lambda looks at its arguments only: whatever else it
+    names is worked out anew for each element."""
+    everything = F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays])
+    spelled = F.transform(everything, lambda x, i: F.struct(key_ci(x).alias("key"), i.alias("at"), F.trim(x).alias("as")))
+    by_key = F.array_sort(F.filter(spelled, lambda s: s["key"] != ""))
+    before = F.concat(F.array(F.lit(None)), by_key)
+    firsts = F.zip_with(by_key, before, lambda s, b: F.when(s["key"].isNotNull() & ~s["key"].eqNullSafe(b["key"]), F.struct(s["at"].alias("at"), s["as"].alias("as"))))
+    return F.transform(F.array_sort(F.filter(firsts, lambda s: s.isNotNull())), lambda s: s["as"])
+
+
+def grouped_ci_distinct(rows: DataFrame, group: str, order: Sequence[str], *values: Column, name: str = "values") -> DataFrame:
+    """``group`` and, as ``name``, ``ordered_ci_distinct`` of the ``values`` of its rows: rows by ``order``, values of a row as given.
+
+    Spellings with one key are combined before they meet, so a group holds its different keys, not its rows."""
+    at = F.struct(*order, F.col("_v.at").alias("_at"), F.col("_v.as").alias("_as"))
+    each = rows.withColumn("_v", F.explode(F.array(*[F.struct(F.lit(k).alias("at"), key_ci(v).alias("key"), F.trim(v).alias("as")) for k, v in enumerate(values)])))
+    firsts = each.groupBy(group, F.col("_v.key").alias("_key")).agg(F.min(at).alias("_m"))
+    kept = F.array_sort(F.collect_list(F.when(F.col("_key") != "", F.col("_m"))))
+    return firsts.groupBy(group).agg(kept.alias("_all")).select(group, F.transform("_all", lambda m: m["_as"]).alias(name))
 
 
 def conflicts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

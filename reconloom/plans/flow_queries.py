@@ -131,7 +131,7 @@ query("ordered_ci_distinct", "SELECT conv_id, string_agg(role, ',' ORDER BY k) A
     lambda t: t.conversations.withColumn("role", F.when(F.col("turn") % 2 == 1, F.upper("role")).otherwise(F.col("role"))).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("m")).select("conv_id", F.array_join(winner.ordered_ci_distinct(F.transform("m", lambda x: x["role"]), F.array(F.lit(" "))), ",").alias("roles"))
 )
 query("merged_values", """SELECT p_type, string_agg(v, ',' ORDER BY k) AS aliases FROM (SELECT p_type, v, min(k) AS k FROM (SELECT p_type, p_brand AS v, p_partkey * 2 AS k FROM part UNION ALL SELECT p_type, lower(p_type), p_partkey * 2 + 1 FROM part) u GROUP BY 1, 2) x GROUP BY 1""")(
-    lambda t: t.part.groupBy("p_type").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_brand"))).alias("m")).select("p_type", F.array_join(winner.ordered_ci_distinct(F.flatten(F.transform("m", lambda x: F.array(x["p_brand"], F.lower("p_type"))))), ",").alias("aliases"))
+    lambda t: winner.grouped_ci_distinct(t.part, "p_type", ["p_partkey", "p_brand"], F.col("p_brand"), F.lower("p_type"), name="aliases").withColumn("aliases", F.array_join("aliases", ","))
 )
 query("relation_union", "SELECT p_partkey, CASE WHEN p_brand = p_type THEN p_brand ELSE p_brand || ',' || p_type END || CASE WHEN p_name IN (p_brand, p_type) THEN '' ELSE ',' || p_name END AS ids FROM part")(lambda t: t.part.select("p_partkey", F.array_join(F.array_distinct(F.concat(F.array("p_brand", "p_type"), F.array("p_brand", "p_name"))), ",").alias("ids")))
 query("set_ops", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS both, c_custkey NOT IN (SELECT o_custkey FROM orders) AS only_left FROM customer")(
