@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reconloom.operators import fuzzy, grid, hamming, segments
+from reconloom.sources.durable import durable
 
 
 def _ratio(a, b):
@@ -61,6 +62,15 @@ def test_crowded_keys_meet_once_in_cells(spark):
     assert got == sorted(tuple(r) for r in a.join(b, "key").select("key", "x", "y").collect())
 
 
+def test_exploded_keys_are_not_broadcast(spark):
+    """Two written tables of 2,000 rows: by their size Spark takes either for small, but their keys are 100,000 rows."""
+    narrow = durable(spark.range(2000).select(F.col("id").alias("x")), "narrow")
+    keyed = narrow.withColumn("key", F.explode(F.sequence(F.col("x") * 50, F.col("x") * 50 + 49)))
+    met = grid.joined(keyed, keyed.withColumnRenamed("x", "y"), "key", "x", "y")
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.where("x = y").count() == met.count() == 100_000
+
+
 def test_segments_with_crowded_keys(spark):
     names = [f"abcdefgh{k:03d}" for k in range(150)]
     a = spark.createDataFrame([(x,) for x in names], "left_norm string")
