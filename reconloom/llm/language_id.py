@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconloom.llm.common import carry, codepoints, sampled, text_slices, with_fields
+from reconloom.llm.common import carry, codepoints, text_slices, with_fields
+from reconloom.sources.durable import durable, scratch
 
 #: Predicted for a null text and for a text without letters.
 UNDETERMINED = "und"
@@ -77,25 +78,44 @@ class Usual:
 USUAL_GRAMS, LEAST_SPREAD = 200, 0.1
 
 
-def _sampled(docs: DataFrame, text: str, lang: str, max_rows: int) -> DataFrame:
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    return sampled(rows, rows.count(), max_rows, "text", "lang")
+#: Values that the driver takes to pick a median from; of more it counts buckets first, this many a pass.
+_TAKEN = 4096
 
 
-def _some(sample: DataFrame, docs: DataFrame, text: str, lang: str) -> None:
-    """Raise if nothing was sampled from a table that has labelled rows."""
-    if sample.isEmpty() and not docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).isEmpty():
-        raise ValueError("the sample of a table with labelled rows is empty: it has too few different texts for max_rows")
+def _labelled(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15, max_rows: int = 20_000, alpha: float = 0.5) -> LanguageModel:
-    """Fit on rows with a language and a text.
+def median(values: DataFrame, column: str) -> float | None:
+    """The exact median of a written column of doubles without nulls and NaN; None without rows.
 
-    ``max_rows`` is the documented bound of the training sample: above it rows
-    are taken by a hash of text and language, the same rows in every run. Counts
-    are summed by Spark; the driver receives at most 2**bits rows a language.
+    Each pass counts the values in buckets of equal width between the least and the largest that may be the median, and
+    goes on with the bucket that holds it: some five passes for doubles of any number. The driver gets the buckets only."""
+    v = F.col(column)
+    n, low, high = values.agg(F.count(v), F.min(v), F.max(v)).first()
+    first, then, held = (n - 1) // 2, n // 2, n
+    while n and low < high:
+        some = values.where(v.between(low, high))
+        if held <= _TAKEN:
+            own = sorted(r[0] for r in some.select(v).collect())
+            return (own[first] + own[then]) / 2
+        at = F.least(F.floor((v - F.lit(low)) / F.lit(high - low) * _TAKEN), F.lit(_TAKEN - 1))
+        buckets = sorted(some.groupBy(at.alias("at")).agg(F.count("*"), F.min(v), F.max(v)).collect())
+        for k, (_, held, low, high) in enumerate(buckets):
+            if first < held:
+                break
+            first, then = first - held, then - held
+        if then >= held:  # the two in the middle lie in two buckets
+            return (high + buckets[k + 1][2]) / 2
+    return low
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15, alpha: float = 0.5) -> LanguageModel:
+    """Fit on all rows with a language and a text.
+
+    Counts are summed by Spark; the driver receives at most 2**bits rows a language.
     """
-    rows = _sampled(docs, text, lang, max_rows)
+    rows = _labelled(docs, text, lang)
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
@@ -114,8 +134,6 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15,
 
     got = rows.mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(got["lang"].unique())
-    if not names:
-        _some(rows, docs, text, lang)
     counts, prior = np.zeros((1 << bits, len(names))), np.zeros(len(names))
     for k, name in enumerate(names):
         own = got[got["lang"] == name]
@@ -127,12 +145,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = 15,
     return LanguageModel(names, np.log(prior / prior.sum()) if names else prior, np.ascontiguousarray(log_prob.T, dtype=np.float32), bits)
 
 
-def usual(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang", max_rows: int = 20_000) -> Usual | None:
-    """The usual likelihood, from rows with a language that ``model`` was not fitted on; None without such rows.
+def usual(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang") -> Usual | None:
+    """The usual likelihood, from all rows of ``docs`` with a language of ``model``, which it was not fitted on; None without such rows.
 
     Each gram counts as in the language that likes it best, so texts of mixed languages are usual. Medians are
-    taken, so that some texts in no learned language do not shift it. ``max_rows`` bounds the rows as in ``fit``;
-    the driver receives three numbers a row.
+    taken, so that some texts in no learned language do not shift it: exact ones, of a written table of three
+    numbers a row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -148,15 +166,16 @@ def usual(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str =
 
     if not model.languages:
         return None
-    some = _sampled(docs, text, lang, max_rows)
-    got = some.where(F.col("lang").isin(model.languages)).mapInArrow(measure, "grams long, mean double, spread double").toPandas()
-    if (got["grams"] >= USUAL_GRAMS).any():
-        got = got[got["grams"] >= USUAL_GRAMS]
-    if not len(got):
-        _some(some, docs, text, lang)
-        return None
-    centre, gram_spread = float(got["mean"].median()), float(got["spread"].median())
-    return Usual(centre, gram_spread, max(1.4826 * float((got["mean"] - centre).abs().median()), LEAST_SPREAD * gram_spread))
+    with scratch():
+        found = _labelled(docs, text, lang).where(F.col("lang").isin(model.languages)).mapInArrow(measure, "grams long, mean double, spread double")
+        got = durable(found, "lid-usual")
+        if not (long := got.where(F.col("grams") >= USUAL_GRAMS)).isEmpty():
+            got = long
+        centre, gram_spread = median(got, "mean"), median(got, "spread")
+        if centre is None:
+            return None
+        text_spread = median(got.select(F.abs(F.col("mean") - centre).alias("off")), "off")
+    return Usual(centre, gram_spread, max(1.4826 * text_spread, LEAST_SPREAD * gram_spread))
 
 
 def _best_mean(best: np.ndarray, h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -607,6 +607,32 @@ def test_language_counts_are_those_of_naive_bayes(spark):
     assert [got[k][0] for k in (1, 2, 3)] == ["de", "en", "fr"] and all(s > 0.5 for _, s in got.values())
 
 
+def test_language_learns_from_all_rows(spark):
+    """25,000 labelled rows, one of them in a language of its own; a sample of 20,000 has other shares and medians."""
+    text = F.concat_ws(" ", *[F.element_at(F.array(*map(F.lit, ws)), (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(4)) + 1).cast("int")) for k, ws in enumerate([("der", "hund", "the", "dog"), ("und", "katze", "and", "cat"), ("ein", "haus", "a", "house")])])
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 17, "le chien").otherwise(text).alias("text"), F.when(F.col("id") == 17, "fr").when(F.col("id") % 5 < 2, "de").otherwise("en").alias("lang"))
+    model = language_id.fit(docs)
+    assert model.languages == ["de", "en", "fr"] and np.exp(model.log_prior) * 25_000 == pytest.approx([10_000, 14_999, 1], rel=1e-12)
+    found = language_id.usual(docs, model)
+    best = model.log_prob.max(axis=0)
+    rows = [r["text"] for r in docs.select("text").collect()]
+    h, owner, _ = language_id._grams(rows, model.bits)
+    grams, mean = language_id._best_mean(best, h, owner, len(rows))
+    square = np.bincount(owner, weights=(best * best)[h], minlength=len(rows)) / grams
+    spread = np.median(np.sqrt(np.maximum(square - mean**2, 0)))
+    assert found.centre == pytest.approx(np.median(mean), rel=1e-12) and found.gram_spread == pytest.approx(spread, rel=1e-9)
+    assert found.text_spread == pytest.approx(max(1.4826 * np.median(abs(mean - np.median(mean))), language_id.LEAST_SPREAD * spread), rel=1e-9)
+
+
+def test_median_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "_TAKEN", 3)
+    rng = random.Random(7)
+    for n in (0, 1, 2, 5, 40, 41):
+        for values in ([rng.gauss(-2, 1) for _ in range(n)], [float(rng.randrange(3)) for _ in range(n)], [-1e300, 1e300][: n % 3] + [1.0 + k * 2**-52 for k in range(n // 2)]):
+            got = language_id.median(spark.createDataFrame([(x,) for x in values], "v double"), "v")
+            assert got == (float(np.median(values)) if values else None)
+
+
 def test_language_stage_rejects_foreign_texts_and_noise(spark, data, docs):
     import corpus_pipeline
 
