@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from reconloom.functions import normalize as N
 from reconloom.operators.names import spellings, unambiguous_index
 from reconloom.operators.segments import similar
-from reconloom.operators.winner import unique_hits, winner_with_margin
+from reconloom.operators.winner import unique_joined, winner_with_margin
 
 
 def _numbered(c: str) -> Column:
@@ -91,7 +91,7 @@ def resolve(incoming: DataFrame, entities: DataFrame, how: Resolver) -> DataFram
     rest = names
     for norm, label, least, index in stages:
         keyed = index.select(F.col("key").alias("_key"), "id") if index is not None else source.select(norm(F.col("spelling")).alias("_key"), "id").where(F.length("_key") >= least).distinct()
-        hits = unique_hits(rest.select("name", norm(F.col("name")).alias("_key")).where(F.length("_key") >= least).join(keyed, "_key"), "name", "id")
+        hits = unique_joined(rest.select("name", norm(F.col("name")).alias("_key")).where(F.length("_key") >= least), keyed, ["_key"], "name", "id")
         part = hits.select("name", F.when(F.col("hits") == 1, label).otherwise("ambiguous").alias("decision"), "id", F.lit(1.0).alias("score"))
         done = part if done is None else done.unionByName(part)
         rest = rest.join(hits, "name", "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reconloom.functions.normalize import compact, key_ci
-from reconloom.operators.winner import first_of, unique_hits
+from reconloom.operators.winner import first_of, unique_hits, unique_joined
 from reconloom.sources.durable import durable
 
 
@@ -34,7 +34,7 @@ def equality_match(incoming: DataFrame, entities: DataFrame, norm: Callable[[Col
     """``name, hits, id`` for the names with a hit: the entity if exactly one has the normalised name among its names and aliases."""
     a = incoming.select("name", norm(F.col("name")).alias("_key")).where(F.length("_key") >= min_length)
     b = spellings(entities).select(norm(F.col("spelling")).alias("_key"), "id").where(F.length("_key") >= min_length).distinct()
-    return unique_hits(a.join(b, "_key"), "name", "id")
+    return unique_joined(a, b, ["_key"], "name", "id")
 
 
 def staged_match(incoming: DataFrame, entities: DataFrame, norm: Callable[[Column], Column], compact_length: int = 4) -> DataFrame:
@@ -50,7 +50,7 @@ def external_id_match(incoming: DataFrame, entities: DataFrame) -> DataFrame:
     """``source, hits, id`` by (endpoint without case, id); both sides: an id column and ``endpoint, external_id``."""
     own = incoming.select("source", key_ci(F.col("endpoint")).alias("e"), F.col("external_id").alias("x"))
     other = entities.select("id", key_ci(F.col("endpoint")).alias("e"), F.col("external_id").alias("x"))
-    return unique_hits(own.join(other, ["e", "x"]), "source", "id")
+    return unique_joined(own, other, ["e", "x"], "source", "id")
 
 
 def cascade(source: DataFrame, *stages: tuple[str, DataFrame]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reconloom.functions.normalize import casefolded, compact, key_ci, plain_name, strip
 from reconloom.operators import fuzzy
 from reconloom.operators.names import external_id_match, ranked, spellings
-from reconloom.operators.winner import ordered_ci_distinct, unique_hits
+from reconloom.operators.winner import ordered_ci_distinct, unique_joined
 
 
 def resolve_tags(incoming: DataFrame, entities: DataFrame, old_ids: DataFrame, current_ids: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def resolve_tags(incoming: DataFrame, entities: DataFrame, old_ids: DataFrame, c
     """
     names = incoming.select("name").distinct().withColumn("_key", plain_name(F.col("name"))).where("_key <> ''")
     keyed = entities.select("id", plain_name(F.col("name")).alias("_key"))
-    primary = unique_hits(names.join(keyed, "_key"), "name", "id").select("name", F.col("hits").alias("_p"), F.col("id").alias("_pid"))
+    primary = unique_joined(names, keyed, ["_key"], "name", "id").select("name", F.col("hits").alias("_p"), F.col("id").alias("_pid"))
     external = external_id_match(old_ids.withColumnRenamed("name", "source"), current_ids).select(F.col("source").alias("name"), F.col("hits").alias("_x"), F.col("id").alias("_xid"))
     external = external.join(keyed.select(F.col("id").alias("_xid"), F.col("_key").alias("_xkey")), "_xid", "left")
     decided = fuzzy.resolve(incoming, entities, fuzzy.MIGRATE_TAG).select("name", "decision", F.col("id").alias("_fid"))
@@ -63,9 +63,8 @@ def resolve_groups(incoming: DataFrame, groups: DataFrame) -> DataFrame:
     """``name, decision, id``: the one group with an equal normalised or compact name or alias part; none: ``create``; several: ``ambiguous``."""
     names = incoming.select("name").distinct().withColumn("_key", plain_name(F.col("name"))).where("_key <> ''").withColumn("_short", compact(F.col("_key")))
     each = spellings(groups.withColumn("aliases", split_aliases(F.col("aliases")))).select("id", plain_name(F.col("spelling")).alias("_key")).distinct()
-    whole = names.join(each, "_key").select("name", "id")
-    short = names.where(F.length("_short") >= 4).join(each.select("id", compact(F.col("_key")).alias("_short")), "_short").select("name", "id")
-    hits = unique_hits(whole.unionByName(short), "name", "id")
+    keys = lambda df, id, short, least: df.select(id, F.lit("whole").alias("_kind"), "_key").unionByName(df.where(F.length(short) >= least).select(id, F.lit("short").alias("_kind"), short.alias("_key")))
+    hits = unique_joined(keys(names, "name", F.col("_short"), 4), keys(each, "id", compact(F.col("_key")), 4), ["_kind", "_key"], "name", "id")
     return names.join(hits, "name", "left").select("name", F.when(F.col("hits") == 1, "reuse").when(F.col("hits") > 1, "ambiguous").otherwise("create").alias("decision"), "id")
 
 

@@ -20,6 +20,21 @@ def unique_hits(hits: DataFrame, source: str, target: str) -> DataFrame:
     return hits.groupBy(source).agg(F.count_distinct(target).alias("hits"), F.min(target).alias("_t")).select(source, "hits", F.when(F.col("hits") == 1, F.col("_t")).alias(target))
 
 
+def unique_joined(left: DataFrame, right: DataFrame, on: Sequence[str], source: str, target: str) -> DataFrame:
+    """``unique_hits`` of ``left`` joined to ``right`` on the columns ``on``, without its pairs.
+
+    Sources with the same keys have the same targets, and targets with the same keys the same sources: only the different
+    sets of keys meet, and a set counts for all targets that have it. A key that n sources and m targets have costs
+    n + m rows, not n * m. Rows with a null key meet nothing."""
+    given = " and ".join(f"`{c}` is not null" for c in on)
+    sets = lambda df, id, name: df.where(given).groupBy(id).agg(F.array_sort(F.collect_set(F.struct(*on))).alias(name))
+    own = sets(left, source, "_own")
+    other = sets(right, target, "_other").groupBy("_other").agg(F.count(target).alias("_n"), F.min(target).alias("_t"))
+    met = own.select("_own").distinct().select("_own", F.explode("_own").alias("_key")).join(other.select("*", F.explode("_other").alias("_key")).hint("merge"), "_key")
+    counted = met.select("_own", "_other", "_n", "_t").distinct().groupBy("_own").agg(F.sum("_n").alias("hits"), F.min("_t").alias("_t"))
+    return own.join(counted, "_own").select(source, "hits", F.when(F.col("hits") == 1, F.col("_t")).alias(target))
+
+
 def winner_with_margin(scored: DataFrame, source: str, candidate: str, score: str, threshold: float, margin: float, per: str | None = None) -> DataFrame:
     """``source, candidate, score``: the best candidate at least at ``threshold`` and ``margin`` ahead of the second.
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reconloom.functions import normalize as N
-from reconloom.operators import cleanup, fuzzy, hamming, media, merge, segments, winner
+from reconloom.operators import cleanup, fuzzy, hamming, media, merge, names, segments, winner
 from reconloom.operators.components import connected_components
 from reconloom.plans import expected, flow
 from reconloom.sources import export
@@ -98,6 +98,25 @@ def test_grouped_distinct_equals_arrays(spark):
     assert got == {r["g"]: r["values"] for r in whole.collect()} == {"g": ["b", "a", "x"], "h": [], None: ["z"]}
 
 
+def test_joined_sets_count_as_pairs_do(spark):
+    rng = random.Random(3)
+    some = lambda n: [(rng.choice([*range(12), None]), rng.choice("abc"), rng.choice([*range(5), None])) for _ in range(n)]
+    for n, m in ((60, 60), (25, 8), (0, 9)):
+        a, b = spark.createDataFrame(some(n), "s int, e string, x int"), spark.createDataFrame(some(m), "t int, e string, x int")
+        want = winner.unique_hits(a.join(b, ["e", "x"]), "s", "t")
+        got = winner.unique_joined(a, b, ["e", "x"], "s", "t")
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_a_key_of_all_rows_costs_no_pairs(spark):
+    """One external id on either side of 60,000 rows: 3.6e9 pairs."""
+    ids = spark.range(60_000).select(F.col("id"), F.lit("HTTPS://x").alias("endpoint"), F.lit("1").alias("external_id"))
+    start = time.perf_counter()
+    got = names.external_id_match(ids.withColumnRenamed("id", "source"), ids).groupBy("hits", "id").count().collect()
+    assert time.perf_counter() - start < 30
+    assert [tuple(r) for r in got] == [(60_000, None, 60_000)]
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, k) for k in range(2001, 2200)] + [(5, 5), (None, 7)]
