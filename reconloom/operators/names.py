@@ -56,22 +56,25 @@ def external_id_match(incoming: DataFrame, entities: DataFrame) -> DataFrame:
 def cascade(source: DataFrame, *stages: tuple[str, DataFrame]) -> DataFrame:
     """``source, stage, id``: the first stage that has one target for the source decides; one with more is ambiguous and final.
 
-    ``source`` has ``source``; each stage has ``source, target``."""
+    ``source`` has ``source``; each stage has ``source, target``, or ``source, hits, target`` where the targets are counted already."""
     staged = None
     for k, (label, hits) in enumerate(stages):
-        one = unique_hits(hits, "source", "target").select("source", F.struct(F.lit(k).alias("k"), F.when(F.col("hits") == 1, label).otherwise("ambiguous").alias("stage"), F.col("target").alias("id")).alias("m"))
+        counted = hits if "hits" in hits.columns else unique_hits(hits, "source", "target")
+        one = counted.select("source", F.struct(F.lit(k).alias("k"), F.when(F.col("hits") == 1, label).otherwise("ambiguous").alias("stage"), F.col("target").alias("id")).alias("m"))
         staged = one if staged is None else staged.unionByName(one)
     best = staged.groupBy("source").agg(F.min_by("m", "m.k").alias("m"))
     return source.select("source").distinct().join(best, "source", "left").select("source", F.coalesce("m.stage", F.lit("none")).alias("stage"), F.col("m.id").alias("id"))
 
 
 def disjunctive_first(refs: DataFrame, rows: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataFrame:
-    """``ref, id``: the first row in order that agrees with the reference on any of ``keys``; an OR of equalities as a union of equi joins."""
+    """``ref, id``: the first row in order that agrees with the reference on any of ``keys``; an OR of equalities as a union of equi joins.
+
+    Of the rows with one value only the first can be an answer, so references meet that one alone."""
     hits = None
     for k in keys:
         own = refs.where(F.col(k).isNotNull()).select("ref", F.col(k).alias("_v"))
-        other = rows.where(F.col(k).isNotNull()).select("id", ordinal, F.col(k).alias("_v"))
-        part = own.join(other, "_v").select("ref", "id", ordinal)
+        other = rows.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_v")).agg(F.min_by(F.struct("id", ordinal), ordinal).alias("_f"))
+        part = own.join(other, "_v").select("ref", "_f.id", f"_f.{ordinal}")
         hits = part if hits is None else hits.unionByName(part)
     return hits.groupBy("ref").agg(F.min_by("id", ordinal).alias("id"))
 

@@ -152,7 +152,7 @@ def _stage(key: str) -> str:
  CASE WHEN z.source IS NOT NULL THEN CASE WHEN z.n = 1 THEN z.id END WHEN f.source IS NOT NULL THEN CASE WHEN f.n = 1 THEN f.id END WHEN t.n = 1 THEN t.id END AS id FROM {_REF.sql} r LEFT JOIN {_stage('zip')} z USING (source) LEFT JOIN {_stage('folder')} f USING (source) LEFT JOIN {_stage('title')} t USING (source)""")
 def gallery(t):
     refs, rows = _REF.df(t), _GAL.df(t)
-    hits = lambda k: refs.join(rows, k).select("source", F.col("id").alias("target"))
+    hits = lambda k: winner.unique_joined(refs, rows, [k], "source", "id").withColumnRenamed("id", "target")
     return names.cascade(refs, ("zip", hits("zip")), ("folder", hits("folder")), ("title", hits("title")))
 
 

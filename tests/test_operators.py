@@ -117,6 +117,18 @@ def test_a_key_of_all_rows_costs_no_pairs(spark):
     assert [tuple(r) for r in got] == [(60_000, None, 60_000)]
 
 
+def test_cascades_cost_no_pairs_of_rows_with_one_title(spark):
+    """Three keys, one of them shared by 60,000 rows on either side."""
+    rows = spark.range(60_000).select("id", F.col("id").alias("ordinal"), F.col("id").cast("string").alias("zip"), F.lit("t").alias("title"))
+    refs = spark.range(60_000).select(F.col("id").alias("ref"), F.when(F.col("id") < 3, F.col("id").cast("string")).alias("zip"), F.when(F.col("id") < 59_999, "t").alias("title"))
+    start = time.perf_counter()
+    first = names.disjunctive_first(refs, rows, ["zip", "title"])
+    found = names.cascade(refs.withColumnRenamed("ref", "source"), *[(k, winner.unique_joined(refs, rows, [k], "ref", "id").toDF("source", "hits", "target")) for k in ("zip", "title")])
+    assert [tuple(r) for r in first.groupBy("id").count().collect()] == [(0, 59_999)]
+    assert {tuple(r) for r in found.groupBy("stage").agg(F.count("*"), F.sum("id")).collect()} == {("zip", 3, 3), ("ambiguous", 59_996, None), ("none", 1, None)}
+    assert time.perf_counter() - start < 30
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, k) for k in range(2001, 2200)] + [(5, 5), (None, 7)]
